@@ -6,9 +6,10 @@ Jaccard distance 1 - J is a metric. The join is a recursion over pivots:
 * Level 0. The pivots are single n-grams: the distance of a document x to pivot {g} is
   1 - 1/|x| if x holds g and 1 if not, so x lies in the Voronoi regions of its own n-grams, and a
   total order of the n-grams breaks the ties. A partner within eps = 1 - threshold shares at least
-  ceil(threshold * |x|) n-grams with x, so the first n-gram that both share is among the
-  |x| - ceil(threshold * |x|) + 1 first ones of x: this is the window of regions to which x is
-  replicated. Documents as pivots would do nothing here: nearly all pairs of documents in a corpus
+  c = ceil(threshold * |x|) n-grams with x, so the first m n-grams that both share are among the
+  |x| - c + m first ones of x: this is the window of regions to which x is replicated (m is 1 plus a
+  share of |x|). A document that has fewer n-grams in common with others than m of its smallest
+  possible partner has no partner. Documents as pivots would do nothing here: nearly all pairs of documents in a corpus
   are at distance 1 exactly, so every window would hold every region.
 * The order is by expected document frequency (from counts of words and repeated n-grams over all
   documents), rarest first. Any order gives the same pairs; this one leaves regions small.
@@ -40,6 +41,9 @@ from .common import ensure_checkpoint_dir, free_shuffles, mix, process_cache, se
 
 THRESHOLD = 0.6
 NGRAM = 2
+#: Windows are longer by this share of a document's size, and a document needs that many n-grams
+#: shared with others, not only one, to be looked at any further.
+EVIDENCE = 0.12
 #: Prints in a document's sketch.
 SKETCH = 8
 #: Bounds of what is broadcast; they only steer the order of n-grams, never the result.
@@ -50,7 +54,13 @@ MAX_BROADCAST_ROWS = 500_000
 
 
 def prefix_length(sizes: np.ndarray, threshold: float) -> np.ndarray:
-    return sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
+    """N-grams of each window: a partner shares with it the first 1 + EVIDENCE * size common ones."""
+    common = np.ceil(threshold * sizes - 1e-9).astype(np.int64)
+    return sizes - common + np.minimum(least_shared(sizes), common)
+
+
+def least_shared(sizes: np.ndarray) -> np.ndarray:
+    return 1 + np.floor(EVIDENCE * sizes).astype(np.int64)
 
 
 class _Order:
@@ -266,7 +276,7 @@ def _shared(threshold, buckets):
     return run
 
 
-def _sketched(buckets):
+def _sketched(threshold, buckets):
     def run(batches):
         """Each document's shared n-grams again, now with a sketch of them.
 
@@ -287,11 +297,13 @@ def _sketched(buckets):
         edge = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
         doc = np.cumsum(np.concatenate(([0], ids[1:] != ids[:-1])))
         low, high = np.minimum.reduceat(sizes, edge), np.maximum.reduceat(sizes, edge)
+        least = least_shared(np.floor(1.005 ** low.astype(np.float64)) * threshold)
+        enough = (np.add.reduceat(keep.astype(np.int64), edge) >= least)[doc]
         nth = np.cumsum(fresh) - (np.cumsum(fresh)[edge] - 1)[doc] - 1
         top = fresh & (nth < SKETCH)
         sketch = np.zeros((len(edge), SKETCH), np.uint32)
         sketch[doc[top], nth[top]] = prints[top]
-        for kind, key, sel in ((0, gram, np.flatnonzero(keep)), (1, prints.astype(np.uint64), np.flatnonzero(top))):
+        for kind, key, sel in ((0, gram, np.flatnonzero(keep & enough)), (1, prints.astype(np.uint64), np.flatnonzero(top & enough))):
             for i in range(0, len(sel), 250_000):
                 at = sel[i : i + 250_000]
                 d = doc[at]
@@ -348,7 +360,25 @@ def _live(threshold):
         for i in np.flatnonzero(count > 2):
             live[edge[i] : edge[i + 1]] = among(e[edge[i] : edge[i + 1]])
         e = e[live]
-        yield pa.RecordBatch.from_pydict({"doc_id": e["id"], "kind": e["kind"].astype(np.int32), "key": e["key"].view(np.int64), "sketch": pa.array([x.tobytes() for x in e["sketch"]], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"doc_id": e["id"], "kind": e["kind"].astype(np.int32), "key": e["key"].view(np.int64), "low": e["low"].astype(np.int32), "sketch": pa.array([x.tobytes() for x in e["sketch"]], pa.binary())})
+
+    return run
+
+
+def _windows(threshold):
+    def run(batches):
+        """The regions to which a document's whole set goes: its windows of the second round.
+
+        Partners without common prints share m regions of kind 0 at least, so the first one that
+        they share is among all but the last m - 1 of either.
+        """
+        for batch in batches:
+            ids, first, second, low, sketch = (batch.column(k).to_pylist() for k in ("doc_id", "keys0", "keys1", "low", "sketch"))
+            m = least_shared(np.floor(1.005 ** np.array(low, np.float64)) * threshold)
+            kept = [np.sort(np.array(k, np.int64).view(np.uint64))[: max(0, len(k) - int(n) + 1)].view(np.int64).tolist() for k, n in zip(first, m)]
+            some = [bool(a or b) for a, b in zip(kept, second)]
+            out = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kept, pa.list_(pa.int64())), pa.array(second, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["doc_id", "keys0", "keys1", "sketch"])
+            yield out.filter(pa.array(some, pa.bool_()))
 
     return run
 
@@ -363,13 +393,14 @@ def _sets(n, order):
         for batch in batches:
             for part in slices(_clean(batch)):
                 key, starts = _ngrams(part, n, tables)
-                ids, regions, sketches = (part.column(k).to_pylist() for k in ("doc_id", "regions", "sketch"))
+                ids, sketches, *keys = (part.column(k).to_pylist() for k in ("doc_id", "sketch", "keys0", "keys1"))
                 out = {k: [] for k in ("kind", "key", "doc_id", "sketch", "grams")}
-                for i, r in enumerate(regions):
+                for i, d in enumerate(ids):
                     blob = key[starts[i] : starts[i + 1]].tobytes()
-                    for g in r if blob else ():
-                        for k, v in zip(out, (g["kind"], g["key"], ids[i], sketches[i], blob)):
-                            out[k].append(v)
+                    for kind in (0, 1):
+                        for g in keys[kind][i] if blob else ():
+                            for k, v in zip(out, (kind, g, d, sketches[i], blob)):
+                                out[k].append(v)
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("sketch", pa.binary()), ("grams", pa.binary())]))
 
     return run
@@ -511,9 +542,11 @@ def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM)
     at = lambda df: df.repartitionById(buckets, F.col("bucket"))
     replicas = own.mapInArrow(_replicas(n, threshold, buckets, order), packed)
     shared = at(replicas).mapInArrow(_shared(threshold, buckets), packed)
-    sketched = at(shared).mapInArrow(_sketched(buckets), "bucket int, entry binary")
-    live = at(sketched).mapInArrow(_live(threshold), "doc_id long, kind int, key long, sketch binary")
-    by_doc = live.groupBy("doc_id").agg(F.collect_set(F.struct("kind", "key")).alias("regions"), F.max("sketch").alias("sketch")).checkpoint()
+    sketched = at(shared).mapInArrow(_sketched(threshold, buckets), "bucket int, entry binary")
+    live = at(sketched).mapInArrow(_live(threshold), "doc_id long, kind int, key long, low int, sketch binary")
+    packs = [F.collect_set(F.when(F.col("kind") == k, F.col("key"))).alias(f"keys{k}") for k in (0, 1)]
+    by_doc = live.groupBy("doc_id").agg(*packs, F.min("low").alias("low"), F.max("sketch").alias("sketch"))
+    by_doc = by_doc.mapInArrow(_windows(threshold), "doc_id long, keys0 array<long>, keys1 array<long>, sketch binary").checkpoint()
     count = by_doc.count()
     free_shuffles(spark)
     chosen = own.join(F.broadcast(by_doc) if count <= MAX_BROADCAST_ROWS else by_doc, "doc_id")

@@ -11,6 +11,18 @@ def op4_jaccard_join(spark, sf_dir):
     return jaccard_pairs(table(spark, sf_dir, "documents"))
 
 
+def op5_bpe(spark, sf_dir):
+    from .bpe import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_token_counts(spark, sf_dir):
+    from .token_counts import prefix_token_counts
+
+    return prefix_token_counts(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
