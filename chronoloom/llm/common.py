@@ -82,38 +82,45 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def word_hashes(array: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(array: pa.Array, lower: bool = True, inside: np.ndarray | None = None, prefixes: tuple = ()):
     """64-bit hashes of the words of each row, and where each row's words begin.
 
-    Words are what lies between characters U+0000 to U+0020, after lower-casing. A word's hash is
-    a difference of prefix sums of byte codes times powers of an odd number, scaled back to the
-    word's own start, so that no Python code runs for a word.
+    Words are what lies between characters U+0000 to U+0020, after lower-casing; `inside`, 256
+    flags, gives other bytes of words. A word's hash is a difference of prefix sums of byte codes
+    times powers of an odd number, scaled back to the word's own start, so that no Python code runs
+    for a word. For each length in `prefixes` follows an array with the hashes of the first so many
+    bytes of the words, 0 for shorter words.
     """
     if lower:
         array = pc.utf8_lower(array)
     raw, off = text_bytes(array)
     n = len(raw)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+        none = np.zeros(0, np.uint64)
+        return none, np.zeros(len(off), np.int64), *[none] * len(prefixes)
     codes, powers, inverse = process_cache("word-hash", _hash_tables)
     if len(powers) < n:
         powers, inverse = _powers(n)
-    inside = raw > 32
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
+    within = raw > 32 if inside is None else inside[raw]
+    first = within.copy()
+    first[1:] &= ~within[:-1]
     rows = off[:-1][off[:-1] < n]
-    first[rows] = inside[rows]
+    first[rows] = within[rows]
     starts = np.flatnonzero(first)
-    last = inside.copy()
-    last[:-1] &= ~inside[1:]
+    last = within.copy()
+    last[:-1] &= ~within[1:]
     row_ends = off[1:][off[1:] > 0] - 1
-    last[row_ends] = inside[row_ends]
+    last[row_ends] = within[row_ends]
     ends = np.flatnonzero(last) + 1
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
     np.cumsum(codes[raw] * powers[:n], out=sums[1:])
+    more = []
+    for k in prefixes:
+        long = ends - starts >= k
+        more.append(np.where(long, mix((sums[np.minimum(starts + k, n)] - sums[starts]) * inverse[starts] + np.uint64(k)), np.uint64(0)))
     h = mix((sums[ends] - sums[starts]) * inverse[starts])
-    return h, np.searchsorted(starts, off).astype(np.int64)
+    return h, np.searchsorted(starts, off).astype(np.int64), *more
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +135,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def _hash_tables():
     rng = np.random.default_rng(20240607)
     codes = rng.integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-    return (codes, *_powers(2 * SLICE_BYTES))
+    return (codes, *_powers(SLICE_BYTES + SLICE_BYTES // 8))
 
 
 def segments(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

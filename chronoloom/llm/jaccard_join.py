@@ -328,17 +328,21 @@ def _live(threshold):
         first[back] = np.arange(len(e))
         x = e[first]
         limit = int(x["key"][0]) if x["kind"][0] else 1 << 32
-        prints, place = np.unique(x["sketch"], return_inverse=True)
-        has = np.zeros((len(x), len(prints)), np.float32)
-        has[np.repeat(np.arange(len(x)), SKETCH), place.reshape(-1)] = 1
-        has = has[:, (prints > 0) & (prints.astype(np.int64) < limit)]
-        ok = (many > 1) & ~has.any(1) if has.shape[1] else many > 1
+        prints = x["sketch"].astype(np.int64)
+        prints[prints >= limit] = 0
+        flat = prints.ravel()
+        by = np.argsort(flat, kind="stable")
+        holders = by // SKETCH
+        lo, hi = np.searchsorted(flat[by], flat), np.searchsorted(flat[by], flat, side="right")
         low, high = x["low"].astype(np.int64), x["high"].astype(np.int64)
-        for i in range(0, len(x), 1024):
-            cut = slice(i, i + 1024)
-            hit = (has[cut] @ has.T == 0) & (low[cut, None] <= high[None] + reach) & (low[None] <= high[cut, None] + reach)
-            hit[np.arange(len(hit)), i + np.arange(len(hit))] = False
-            ok[cut] |= hit.any(1)
+        ok = (many > 1) & ~prints.any(1)
+        for i in np.flatnonzero(~ok):
+            free = (low <= high[i] + reach) & (high >= low[i] - reach)
+            free[i] = False
+            for k in range(i * SKETCH, (i + 1) * SKETCH):
+                if flat[k]:
+                    free[holders[lo[k] : hi[k]]] = False
+            ok[i] = free.any()
         return ok[back]
 
     def run(batches):
