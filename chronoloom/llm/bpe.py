@@ -96,11 +96,11 @@ class Codec:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether the merges leave token a followed by token b as they are."""
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(a << 20 | b)
         if known is None:
-            if len(self.pairs) > REMEMBERED:
+            if len(self.pairs) > 4 * REMEMBERED:
                 self.pairs.clear()
-            known = self.pairs[(a, b)] = self._fits(a, b)
+            known = self.pairs[a << 20 | b] = self._fits(a, b)
         return known
 
     def _fits(self, a: int, b: int) -> bool:
@@ -160,12 +160,19 @@ class Codec:
         Exactly one token that ends at a position fits what comes before it, so the count there is
         the count at that token's start plus one.
         """
-        n, length, fits = len(piece), self.length, self.fits
+        n, length, known = len(piece), self.length, self.pairs.get
         count, last = [0] * (n + 1), [-1] * (n + 1)
         for end, token in self.automaton.iter(piece.decode("latin-1")):
             end += 1
-            start = end - length[token]
-            if last[end] < 0 and (start == 0 or fits(last[start], token)):
+            if last[end] < 0:
+                start = end - length[token]
+                if start:
+                    before = last[start]
+                    fit = known(before << 20 | token)
+                    if fit is None:
+                        fit = self.fits(before, token)
+                    if not fit:
+                        continue
                 last[end] = token
                 count[end] = count[start] + 1
         return count

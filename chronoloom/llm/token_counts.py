@@ -17,6 +17,7 @@ counted one by one, repeated rows and null doc_ids included; other columns are n
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ def unit_counts(codec, unit: str) -> list[int]:
     """Token counts of the first 1, 2, ... characters of a unit."""
     core = unit.lstrip()
     space = unit[: len(unit) - len(core)]
+    if space in ("", " ") and core and (space or core not in CONTRACTIONS):
+        return _by_character(unit, codec.prefix_counts(unit.encode()))
     out = _by_character(space, codec.prefix_counts(space.encode())) if space else []
     if not core:
         return out
@@ -76,16 +79,20 @@ class Units(dict):
         self.codec, self.wide = codec, set()
         self.split, self.split_plain = regex.compile(UNITS).findall, re.compile(PLAIN_UNITS).findall
 
-    def changes(self, unit: str) -> np.ndarray:
-        return np.diff(np.array([0, *unit_counts(self.codec, unit)], np.int32))
+    def changes(self, unit: str) -> list[int]:
+        counts = unit_counts(self.codec, unit)
+        return [b - a for a, b in zip([0, *counts], counts)]
 
     def __missing__(self, unit: str) -> bytes:
         if len(self) > REMEMBERED:
             self.clear()
         c = self.changes(unit)
-        if len(c) and (c.max() > 127 or c.min() < -128):
+        try:
+            out = array("b", c).tobytes()
+        except OverflowError:
             self.wide.add(unit)
-        out = self[unit] = c.astype(np.int8).tobytes()
+            out = bytes(len(c))
+        self[unit] = out
         return out
 
     def count(self, text: str) -> tuple[int, bytes]:
@@ -93,7 +100,7 @@ class Units(dict):
         units = self.split(text) if NOT_PLAIN.search(text) else self.split_plain(text)
         out = b"".join(map(self.__getitem__, units))
         if self.wide and not self.wide.isdisjoint(units):
-            return 4, np.concatenate([self.changes(u) for u in units]).astype(np.int32).tobytes()
+            return 4, np.array([c for u in units for c in self.changes(u)], np.int32).tobytes()
         return 1, out
 
 
