@@ -18,7 +18,8 @@ MONDAY = "4 days"
 
 
 def velocity_stream(events: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """(start, total, off_hours) by week of the event time."""
+    """(start, total, off_hours) by week of the event time; a time without zone counts as the session's."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     w = F.window("ts", "7 days", "7 days", MONDAY)
     counts = events.withWatermark("ts", lateness).groupBy(w).agg(F.count("*").alias("total"), F.count_if(off_hours("ts")).alias("off_hours"))
     return counts.select(F.col("window.start").alias("start"), "total", "off_hours")
@@ -26,6 +27,7 @@ def velocity_stream(events: DataFrame, lateness: str = "1 day") -> DataFrame:
 
 def sessions_stream(events: DataFrame, gap: str = "2 hours", lateness: str = "1 day") -> DataFrame:
     """(user_id, start, end, events): work sessions by a gap of inactivity."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     s = events.withWatermark("ts", lateness).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("events"))
     return s.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "events")
 
@@ -40,9 +42,9 @@ def run_to_end(stream: DataFrame, spark: SparkSession, mode: str = "complete") -
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path)
+    """The events table as a stream; as a pattern the path may be a single file or a folder of files."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
 
 
 def weekly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
