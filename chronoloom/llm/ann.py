@@ -196,10 +196,29 @@ def search_cell(quantiser, ids, x, codes, norms, query_ids, queries, k, shortlis
     short = np.argpartition(-score, take - 1, axis=1)[:, :take]
     exact = np.einsum("qd,qsd->qs", queries, x[short])
     exact[query_ids[:, None] == ids[short]] = -np.inf
-    order = np.lexsort((ids[short], -exact), axis=1)[:, :k]
+    order = np.lexsort((ids[short], -exact), axis=1)
+    if len(np.unique(ids)) < len(ids):
+        # the nearest row of each vec_id comes first, its other rows go last
+        for r, row in enumerate(ids[short]):
+            later = np.ones(take, bool)
+            later[np.unique(row[order[r]], return_index=True)[1]] = False
+            exact[r, order[r][later]] = -np.inf
+        order = np.lexsort((ids[short], -exact), axis=1)
+    order = order[:, :k]
     return np.take_along_axis(ids[short], order, 1), np.take_along_axis(exact, order, 1)
 
 
+def without_copies(ids, *rest):
+    """The arrays without repeated rows: the same vec_id with the same vector."""
+    if len(np.unique(ids)) == len(ids):
+        return ids, *rest
+    seen = {}
+    for i, (d, v) in enumerate(zip(ids.tolist(), rest[0])):
+        seen.setdefault((d, v.tobytes()), i)
+    keep = np.fromiter(seen.values(), np.int64)
+    return ids[keep], *(r[keep] for r in rest)
+
+
 def _search(model, dimension, k, shortlist):
     def run(group: pa.Table) -> pa.Table:
         version, _, books = model.value
@@ -214,7 +233,7 @@ def _search(model, dimension, k, shortlist):
                     base[name].append(np.frombuffer(r[name], kind).reshape(shape))
         out_ids, near, cosine = [], [], []
         if base["ids"]:
-            ids, x, codes, norms = (np.concatenate(v) for v in base.values())
+            ids, x, codes, norms = without_copies(*(np.concatenate(v) for v in base.values()))
             for query_ids, queries in asked:
                 for i in range(0, len(queries), 128):
                     q = slice(i, i + 128)
