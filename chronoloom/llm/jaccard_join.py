@@ -15,6 +15,9 @@ Jaccard distance 1 - J is a metric. The join is a recursion over pivots:
   documents), rarest first. Any order gives the same pairs; this one leaves regions small.
 * A document stays in a region only if another one there has a compatible size and the two don't
   meet in another region already; sketches of the shared n-grams decide that.
+* Before whole sets are sent, bitmaps of them are, two bits or so for an n-gram: as many bits differ
+  at most as n-grams do, so documents whose bitmaps differ more than a pair at the threshold can are
+  no pair. Only documents with somebody left in a region send their set to it.
 * Level 1 and deeper. Inside a region documents are pivots: each document goes to the Voronoi
   cell of its nearest pivot and, for every other pivot p, to the window d(x, p) <= d(x, home) +
   2 eps; cells are split again until small or no longer shrinking, then compared in full.
@@ -37,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, free_shuffles, mix, process_cache, segments, shuffle_partitions, slices, word_hashes
+from .common import ensure_checkpoint_dir, mix, process_cache, segments, shuffle_partitions, shuffles_freed, slices, word_hashes
 
 THRESHOLD = 0.6
 NGRAM = 2
@@ -46,6 +49,8 @@ NGRAM = 2
 EVIDENCE = 0.12
 #: Prints in a document's sketch.
 SKETCH = 8
+#: Entries of a region up to which it is tested together with others of its size.
+FEW = 64
 #: Bounds of what is broadcast; they only steer the order of n-grams, never the result.
 MAX_WORDS = 200_000
 MAX_REPEATED = 500_000
@@ -166,7 +171,7 @@ def _statistics(n):
                 ks.append(key[segments(starts[rows], starts[rows + 1] - starts[rows])])
                 hs.append(word_hashes(part.column("text"))[0])
                 held += len(hs[-1])
-                if held > 6_000_000:
+                if held > 3_000_000:
                     yield from out()
                     hs, ks, held = [], [], 0
         yield from out()
@@ -242,7 +247,7 @@ def _replicas(n, threshold, buckets, order):
                 ids = np.asarray(part.column("doc_id").cast(pa.int64()))[some]
                 held.append((key[segments(begin, length)], np.repeat(ids, length), np.repeat(_size_code(sizes), length)))
                 size += int(length.sum())
-                if size > 1_500_000:
+                if size > 800_000:
                     yield flush()
                     held, size = [], 0
         if size:
@@ -345,6 +350,20 @@ def _live(threshold):
             ok[i] = free.any()
         return ok[back]
 
+    def among_few(e, first, c):
+        """The same for many regions of c entries each, which begin at `first`, at once."""
+        at = first[:, None] + np.arange(c)
+        low, high = e["low"][at].astype(np.int64), e["high"][at].astype(np.int64)
+        ok = (low[:, None] <= high[:, :, None] + reach) & (high[:, None] >= low[:, :, None] - reach)
+        ok[:, np.arange(c), np.arange(c)] = False
+        limit = np.where(e["kind"][first] == 1, e["key"][first], np.uint64(1 << 32)).astype(np.int64)
+        prints = e["sketch"][at].astype(np.int64)
+        prints[prints >= limit[:, None, None]] = 0
+        for k in range(SKETCH):
+            p = prints[:, :, k]
+            ok &= ~((np.where(p > 0, p, -1)[:, :, None, None] == prints[:, None]).any(3))
+        return at[ok.any(2)]
+
     def run(batches):
         (e,) = _unpacked(batches, {"entry": entry})
         if not len(e):
@@ -361,7 +380,12 @@ def _live(threshold):
             p = x["sketch"][:, k]
             ok &= ~((p > 0) & (p < limit) & (y["sketch"] == p[:, None]).any(1))
         live[two[ok]] = live[two[ok] + 1] = True
-        for i in np.flatnonzero(count > 2):
+        for c in np.unique(count[(count > 2) & (count <= FEW)]).tolist():
+            first = edge[:-1][count == c]
+            step = max(1, 500_000 // (c * c))
+            for i in range(0, len(first), step):
+                live[among_few(e, first[i : i + step], c)] = True
+        for i in np.flatnonzero(count > FEW):
             live[edge[i] : edge[i + 1]] = among(e[edge[i] : edge[i + 1]])
         e = e[live]
         yield pa.RecordBatch.from_pydict({"doc_id": e["id"], "kind": e["kind"].astype(np.int32), "key": e["key"].view(np.int64), "low": e["low"].astype(np.int32), "sketch": pa.array([x.tobytes() for x in e["sketch"]], pa.binary())})
@@ -410,6 +434,107 @@ def _sets(n, order):
     return run
 
 
+def bitmap(grams: np.ndarray) -> bytes:
+    """A bit for each residue of the n-grams; 1.5 to 3 bits an n-gram, a power of two and 64 at least."""
+    bits = np.zeros(max(64, 1 << int(1.5 * len(grams) - 1).bit_length()), bool)
+    bits[grams & np.uint64(len(bits) - 1)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+BITMAP = "kind int, key long, doc_id long, sketch binary, size long, bits binary"
+
+
+def _bitmaps(n, order):
+    def run(batches):
+        """The bitmap of each live document, once for every region it is in."""
+        tables = _tables(order)
+        for batch in batches:
+            for part in slices(_clean(batch)):
+                key, starts = _ngrams(part, n, tables)
+                ids, sketches, *keys = (part.column(k).to_pylist() for k in ("doc_id", "sketch", "keys0", "keys1"))
+                out = {k: [] for k in ("kind", "key", "doc_id", "sketch", "size", "bits")}
+                for i, d in enumerate(ids):
+                    size = int(starts[i + 1] - starts[i])
+                    bits = bitmap(key[starts[i] : starts[i + 1]]) if size else b""
+                    for kind in (0, 1):
+                        for g in keys[kind][i] if size else ():
+                            for k, v in zip(out, (kind, g, d, sketches[i], size, bits)):
+                                out[k].append(v)
+                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("sketch", pa.binary()), ("size", pa.int64()), ("bits", pa.binary())]))
+
+    return run
+
+
+def meeting(kind: int, key: int, rows: list, threshold: float) -> list:
+    """The documents of a region with a possible partner that they are to meet there.
+
+    rows: (doc_id, sketch, size, bits). Larger bitmaps are folded to the size of smaller ones.
+    """
+    by: dict = {}
+    for d, sketch, size, bits in rows:
+        by.setdefault((size, bits, sketch), set()).add(d)
+    order = sorted(by, key=lambda x: x[0])
+    sketches = np.frombuffer(b"".join(x[2] for x in order), np.uint32).reshape(len(order), SKETCH)
+    first = sketches[:, 0]  # prints rise; 0 for none
+    live = np.array([len(by[x]) > 1 for x in order]) & (first == key if kind else first == 0)
+    sizes = np.array([x[0] for x in order])
+    widths = np.array([len(x[1]) for x in order])
+    share = (1 - threshold) / (1 + threshold)
+    for width in np.unique(widths).tolist():
+        a, b = np.searchsorted(widths, [width, width + 1])
+        c = int(np.searchsorted(sizes, sizes[b - 1] / threshold + 1e-9, side="right"))
+        if c - a < 2:
+            continue
+        maps = []
+        for _, bits, _ in order[a:c]:
+            m = np.frombuffer(bits, np.uint64)
+            while len(m) * 8 > width:
+                m = m[: len(m) // 2] | m[len(m) // 2 :]
+            maps.append(m)
+        maps = np.stack(maps)
+        for i in range(a, b):
+            stop = int(np.searchsorted(sizes, sizes[i] / threshold + 1e-9, side="right"))
+            differ = np.bitwise_count(maps[i - a] ^ maps[i - a + 1 : stop - a]).sum(1, dtype=np.int64)
+            near = np.flatnonzero(differ <= share * (sizes[i] + sizes[i + 1 : stop]) + 1e-6) + i + 1
+            if not len(near) or live[i] and live[near].all():
+                continue
+            same = ((sketches[near][:, :, None] == sketches[i]) & (sketches[i] > 0)).any(2)
+            common = np.where(same, sketches[near], np.uint32(0xFFFFFFFF)).min(1)
+            here = same.any(1) & (common == key) if kind else ~same.any(1)
+            live[i] |= here.any()
+            live[near[here]] = True
+    return [(d, order[i][2]) for i in np.flatnonzero(live) for d in by[order[i]]]
+
+
+def _meetings(threshold):
+    def run(batches):
+        """Rows come sorted by region; what stays of each."""
+        schema = pa.schema([("doc_id", pa.int64()), ("kind", pa.int32()), ("key", pa.int64()), ("sketch", pa.binary())])
+        out = []
+        now, rows = None, []
+
+        def close():
+            if len(rows) > 1:
+                out.extend((d, *now, sketch) for d, sketch in meeting(*now, rows, threshold))
+
+        def flush():
+            return pa.RecordBatch.from_pydict({k: [x[i] for x in out] for i, k in enumerate(schema.names)}, schema=schema)
+
+        for batch in batches:
+            for kind, key, *row in zip(*(batch.column(k).to_pylist() for k in ("kind", "key", "doc_id", "sketch", "size", "bits"))):
+                if (kind, key) != now:
+                    close()
+                    now, rows = (kind, key), []
+                rows.append(row)
+            if len(out) > 10_000:
+                yield flush()
+                out = []
+        close()
+        yield flush()
+
+    return run
+
+
 def _common(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the intersection of two sorted arrays without repeats."""
     if len(a) > len(b):
@@ -540,7 +665,8 @@ def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM)
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    order = spark.sparkContext.broadcast(_order(own, n))
+    with shuffles_freed(spark):
+        order = spark.sparkContext.broadcast(_order(own, n))
     buckets = shuffle_partitions(spark)
     packed = "bucket int, gram binary, id binary, size binary"
     at = lambda df: df.repartitionById(buckets, F.col("bucket"))
@@ -549,13 +675,20 @@ def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM)
     sketched = at(shared).mapInArrow(_sketched(threshold, buckets), "bucket int, entry binary")
     live = at(sketched).mapInArrow(_live(threshold), "doc_id long, kind int, key long, low int, sketch binary")
     packs = [F.collect_set(F.when(F.col("kind") == k, F.col("key"))).alias(f"keys{k}") for k in (0, 1)]
-    by_doc = live.groupBy("doc_id").agg(*packs, F.min("low").alias("low"), F.max("sketch").alias("sketch"))
-    by_doc = by_doc.mapInArrow(_windows(threshold), "doc_id long, keys0 array<long>, keys1 array<long>, sketch binary").checkpoint()
-    count = by_doc.count()
-    free_shuffles(spark)
-    chosen = own.join(F.broadcast(by_doc) if count <= MAX_BROADCAST_ROWS else by_doc, "doc_id")
-    sets = chosen.mapInArrow(_sets(n, order), REGION)
-    pairs = sets.repartition(buckets, "kind", "key").sortWithinPartitions("kind", "key").mapInArrow(_regions(threshold), "doc_a long, doc_b long, common long, union long")
+    placed = live.groupBy("doc_id").agg(*packs, F.min("low").alias("low"), F.max("sketch").alias("sketch"))
+    placed = placed.mapInArrow(_windows(threshold), "doc_id long, keys0 array<long>, keys1 array<long>, sketch binary")
+
+    def with_text(regions):
+        """Documents with the regions they are in, which are written and whose number is known."""
+        with shuffles_freed(spark):
+            regions = regions.checkpoint()
+        return own.join(F.broadcast(regions) if regions.count() <= MAX_BROADCAST_ROWS else regions, "doc_id")
+
+    by_region = lambda df: df.repartition(buckets, "kind", "key").sortWithinPartitions("kind", "key")
+    maps = by_region(with_text(placed).mapInArrow(_bitmaps(n, order), BITMAP))
+    met = maps.mapInArrow(_meetings(threshold), "doc_id long, kind int, key long, sketch binary")
+    sets = with_text(met.groupBy("doc_id").agg(*packs, F.max("sketch").alias("sketch"))).mapInArrow(_sets(n, order), REGION)
+    pairs = by_region(sets).mapInArrow(_regions(threshold), "doc_a long, doc_b long, common long, union long")
     return pairs.withColumn("jaccard", F.col("common") / F.col("union"))
 
 
@@ -587,8 +720,10 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int =
     Documents without a group stay, rows with null doc_id too. Repeated rows of a doc_id all stay
     or all go.
     """
-    pairs = jaccard_pairs(docs, threshold, n).select("doc_a", "doc_b").checkpoint()
-    gone = components(pairs).where("doc_id <> group_id").select(F.col("doc_id").alias("__gone")).checkpoint()
+    pairs = jaccard_pairs(docs, threshold, n).select("doc_a", "doc_b")
+    with shuffles_freed(docs.sparkSession):
+        pairs = pairs.checkpoint()
+        gone = components(pairs).where("doc_id <> group_id").select(F.col("doc_id").alias("__gone")).checkpoint()
     count = gone.count()
     gone = F.broadcast(gone) if count <= MAX_BROADCAST_ROWS else gone
     return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
