@@ -24,10 +24,11 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import process_cache, slices, table, word_hashes
+from .common import ensure_checkpoint_dir, process_cache, shuffles_freed, slices, table, word_hashes
 
 #: Bounds of the labelled sample, by class (clean, toxic).
 MAX_EXAMPLES = (6000, 3000)
@@ -155,29 +156,54 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([g[0] for g in out]), np.array([g[1] / g[2] for g in out])
 
 
-def pick_features(rows, hashes, toxic: np.ndarray) -> np.ndarray:
+def _marks(batches):
+    """(feature, toxic, clean): in how many examples of each class a feature occurs."""
+    for batch in batches:
+        for part in slices(batch):
+            toxic = np.asarray(part.column("toxic")) == 1
+            h, rows = features_of(part.column("text"))
+            pair = np.unique(np.stack([h, rows.astype(np.uint64)], 1), axis=0)
+            marks = toxic[pair[:, 1].astype(np.int64)]
+            u, at = np.unique(pair[:, 0], return_inverse=True)
+            bad, good = np.bincount(at, marks, len(u)).astype(np.int64), np.bincount(at, ~marks, len(u)).astype(np.int64)
+            yield pa.RecordBatch.from_pydict({"feature": u.view(np.int64), "toxic": bad, "clean": good})
+
+
+def pick_features(examples: DataFrame, n_clean: int, n_toxic: int) -> np.ndarray:
     """Hashes of the features that mark toxic examples."""
-    pair = np.unique(np.stack([hashes, rows.astype(np.uint64)], 1), axis=0)
-    marks = toxic[pair[:, 1].astype(np.int64)]
-    u, at = np.unique(pair[:, 0], return_inverse=True)
-    bad, good = np.bincount(at, marks), np.bincount(at, ~marks)
-    n1, n0 = max(1, toxic.sum()), max(1, (~toxic).sum())
-    ratio = (bad / n1) / ((good + 0.5) / n0)
-    ok = np.flatnonzero((bad >= max(3, LEAST_SHARE * n1)) & (ratio >= LEAST_RATIO))
-    return u[ok[np.lexsort((u[ok], -bad[ok]))][:MAX_FEATURES]]
-
-
-def sample_examples(docs: DataFrame, labels: DataFrame) -> pa.Table:
-    """(doc_id, text, toxic) of at most MAX_EXAMPLES labelled documents of each class."""
+    each = examples.mapInArrow(_marks, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("bad"), F.sum("clean").alias("good"))
+    ratio = (F.col("bad") / n_toxic) / ((F.col("good") + 0.5) / n_clean)
+    ok = each.where((F.col("bad") >= max(3, LEAST_SHARE * n_toxic)) & (ratio >= LEAST_RATIO))
+    got = ok.orderBy(F.desc("bad"), "feature").limit(MAX_FEATURES).select("feature").toArrow()
+    return np.asarray(got.column("feature")).astype(np.int64).view(np.uint64)
+
+
+def sample_examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, toxic) of at most MAX_EXAMPLES labelled documents of each class, checkpointed."""
+    ensure_checkpoint_dir(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     dice = F.xxhash64("doc_id", F.lit("examples"))
     # twice as many labels as examples: labels of absent documents leave enough
     parts = [known.where(F.col("toxic") == c).orderBy(dice, "doc_id").limit(2 * m) for c, m in enumerate(MAX_EXAMPLES)]
     chosen = parts[0].unionByName(parts[1]).withColumnRenamed("doc_id", "__example")
-    texts = docs.where("text is not null").join(F.broadcast(chosen), F.col("doc_id") == F.col("__example")).select("doc_id", "text", "toxic")
+    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), F.col("doc_id") == F.col("__example")).select("doc_id", "text", "toxic")
     got = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     parts = [got.where(F.col("toxic") == c).orderBy(dice, "doc_id").limit(m) for c, m in enumerate(MAX_EXAMPLES)]
-    return parts[0].unionByName(parts[1]).orderBy("doc_id").toArrow()
+    with shuffles_freed(docs.sparkSession):
+        return parts[0].unionByName(parts[1]).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("toxic").cast("int").alias("toxic")).checkpoint()
+
+
+def _example_counts(hashes):
+    def run(batches):
+        known = FeatureTable(hashes)
+        for batch in batches:
+            for part in slices(batch):
+                rows, feature, n = known.counts(part.column("text"))
+                cut = np.searchsorted(rows, np.arange(part.num_rows + 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(v.astype(np.int64))) for v in (feature, n)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), *lists], ["doc_id", "toxic", "feature", "n"])
+
+    return run
 
 
 def _frequencies(hashes):
@@ -224,15 +250,12 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple:
     """The parts of a Model: examples are bounded, corpus frequencies cover every document."""
-    got = sample_examples(docs, labels)
-    ids = np.asarray(got.column("doc_id")).astype(np.int64)
-    toxic = np.asarray(got.column("toxic")).astype(np.int64)
+    examples = sample_examples(docs, labels)
+    size = {r["toxic"]: r["count"] for r in examples.groupBy("toxic").count().collect()}
     none = (np.zeros(0, np.uint64), np.zeros(0), [], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
-    if not (toxic == 1).any() or not (toxic == 0).any():
+    if not size.get(0) or not size.get(1):
         return str(uuid.uuid4()), *none
-    text = got.column("text").combine_chunks()
-    h, rows = features_of(text)
-    hashes = pick_features(rows, h, toxic == 1)
+    hashes = pick_features(examples, size[0], size[1])
     found = docs.select("text").mapInArrow(_frequencies(hashes), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
     df, total = np.zeros(len(hashes)), 0
     for f, n in zip(*(c.to_pylist() for c in found.columns)):
@@ -241,7 +264,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple:
         else:
             df[f] = n
     idf = np.log((1 + total) / (1 + df)) + 1
-    vectors = unit_vectors(*FeatureTable(hashes).counts(text), idf, len(ids))
+    got = examples.mapInArrow(_example_counts(hashes), "doc_id long, toxic int, feature array<long>, n array<long>").toArrow().sort_by("doc_id").combine_chunks()
+    ids, toxic = (np.asarray(got.column(c)).astype(np.int64) for c in ("doc_id", "toxic"))
+    lists = [got.column(c).combine_chunks() for c in ("feature", "n")]
+    rows = np.repeat(np.arange(len(ids)), np.asarray(pc.list_value_length(lists[0])))
+    vectors = unit_vectors(rows, *(np.asarray(x.flatten()).astype(np.int64) for x in lists), idf, len(ids))
     some = [i for i, v in enumerate(vectors) if len(v[0])]
     vectors = [vectors[i] for i in some]
     index = BlockMaxIndex(vectors, len(hashes))
