@@ -124,9 +124,9 @@ def entropy(text: Column) -> Column:
 
 
 def git_timestamp(text: Column) -> Column:
-    """struct(utc, local): the instant and the author's wall clock of an ISO time with offset."""
+    """struct(utc, local): the instant and the author's wall clock of an ISO time with offset; null for other text."""
     plain = F.regexp_replace(F.trim(text), " ([+-]\\d{2}):?(\\d{2})$", "$1:$2")
-    return F.struct(F.to_timestamp(plain).alias("utc"), F.to_timestamp_ntz(F.regexp_replace(F.substring(plain, 1, 19), "T", " ")).alias("local"))
+    return F.struct(plain.try_cast("timestamp").alias("utc"), F.substring(plain, 1, 19).try_cast("timestamp_ntz").alias("local"))
 
 
 def is_date_argument(text: str) -> bool:
