@@ -183,14 +183,20 @@ def sample_examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     dice = F.xxhash64("doc_id", F.lit("examples"))
+
+    def first(df, most):
+        clean, toxic = (df.where(F.col("toxic") == c).orderBy(dice, "doc_id").limit(m) for c, m in enumerate(most))
+        return clean.unionByName(toxic)
+
     # twice as many labels as examples: labels of absent documents leave enough
-    parts = [known.where(F.col("toxic") == c).orderBy(dice, "doc_id").limit(2 * m) for c, m in enumerate(MAX_EXAMPLES)]
-    chosen = parts[0].unionByName(parts[1]).withColumnRenamed("doc_id", "__example")
-    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), F.col("doc_id") == F.col("__example")).select("doc_id", "text", "toxic")
-    got = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-    parts = [got.where(F.col("toxic") == c).orderBy(dice, "doc_id").limit(m) for c, m in enumerate(MAX_EXAMPLES)]
+    likely = first(known, [2 * m for m in MAX_EXAMPLES]).withColumnRenamed("doc_id", "__example")
+    own = docs.select("doc_id", "text").where("text is not null")
+    here = own.select("doc_id").join(F.broadcast(likely), F.col("doc_id") == F.col("__example")).select("doc_id", "toxic").distinct()
+    # only numbers go through the limits, which have one task
+    chosen = first(here, MAX_EXAMPLES).withColumnRenamed("doc_id", "__example")
+    texts = own.join(F.broadcast(chosen), F.col("doc_id") == F.col("__example")).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     with shuffles_freed(docs.sparkSession):
-        return parts[0].unionByName(parts[1]).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("toxic").cast("int").alias("toxic")).checkpoint()
+        return texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("toxic").cast("int").alias("toxic")).checkpoint()
 
 
 def _example_counts(hashes):
