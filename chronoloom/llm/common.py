@@ -157,7 +157,8 @@ def broadcast_if_small(df: DataFrame, rows: int, most: int) -> DataFrame:
 @contextlib.contextmanager
 def shuffles_freed(spark: SparkSession):
     """Shuffle files of queries that end inside are deleted as they end, not when the driver happens
-    to collect its garbage: for checkpoints, which need them no more."""
+    to collect its garbage: for checkpoints, which need them no more. A query counts by where its
+    DataFrame is made."""
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, None)
     spark.conf.set(key, "true")
@@ -168,3 +169,11 @@ def shuffles_freed(spark: SparkSession):
             spark.conf.unset(key)
         else:
             spark.conf.set(key, before)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` written to the checkpoint folder; the shuffle files behind it are deleted."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    with shuffles_freed(spark):
+        return df.select("*").checkpoint()

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, mix, process_cache, segments, shuffle_partitions, shuffles_freed, slices, word_hashes
+from .common import checkpointed, ensure_checkpoint_dir, mix, process_cache, segments, shuffle_partitions, shuffles_freed, slices, word_hashes
 
 THRESHOLD = 0.6
 NGRAM = 2
@@ -680,8 +680,7 @@ def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM)
 
     def with_text(regions):
         """Documents with the regions they are in, which are written and whose number is known."""
-        with shuffles_freed(spark):
-            regions = regions.checkpoint()
+        regions = checkpointed(regions)
         return own.join(F.broadcast(regions) if regions.count() <= MAX_BROADCAST_ROWS else regions, "doc_id")
 
     by_region = lambda df: df.repartition(buckets, "kind", "key").sortWithinPartitions("kind", "key")
@@ -720,9 +719,8 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int =
     Documents without a group stay, rows with null doc_id too. Repeated rows of a doc_id all stay
     or all go.
     """
-    pairs = jaccard_pairs(docs, threshold, n).select("doc_a", "doc_b")
+    pairs = checkpointed(jaccard_pairs(docs, threshold, n).select("doc_a", "doc_b"))
     with shuffles_freed(docs.sparkSession):
-        pairs = pairs.checkpoint()
         gone = components(pairs).where("doc_id <> group_id").select(F.col("doc_id").alias("__gone")).checkpoint()
     count = gone.count()
     gone = F.broadcast(gone) if count <= MAX_BROADCAST_ROWS else gone
