@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, table
+from .common import checkpointed, table
 
 #: Removed places up to which their table is broadcast; beyond, documents are joined by shuffle.
 MAX_BROADCAST_PLACES = 2_000_000
@@ -53,9 +53,8 @@ def removed_places(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, with_count: bool = False) -> DataFrame:
     """`docs` with the lines of later occurrences removed from `text`; with_count adds n_removed."""
-    spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
-    gone = removed_places(docs).select(F.col("doc").alias(P + "doc"), F.col("tie").alias(P + "tie"), F.col("places").alias(P + "places")).checkpoint()
+    gone = removed_places(docs).select(F.col("doc").alias(P + "doc"), F.col("tie").alias(P + "tie"), F.col("places").alias(P + "places"))
+    gone = checkpointed(gone)
     total = gone.agg(F.coalesce(F.sum(F.size(P + "places")), F.lit(0))).first()[0]
     gone = F.broadcast(gone) if total <= MAX_BROADCAST_PLACES else gone
     joined = docs.join(gone, docs["doc_id"].eqNullSafe(F.col(P + "doc")) & (F.xxhash64(docs["text"]) == F.col(P + "tie")), "left")
