@@ -4,7 +4,9 @@ A vector is the sum of one word from each of CODEBOOKS full-dimensional codebook
 as k-means of residuals and are refitted by least squares; encoding keeps the BEAM best partial
 sums at each codebook. Squared norms of the sums are stored, so that the score of a query and a code
 is a sum of CODEBOOKS look-ups in a table of the query's products with all words, and the SHORTLIST
-best are compared exactly.
+best are compared exactly. The length of what a code leaves of its vector is stored too; it bounds
+the cosine, and all codes whose bound reaches the k-th exact cosine are compared exactly as well. So
+a cell is searched exactly, also where the codes can't rank its vectors (near copies).
 
 Coarse cells keep it from being quadratic: a vector is stored in the cell of its nearest centre and
 asks in its nearest PROBE cells. How many are needed depends on the data, so they are counted on
@@ -32,6 +34,8 @@ from .embed_dedup import common_dimension, unit_rows
 K = 10
 CODEBOOKS, WORDS, BEAM = 8, 256, 6
 SHORTLIST = 160
+#: For rounding, above bounds; products of a block of queries and a cell's vectors.
+SLACK, PRODUCTS = 1e-5, 1 << 22
 CELL_ROWS = 4096
 #: Bounds of the samples for training and calibration.
 TRAIN_ROWS, CALIBRATION_ROWS = 16384, 256
@@ -169,30 +173,52 @@ def _place(model, probes, dimension):
             for i in range(0, len(all_ids), 2048):
                 ids, x = all_ids[i : i + 2048], all_x[i : i + 2048]
                 codes = np.concatenate([quantiser.encode(x[j : j + 128]) for j in range(0, len(x), 128)])
-                norms = (quantiser.decode(codes) ** 2).sum(1).astype(np.float32)
+                decoded = quantiser.decode(codes)
+                norms = (decoded**2).sum(1).astype(np.float32)
+                errors = np.linalg.norm(x - decoded, axis=1).astype(np.float32)
                 near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probes]
-                out = {k: [] for k in ("cell", "kind", "ids", "x", "codes", "norms")}
+                out = {k: [] for k in ("cell", "kind", "ids", "x", "codes", "norms", "errors")}
                 for kind, cells in ((0, near[:, :1]), (1, near)):
                     for c in np.unique(cells):
                         sel = np.flatnonzero((cells == c).any(1))
-                        row = (int(c), kind, ids[sel].tobytes(), x[sel].astype(np.float32).tobytes(), codes[sel].tobytes() if not kind else b"", norms[sel].tobytes() if not kind else b"")
+                        row = (int(c), kind, ids[sel].tobytes(), x[sel].astype(np.float32).tobytes(), codes[sel].tobytes() if not kind else b"", norms[sel].tobytes() if not kind else b"", errors[sel].tobytes() if not kind else b"")
                         for k, v in zip(out, row):
                             out[k].append(v)
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("cell", pa.int64()), ("kind", pa.int32()), *((k, pa.binary()) for k in ("ids", "x", "codes", "norms"))]))
+                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("cell", pa.int64()), ("kind", pa.int32()), *((k, pa.binary()) for k in ("ids", "x", "codes", "norms", "errors"))]))
 
     return run
 
 
-def search_cell(quantiser, ids, x, codes, norms, query_ids, queries, k, shortlist):
+def widen(near, cosine, possible, own, ids, x, queries, k):
+    """Exact cosines of all possible rows, in place of the k found."""
+    repeated = len(np.unique(ids)) < len(ids)
+    wide = np.flatnonzero(possible.any(1))
+    cols = np.flatnonzero(possible[wide].any(0))
+    s = queries[wide] @ x[cols].T
+    s[own[np.ix_(wide, cols)]] = -np.inf
+    for r, row in zip(wide, s):
+        least = np.partition(row, -k)[-k] - SLACK if len(row) > k and not repeated else -np.inf
+        c = cols[np.flatnonzero((row >= least) & np.isfinite(row))]
+        exact = np.einsum("d,sd->s", queries[r], x[c])
+        order = np.lexsort((ids[c], -exact))
+        if repeated:
+            order = order[np.sort(np.unique(ids[c][order], return_index=True)[1])]
+        order = order[:k]
+        near[r, : len(order)], cosine[r, : len(order)] = ids[c][order], exact[order]
+        cosine[r, len(order) :] = -np.inf
+
+
+def search_cell(quantiser, ids, x, codes, norms, errors, query_ids, queries, k, shortlist):
     """The k nearest of a cell's vectors for each query: look-ups, shortlist, exact cosines."""
     tables = quantiser.tables(queries)
-    score = np.zeros((len(queries), len(ids)), np.float32)
+    products = np.zeros((len(queries), len(ids)), np.float32)
     for m in range(codes.shape[1]):
-        score += tables[:, m][:, codes[:, m]]
+        products += tables[:, m][:, codes[:, m]]
+    own = query_ids[:, None] == ids[None]
     # the vector with the smallest distance to a query of unit length
-    score -= norms / 2
-    score[query_ids[:, None] == ids[None]] = -np.inf
-    take = min(shortlist, len(ids))
+    score = products - norms / 2
+    score[own] = -np.inf
+    take = min(max(shortlist, k), len(ids))
     short = np.argpartition(-score, take - 1, axis=1)[:, :take]
     exact = np.einsum("qd,qsd->qs", queries, x[short])
     exact[query_ids[:, None] == ids[short]] = -np.inf
@@ -205,7 +231,19 @@ def search_cell(quantiser, ids, x, codes, norms, query_ids, queries, k, shortlis
             exact[r, order[r][later]] = -np.inf
         order = np.lexsort((ids[short], -exact), axis=1)
     order = order[:, :k]
-    return np.take_along_axis(ids[short], order, 1), np.take_along_axis(exact, order, 1)
+    near, cosine = np.take_along_axis(ids[short], order, 1), np.take_along_axis(exact, order, 1)
+    if take < len(ids):
+        # no cosine is above these: by the product with what a code leaves, by the triangle inequality
+        bound = 1 - np.maximum(np.sqrt(np.maximum(1 - 2 * products + norms, 0)) - errors, 0) ** 2 / 2
+        possible = np.minimum(bound, products + errors) + SLACK >= cosine[:, -1:]
+        possible[own] = False
+        left = possible.copy()
+        np.put_along_axis(left, short, False, 1)
+        np.put_along_axis(possible, short, True, 1)
+        possible[~left.any(1)] = False
+        if left.any():
+            widen(near, cosine, possible, own, ids, x, queries, k)
+    return near, cosine
 
 
 def without_copies(ids, *rest):
@@ -223,21 +261,22 @@ def _search(model, dimension, k, shortlist):
     def run(group: pa.Table) -> pa.Table:
         version, _, books = model.value
         quantiser = process_cache("ann-quantiser", lambda: Quantiser(books), version)
-        base = {"ids": [], "x": [], "codes": [], "norms": []}
+        base = {"ids": [], "x": [], "codes": [], "norms": [], "errors": []}
         asked = []
         for r in group.to_pylist():
             if r["kind"]:
                 asked.append((np.frombuffer(r["ids"], np.int64), np.frombuffer(r["x"], np.float32).reshape(-1, dimension)))
             else:
-                for name, kind, shape in (("ids", np.int64, -1), ("x", np.float32, (-1, dimension)), ("codes", np.uint8, (-1, CODEBOOKS)), ("norms", np.float32, -1)):
+                for name, kind, shape in (("ids", np.int64, -1), ("x", np.float32, (-1, dimension)), ("codes", np.uint8, (-1, CODEBOOKS)), ("norms", np.float32, -1), ("errors", np.float32, -1)):
                     base[name].append(np.frombuffer(r[name], kind).reshape(shape))
         out_ids, near, cosine = [], [], []
         if base["ids"]:
-            ids, x, codes, norms = without_copies(*(np.concatenate(v) for v in base.values()))
+            ids, x, codes, norms, errors = without_copies(*(np.concatenate(v) for v in base.values()))
             for query_ids, queries in asked:
-                for i in range(0, len(queries), 128):
-                    q = slice(i, i + 128)
-                    a, b = search_cell(quantiser, ids, x, codes, norms, query_ids[q], queries[q], k, shortlist)
+                step = max(1, min(128, PRODUCTS // len(ids)))
+                for i in range(0, len(queries), step):
+                    q = slice(i, i + step)
+                    a, b = search_cell(quantiser, ids, x, codes, norms, errors, query_ids[q], queries[q], k, shortlist)
                     out_ids += query_ids[q].tolist()
                     near += [n[np.isfinite(c)].tolist() for n, c in zip(a, b)]
                     cosine += [c[np.isfinite(c)].astype(np.float64).tolist() for c in b]
@@ -259,7 +298,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = K, shortlist: int = SHORTLIS
     centres = kmeans(sample, cells, 8, rng) if cells > 1 else np.zeros((1, dimension))
     probes = _probes(vectors, dimension, centres, k)
     model = spark.sparkContext.broadcast((str(uuid.uuid4()), centres, train_quantiser(sample, rng)))
-    placed = vectors.mapInArrow(_place(model, probes, dimension), "cell long, kind int, ids binary, x binary, codes binary, norms binary")
+    placed = vectors.mapInArrow(_place(model, probes, dimension), "cell long, kind int, ids binary, x binary, codes binary, norms binary, errors binary")
     found = placed.repartition(min(cells, shuffle_partitions(spark)), "cell").groupBy("cell").applyInArrow(_search(model, dimension, k, shortlist), "vec_id long, near array<long>, cosine array<double>")
     pair = F.transform(F.arrays_zip("near", "cosine"), lambda p: F.struct((-p["cosine"]).alias("s"), p["near"].alias("n")))
     best = found.groupBy("vec_id").agg(F.array_sort(F.flatten(F.collect_list(pair))).alias("p"))

@@ -138,6 +138,26 @@ def test_nearest_neighbours_recall(spark, monkeypatch, cell):
     assert all(abs(r.cosine - s[r.vec_id, r.neighbour_id]) < 1e-4 for r in got)
 
 
+@pytest.mark.parametrize("cell", [4096, 700])
+def test_nearest_in_a_group_of_near_copies(spark, monkeypatch, cell):
+    """Thousands of near copies, which the codes can't rank, and some exact ones among them."""
+    monkeypatch.setattr(ann, "CELL_ROWS", cell)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2600, 48))
+    x[:2400] = x[0] + 0.2 * rng.normal(size=(2400, 48))
+    x[100:120] = x[100]
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    x = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    s = x @ x.T
+    np.fill_diagonal(s, -9)
+    top = np.argsort(-s, axis=1, kind="stable")[:, :10]
+    got = ann.nearest_neighbours(df).collect()
+    hit = np.array([r.neighbour_id in top[r.vec_id] for r in got if r.vec_id < 2400])
+    assert len(hit) == 24000 and np.mean(hit) >= (0.999 if cell > 2600 else 0.95), np.mean(hit)
+    assert [r.neighbour_id for r in sorted(got, key=lambda r: r["rank"]) if r.vec_id == 110] == list(range(100, 110))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 10_000), st.integers(1, 20))
 def test_block_max_search_is_exact(seed, k):
