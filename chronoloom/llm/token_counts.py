@@ -136,7 +136,9 @@ def _count(vocabulary, budgets):
                         width, changes = units.count(t)
                         counts = counts_of(changes, width)
                         row = [len(t), int(counts[-1]), width, changes]
-                        row += [len(t) if len(t) <= b else longest_within(counts, b) for b in budgets]
+                        # byte-level tokens: a text of few characters may have more tokens than that
+                        most = int(counts.max())
+                        row += [len(t) if most <= b else longest_within(counts, b) for b in budgets]
                     for c, v in zip(cols, row):
                         c.append(v)
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.binary()] + [pa.int64()] * len(budgets)

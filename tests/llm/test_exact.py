@@ -60,6 +60,22 @@ def test_whole_table_by_the_other_encoder(spark, reference):
             assert r[f"chars_in_{b}"] == max(k for k in range(len(t) + 1) if counts[k] <= b)
 
 
+def test_budgets_of_texts_with_more_tokens_than_characters(spark, reference):
+    texts = [c * n for c in ("안녕하세요 세계 ", "สวัสดีชาวโลก ", "\U0001f9ec\U0001fae0", "日本語の文章です。", "ꙮ") for n in (1, 40, 60, 300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    budgets, more = (10, 512, 2048), 0
+    for r in token_counts.prefix_token_counts(docs, budgets=budgets).collect():
+        t = texts[r.doc_id]
+        more += r.n_tokens > r.n_chars
+        counts = token_counts.counts_of(r.changes, r.width)
+        assert r.n_tokens == len(reference.encode_ordinary(t))
+        for b in budgets:
+            k = r[f"chars_in_{b}"]
+            assert k == max(i for i, n in enumerate(counts.tolist()) if n <= b)
+            assert len(reference.encode_ordinary(t[:k])) <= b and (k == len(t) or len(reference.encode_ordinary(t[: k + 1])) > b)
+    assert more > 5
+
+
 def test_decoding_of_nulls(spark):
     df = spark.createDataFrame([(1, None), (2, []), (3, [None, 5]), (None, [5])], "doc_id long, ids array<int>")
     assert {r.doc_id: r.text for r in bpe.decode_documents(df).collect()} == {1: None, 2: "", 3: None, None: "&"}
