@@ -114,17 +114,20 @@ def count_collisions(h: np.ndarray, window: float, first: int, last: int) -> np.
     return counts
 
 
-def _pairs(dimension, threshold, how):
+def _pairs(dimension, threshold, how, whole):
     lines_seed = SEED + 3
 
+    some = slice(None if whole else 1)
+
     def region(ids, blobs, out):
         by: dict = {}
         for d, b in zip(ids, blobs):
             by.setdefault(b, set()).add(d)
         groups = [sorted(g) for g in by.values()]
         for g in groups:
-            for d in g[1:]:
-                out.append((g[0], d, 1.0))
+            for k, c in enumerate(g[some]):
+                out += [(c, d, 1.0) for d in g[k + 1 :]]
+                yield
         if len(groups) < 2:
             return
         x = np.frombuffer(b"".join(by), np.float64).reshape(len(groups), dimension)
@@ -135,9 +138,9 @@ def _pairs(dimension, threshold, how):
             a, b = a[b > a + i], b[b > a + i]
             cosine = np.einsum("ij,ij->i", x[a + i], x[b])
             for k in np.flatnonzero(cosine >= threshold):
-                p, q = groups[a[k] + i][0], groups[b[k]][0]
-                if p != q:
-                    out.append((min(p, q), max(p, q), float(cosine[k])))
+                for p in groups[a[k] + i][some]:
+                    out += [(min(p, q), max(p, q), float(cosine[k])) for q in groups[b[k]][some] if p != q]
+                    yield
 
     def flush(out):
         a, b, c = zip(*out) if out else ((), (), ())
@@ -147,26 +150,29 @@ def _pairs(dimension, threshold, how):
 
     def run(batches):
         now, ids, blobs, out = None, [], [], []
+
+        def joined():
+            """Full batches of the region's pairs; the rest stays in out."""
+            for _ in region(ids, blobs, out) if len(ids) > 1 else ():
+                if len(out) > 10_000:
+                    yield flush(out)
+                    out.clear()
+
         for batch in batches:
             for t, r, d, v in zip(*(batch.column(k).to_pylist() for k in ("t", "region", "vec_id", "v"))):
                 if (t, r) != now:
-                    if len(ids) > 1:
-                        region(ids, blobs, out)
+                    yield from joined()
                     now, ids, blobs = (t, r), [], []
                 ids.append(d)
                 blobs.append(v)
-            if len(out) > 10_000:
-                yield flush(out)
-                out = []
-        if len(ids) > 1:
-            region(ids, blobs, out)
+        yield from joined()
         yield flush(out)
 
     return run
 
 
-def embedding_pairs(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(vec_a < vec_b, cosine) of near-equal vectors."""
+def embedding_pairs(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, whole: bool = False) -> DataFrame:
+    """(vec_a < vec_b, cosine) of near-equal vectors; of equal ones the smallest vec_id stands for all, unless whole."""
     spark = vectors.sparkSession
     rows, dimension = common_dimension(vectors)
     if not dimension:
@@ -174,7 +180,7 @@ def embedding_pairs(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     how = plan(rows, dimension, threshold, recall)
     spread = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_spread(dimension, how), "t int, region long, vec_id long, v binary")
     placed = spread.repartition(shuffle_partitions(spark), "t", "region").sortWithinPartitions("t", "region")
-    pairs = placed.mapInArrow(_pairs(dimension, threshold, how), "vec_a long, vec_b long, cosine double")
+    pairs = placed.mapInArrow(_pairs(dimension, threshold, how, whole), "vec_a long, vec_b long, cosine double")
     return pairs.groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine"))
 
 
@@ -191,6 +197,10 @@ def query(spark, sf_dir: str) -> DataFrame:
     return embedding_pairs(table(spark, sf_dir, "embeddings")).select("vec_a", "vec_b", F.round("cosine", 4).alias("cosine"))
 
 
+def query_all(spark, sf_dir: str) -> DataFrame:
+    return embedding_pairs(table(spark, sf_dir, "embeddings"), whole=True).select("vec_a", "vec_b", F.round("cosine", 4).alias("cosine"))
+
+
 ORACLE_SQL = """
 WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, min(vec_id) OVER (PARTITION BY embedding) AS rep FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL)
 SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, round(list_cosine_similarity(a.v, b.v), 4) AS cosine

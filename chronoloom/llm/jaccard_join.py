@@ -605,7 +605,9 @@ def metric_join(sets: list, threshold: float, small: int = 200, pivots: int = 6,
     return [(i, j, c) for (i, j), c in found.items()]
 
 
-def _regions(threshold):
+def _regions(threshold, whole):
+    """Pairs of each region; of documents with equal sets the smallest one stands for all, unless whole."""
+
     def join(kind, key, rows, out):
         by: dict = {}
         for d, k, b in rows:
@@ -632,36 +634,50 @@ def _regions(threshold):
 
         for i, d in enumerate(groups):
             if len(d) > 1 and mine(i, i):
-                for x in d[1:]:
-                    put(d[0], x, len(sets[i]), len(sets[i]))
+                for k, a in enumerate(d if whole else d[:1]):
+                    for x in d[k + 1 :]:
+                        put(a, x, len(sets[i]), len(sets[i]))
+                    yield
+        some = slice(None if whole else 1)
         for i, j, c in metric_join(sets, threshold):
             if mine(i, j):
-                put(groups[i][0], groups[j][0], c, len(sets[i]) + len(sets[j]) - c)
+                for a in groups[i][some]:
+                    for b in groups[j][some]:
+                        put(a, b, c, len(sets[i]) + len(sets[j]) - c)
+                    yield
 
     def run(batches):
         """Rows come sorted by region; each region is joined when its last row has come."""
         schema = pa.schema([("doc_a", pa.int64()), ("doc_b", pa.int64()), ("common", pa.int64()), ("union", pa.int64())])
         out = {k: [] for k in schema.names}
         now, rows = None, []
+
+        def joined():
+            """Full batches of the region's pairs; the rest stays in out."""
+            for _ in join(*now, rows, out) if len(rows) > 1 else ():
+                if len(out["doc_a"]) > 10_000:
+                    yield pa.RecordBatch.from_pydict(out, schema=schema)
+                    for v in out.values():
+                        v.clear()
+
         for batch in batches:
             for kind, key, *row in zip(*(batch.column(k).to_pylist() for k in ("kind", "key", "doc_id", "sketch", "grams"))):
                 if (kind, key) != now:
-                    if len(rows) > 1:
-                        join(*now, rows, out)
+                    yield from joined()
                     now, rows = (kind, key), []
                 rows.append(row)
-            if len(out["doc_a"]) > 10_000:
-                yield pa.RecordBatch.from_pydict(out, schema=schema)
-                out = {k: [] for k in schema.names}
-        if len(rows) > 1:
-            join(*now, rows, out)
+        yield from joined()
         yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     return run
 
 
-def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM) -> DataFrame:
-    """Pairs (doc_a < doc_b, common, union, jaccard) with jaccard >= threshold; see the module."""
+def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, whole: bool = False) -> DataFrame:
+    """Pairs (doc_a < doc_b, common, union, jaccard) with jaccard >= threshold; see the module.
+
+    With whole every pair of documents is a row; without, of documents with equal sets the smallest
+    doc_id is paired with its copies and alone with others.
+    """
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -687,7 +703,7 @@ def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM)
     maps = by_region(with_text(placed).mapInArrow(_bitmaps(n, order), BITMAP))
     met = maps.mapInArrow(_meetings(threshold), "doc_id long, kind int, key long, sketch binary")
     sets = with_text(met.groupBy("doc_id").agg(*packs, F.max("sketch").alias("sketch"))).mapInArrow(_sets(n, order), REGION)
-    pairs = by_region(sets).mapInArrow(_regions(threshold), "doc_a long, doc_b long, common long, union long")
+    pairs = by_region(sets).mapInArrow(_regions(threshold, whole), "doc_a long, doc_b long, common long, union long")
     return pairs.withColumn("jaccard", F.col("common") / F.col("union"))
 
 

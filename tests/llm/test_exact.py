@@ -102,6 +102,32 @@ def test_pairs_of_near_copies(spark, seed):
         assert got == pytest.approx(brute.jaccard_pairs([(r[0], r[1]) for r in rows], threshold, n))
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_all_pairs_of_near_copies(spark, seed):
+    """Copies with copies and copies with near copies, against every two documents."""
+    rows = near_copies(seed)
+    rows += [(len(rows) + i, rows[i % 7][1], "en", "a", 0) for i in range(30)] + [(3, "now " + rows[5][1], "en", "a", 0)]
+    sets, true = [(r[0], brute.grams(r[1])) for r in rows], set()
+    for i, (a, s) in enumerate(sets):
+        true |= {(min(a, b), max(a, b)) for b, t in sets[:i] if a != b and s and len(s & t) / len(s | t) >= 0.6 - 1e-12}
+    got = jaccard_join.jaccard_pairs(messy.docs(spark, rows), 0.6, 2, whole=True).collect()
+    assert {(r.doc_a, r.doc_b) for r in got} == true
+    star = jaccard_join.jaccard_pairs(messy.docs(spark, rows), 0.6, 2).count()
+    assert star < len(true)
+
+
+def test_all_embedding_pairs(spark):
+    df, s = unit_table(spark, rows=500)
+    copies = [(500 + i, i % 5) for i in range(40)]
+    df = df.union(df.where("vec_id < 5").crossJoin(spark.range(8).toDF("c")).selectExpr("500 + c * 5 + vec_id", "embedding"))
+    of = np.array(list(range(500)) + [o for _, o in copies])
+    a, b = np.nonzero(np.triu(s[np.ix_(of, of)] >= embed_dedup.THRESHOLD, 1))
+    true = set(zip(a.tolist(), b.tolist()))
+    got = {(r.vec_a, r.vec_b) for r in embed_dedup.embedding_pairs(df, whole=True).collect()}
+    assert got <= true and len(got) >= 0.97 * len(true)
+    assert {(i, j) for i, j in true if of[i] == of[j]} <= got
+
+
 @pytest.mark.parametrize("seed", [4, 5])
 def test_recursion_over_pivots(seed):
     sets = sorted({tuple(sorted({hash(g) % 2**31 for g in brute.grams(r[1])})) for r in near_copies(seed, 40, 12)})
