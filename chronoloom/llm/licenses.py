@@ -4,7 +4,7 @@ text's identifiers is matched against ordered rules.
 A text is cut into sentences at line ends and at . ! ? before white space, after lines that were
 wrapped are joined again (a lower-case letter or comma before, a lower-case letter after; or
 capitals on both sides). A sentence is normalised to its lower-case letters and digits with single
-spaces. Unknown sentences have identifier 0, and break a sequence. Of each licence the first of
+spaces; marks of a list before it ("1. ", "(a) ", "iv) ") are no sentences and no part of it. Unknown sentences have identifier 0, and break a sequence. Of each licence the first of
 its rules whose identifiers occur in a row gives the kind of match, fullest first.
 
 All of it runs in the JVM; one narrow stage without a shuffle.
@@ -80,11 +80,15 @@ RULES = {
     "Unlicense": [("text", (60,))],
 }
 
+#: Numbers, letters and small Roman numbers of list items, at the start of a line.
+LIST_MARK = "(?m)^[ \\t]*(?:[-*+>][ \\t]+)*(?:\\(?(?:[0-9]{1,2}|[A-Za-z]|[ivxIVX]{1,4})[.)]+[ \\t]+)(?=[A-Za-z])"
+
 
 def sentences(text):
     """Normalised sentences of a text column, in order."""
     wrapped = F.regexp_replace(text, "([a-z,])[ \\t]*\\n[ \\t]*([a-z])", "$1 $2")
     wrapped = F.regexp_replace(wrapped, "([A-Z,])[ \\t]*\\n[ \\t]*([A-Z][A-Z])", "$1 $2")
+    wrapped = F.regexp_replace(wrapped, LIST_MARK, "")
     cut = F.split(F.regexp_replace(F.lower(wrapped), "[.!?]+([ \\t\\n\\r]|$)", "\n"), "\n")
     return F.filter(F.transform(cut, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))), lambda s: s != "")
 

@@ -85,6 +85,20 @@ def test_license_rules_in_order(spark):
     assert got[4][0] == "<0><21><0>" and got[5] == ("<5><80>", "MIT:reference,Proprietary:reference") and got[6] == ("", "")
 
 
+@pytest.mark.parametrize("marks", [("1. ", "2. ", "3. "), ("  (a) ", "  (b) ", "  (c) "), ("* ", "* ", "* "), ("i) ", "ii) ", "iii) "), ("", "", "")])
+def test_licenses_with_numbered_clauses(spark, marks):
+    clauses = [
+        "Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.",
+    ]
+    head = "Copyright (c) 2020, A. Person\nAll rights kept.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n"
+    rows = [(n, head + "\n\n".join(m + c for m, c in zip(marks, clauses[:n])) + "\n\nTHIS SOFTWARE IS PROVIDED AS IS.", "en", "a", 0) for n in (2, 3)]
+    got = {r.doc_id: r for r in licenses.scan_licenses(messy.docs(spark, rows)).collect()}
+    assert got[2].matches == "BSD-2-Clause:text" and "BSD-3-Clause:text" in got[3].matches
+    assert "<20><21><22><23>" in got[3].sequence
+
+
 def test_bpe_of_null_and_empty(spark):
     got = {r.doc_id: r for r in bpe.encode_documents(messy.docs(spark)).collect()}
     assert got[5].ids is None and got[5].n_tokens == 0 and got[5].exact is None and got[4].ids == [] and got[4].exact
