@@ -405,6 +405,12 @@ def text_entropy(r, spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.floor(1e6 * S.entropy(key) + 1e-3).cast("long").alias("entropy_e6"))
 
 
+@query(None)
+def document_entropy(r, spark, d):
+    """Of whole texts; text_entropy is of their metadata, as its SQL."""
+    return text.text_entropy(spark.read.parquet(f"{d}/documents.parquet"))
+
+
 # text
 _LINES = "l AS (SELECT path, unnest(string_split(regexp_replace(replace(content, chr(13) || chr(10), chr(10)), '\\n$', ''), chr(10))) AS line FROM files), b AS (SELECT path, line, trim(regexp_replace(line, '//.*$|#.*$', ''), ' ') AS bare FROM l)"
 
