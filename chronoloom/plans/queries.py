@@ -494,14 +494,34 @@ def refactoring_targets(r, spark, d):
     return findings.refactoring_targets(history.file_churn(r("file_changes")), _proxy(r))
 
 
-def _all_findings(r):
+def _hot(r):
+    """Lifetimes by path."""
+    paths = r("file_changes").select(F.col("rev").alias("intro_rev"), F.regexp_extract("file", "(f\\d+)\\.", 1).alias("file"), F.col("file").alias("__path"))
+    return szz.lifetimes(r("szz_matches").join(paths, ["intro_rev", "file"]).withColumn("file", F.col("__path")).drop("__path"), "file")
+
+
+def _text_findings(r, spark):
+    """What the texts of files show: lexical metrics, clean code, cycles of imports."""
+    checkpoint_dir(spark)
+    files = r("files")
+    return [
+        findings.classify_lexical(lexical.lexical_suite(files)),
+        findings.classify_clean_code(text.clean_code(files)),
+        findings.classify_cycles(text.import_cycles(text.dart_imports(files))),
+    ]
+
+
+def _all_findings(r, spark, d):
+    """Written once, as rules and counts read them again."""
     c, fc = r("commits"), r("file_changes")
     buckets = velocity.velocity(r("activity"))
-    hot = r("szz_matches").join(fc.select(F.col("rev").alias("intro_rev"), F.regexp_extract("file", "(f\\d+)\\.", 1).alias("file"), F.col("file").alias("__path")), ["intro_rev", "file"]).withColumn("file", F.col("__path")).drop("__path")
     return findings.union([
+        *_text_findings(r, spark),
+        findings.classify_secrets(security.secrets(text.text_lines(r("files")), "line"), "path"),
+        findings.classify_dependencies(security.dependency_freshness(*_deps(spark, d))),
         findings.classify_bus_factor(c.groupBy("author").agg(F.count("*").alias("commits"))),
         findings.classify_ownership(history.ownership(c, fc)),
-        findings.classify_hotspots(szz.lifetimes(hot, "file")),
+        findings.classify_hotspots(_hot(r)),
         findings.classify_complexity(_proxy(r)),
         findings.classify_top_decile(history.file_churn(fc), "churn", "codeQuality", "changes"),
         findings.classify_top_decile(history.volatility(c, fc), "volatility", "codeVolatility", "score"),
@@ -512,37 +532,38 @@ def _all_findings(r):
         findings.classify_count(history.suspicious_commits(c), "hygiene", "suspicious_commits"),
         findings.classify_drift(coupling.drift_summary(fc, r("layers")), coupling.drift_smells(fc, r("layers"))),
         findings.classify_refactoring(history.refactorings(c, fc)),
-    ])
+    ]).checkpoint()
 
 
 @query(None)
 def findings_ranked(r, spark, d):
-    return findings.ranked(_all_findings(r))
+    return findings.ranked(_all_findings(r, spark, d))
 
 
 @query(None)
 def compound_rules(r, spark, d):
-    return findings.compounds(_all_findings(r))
+    return findings.compounds(_all_findings(r, spark, d))
 
 
 @query(None)
 def severity_counts(r, spark, d):
-    return findings.severity_counts(_all_findings(r))
+    return findings.severity_counts(_all_findings(r, spark, d))
 
 
 @query(None)
 def report_payload(r, spark, d):
     """The audit: everything, with its larger bounds."""
     targets = findings.refactoring_targets(history.file_churn(r("file_changes")), _proxy(r))
-    return findings.report(_all_findings(r), "repository_audit", 12, 8, targets)
+    return findings.report(_all_findings(r, spark, d), "repository_audit", 12, 8, targets)
 
 
 @query(None)
 def technical_report(r, spark, d):
     c, fc = r("commits"), r("file_changes")
     parts = [findings.classify_ownership(history.ownership(c, fc)), findings.classify_complexity(_proxy(r)), findings.classify_top_decile(history.file_churn(fc), "churn", "codeQuality", "changes"),
-             findings.classify_coupling(coupling.logical_coupling(fc, least=2)), findings.classify_drift(coupling.drift_summary(fc, r("layers")), coupling.drift_smells(fc, r("layers")))]
-    return findings.report(findings.in_refactoring_context(findings.union(parts), fc.where("status = 'R'")), "technical", targets=findings.refactoring_targets(history.file_churn(fc), _proxy(r)))
+             findings.classify_coupling(coupling.logical_coupling(fc, least=2)), findings.classify_drift(coupling.drift_summary(fc, r("layers")), coupling.drift_smells(fc, r("layers"))), findings.classify_hotspots(_hot(r)),
+             findings.classify_top_decile(history.volatility(c, fc), "volatility", "codeVolatility", "score"), findings.classify_refactoring(history.refactorings(c, fc)), *_text_findings(r, spark)]
+    return findings.report(findings.in_refactoring_context(findings.union(parts).checkpoint(), fc.where("status = 'R'")), "technical", targets=findings.refactoring_targets(history.file_churn(fc), _proxy(r)))
 
 
 @query(None)
@@ -566,8 +587,10 @@ def pm_report(r, spark, d):
 def code_review_report(r, spark, d):
     c, fc = r("commits"), r("file_changes")
     parts = [findings.classify_secrets(security.secrets(text.text_lines(r("files")), "line"), "path"), findings.classify_complexity(_proxy(r)), findings.classify_clean_code(text.clean_code(r("files"))),
-             findings.classify_lexical(lexical.lexical_suite(r("files"))), findings.classify_ownership(history.ownership(c, fc)), findings.classify_top_decile(history.file_churn(fc), "churn", "codeQuality", "changes")]
-    return findings.report(findings.in_refactoring_context(findings.union(parts), fc.where("status = 'R'")), "code_review", targets=findings.refactoring_targets(history.file_churn(fc), _proxy(r)))
+             findings.classify_lexical(lexical.lexical_suite(r("files"))), findings.classify_ownership(history.ownership(c, fc)), findings.classify_top_decile(history.file_churn(fc), "churn", "codeQuality", "changes"),
+             findings.classify_hotspots(_hot(r))]
+    checkpoint_dir(spark)
+    return findings.report(findings.in_refactoring_context(findings.union(parts).checkpoint(), fc.where("status = 'R'")), "code_review", targets=findings.refactoring_targets(history.file_churn(fc), _proxy(r)))
 
 
 @query(_bucket("week", "%Y-%m-%d").replace("AS burnout", "AS off_hours"), "activity")
