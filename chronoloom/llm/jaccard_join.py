@@ -8,27 +8,37 @@ Jaccard distance 1 - J is a metric. The join is a recursion over pivots:
   total order of the n-grams breaks the ties. A partner within eps = 1 - threshold shares at least
   c = ceil(threshold * |x|) n-grams with x, so the first m n-grams that both share are among the
   |x| - c + m first ones of x: this is the window of regions to which x is replicated (m is 1 plus a
-  share of |x|). A document that has fewer n-grams in common with others than m of its smallest
-  possible partner has no partner. Documents as pivots would do nothing here: nearly all pairs of documents in a corpus
-  are at distance 1 exactly, so every window would hold every region.
+  share of |x|). Documents as pivots would do nothing here: nearly all pairs of documents in a
+  corpus are at distance 1 exactly, so every window would hold every region.
 * The order is by expected document frequency (from counts of words and repeated n-grams over all
   documents), rarest first. Any order gives the same pairs; this one leaves regions small.
-* A document stays in a region only if another one there has a compatible size and the two don't
-  meet in another region already; sketches of the shared n-grams decide that.
-* Before whole sets are sent, bitmaps of them are, two bits or so for an n-gram: as many bits differ
-  at most as n-grams do, so documents whose bitmaps differ more than a pair at the threshold can are
-  no pair. Only documents with somebody left in a region send their set to it.
-* Level 1 and deeper. Inside a region documents are pivots: each document goes to the Voronoi
+* Level 1. A document keeps the regions in which another one of a compatible size lies. A partner
+  shares at least m' of them with it (m of the smallest possible partner). Regions of few documents
+  name these by prints, so that whoever is met less than m' times, all larger regions of the document
+  added, is no partner, and regions without a possible partner go. If s are left, the first common
+  one is among the s - m' + 1 first in any order: now by the number of documents that really are in
+  a region, fewest first. Documents with fewer than m' have no partner.
+* Documents that are alike share most of their regions. They meet once: a sketch of a document's
+  shared n-grams (its smallest prints) makes regions of its own (kind 1), a pair meets in the region
+  of its smallest common print, and only pairs without common prints meet in a region of level 1
+  (kind 0).
+* Before whole sets are sent to a region, bitmaps of them are, two bits or so for an n-gram: as many
+  bits differ at most as n-grams do, so documents whose bitmaps differ more than a pair at the
+  threshold can are no pair. Only documents with somebody left in a region send their set to it.
+* Level 2 and deeper. Inside a region documents are pivots: each document goes to the Voronoi
   cell of its nearest pivot and, for every other pivot p, to the window d(x, p) <= d(x, home) +
   2 eps; cells are split again until small or no longer shrinking, then compared in full.
-* A pair is reported only by the one region in which its documents are to meet.
+* A region of many documents is cut into blocks, and a task compares two blocks.
+
+Documents are known by their sets (64 bits of a hash), so copies are one from the first shuffle on
+and what a task sends for a large group of copies doesn't grow with it. Shuffled entries are packed
+in byte planes of differences.
 
 Defined results: words are runs of characters above U+0020 of the lower-cased text. A text of 1 to
-n-1 words has one n-gram, of all its words. Rows with a null doc_id, a null text or no words join
-nothing. Documents with equal sets are linked to the one with the smallest doc_id (jaccard 1), and
-only that one is paired with others: a group of k copies gives k - 1 rows. Repeated rows (same
-doc_id and same set) count once; a doc_id with several different texts has a set for each, each
-pairing of two texts is a row, and pairs within one doc_id are left out. Other columns are not read.
+n-1 words has one n-gram, of all its words. doc_id must be a whole number (or castable to long; else
+it is null). Rows with a null doc_id take no part. Texts that are null or without words are linked to
+nothing. Repeated rows (same doc_id and same set) count once; a doc_id with several different texts
+has a set, and a row of its result, for each. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,6 +47,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,11 +62,24 @@ EVIDENCE = 0.12
 SKETCH = 8
 #: Entries of a region up to which it is tested together with others of its size.
 FEW = 64
-#: Bounds of what is broadcast; they only steer the order of n-grams, never the result.
+#: Bounds of what steers the order of n-grams, never the result.
 MAX_WORDS = 200_000
 MAX_REPEATED = 500_000
-#: Live documents up to which their list is broadcast; beyond, documents are joined by shuffle.
+#: Documents of a region up to which they are named to each other.
+NAMED = 16
+#: Documents of an n-gram from which its region is taken as shared without being brought together.
+HOT = 200_000
+#: Bytes up to which a side is broadcast; beyond, the same join is done by shuffle.
+MAX_BROADCAST_BYTES = 8_000_000
+#: Ids up to which the documents that go are broadcast.
 MAX_BROADCAST_ROWS = 500_000
+#: Documents, and n-grams, of a block of a region.
+BLOCK, BLOCK_GRAMS = 2048, 1_500_000
+#: Entries of level 0 that a task gets.
+TASK_ENTRIES = 1_500_000
+#: Cells of a dense matrix.
+CELLS = 4_000_000
+LOW58 = np.uint64((1 << 58) - 1)
 
 
 def prefix_length(sizes: np.ndarray, threshold: float) -> np.ndarray:
@@ -77,7 +101,7 @@ class _Order:
 
     BITS = 21
 
-    def __init__(self, words, weights, repeated):
+    def __init__(self, words, weights, repeated, hot):
         shift = np.uint64(64 - self.BITS)
         self.shift = shift
         self.word = np.zeros(1 << self.BITS, np.uint64)
@@ -87,6 +111,7 @@ class _Order:
         self.weight[words[by] >> shift] = weights[by]
         self.repeated = np.zeros(1 << self.BITS, np.uint64)
         self.repeated[self.slot(repeated)] = repeated
+        self.hot = np.sort(hot)
 
     def slot(self, key):
         return (key << np.uint64(6)) >> self.shift
@@ -95,6 +120,11 @@ class _Order:
         s = h >> self.shift
         return np.where(self.word[s] == h, self.weight[s], 0)
 
+    def is_hot(self, gram):
+        if not len(self.hot):
+            return np.zeros(len(gram), bool)
+        return self.hot[np.minimum(np.searchsorted(self.hot, gram), len(self.hot) - 1)] == gram
+
 
 def _tables(order):
     version, *arrays = order.value
@@ -143,295 +173,405 @@ def _ngrams(batch, n, order=None):
     return key[keep], total[begin]
 
 
+def set_ids(key: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each row's set, whatever the order of its n-grams."""
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(key & LOW58))))
+    return mix(sums[starts[1:]] - sums[starts[:-1]] + np.diff(starts).astype(np.uint64)).view(np.int64)
+
+
 def _clean(batch):
-    ok = pa.compute.and_(batch.column("doc_id").is_valid(), batch.column("text").is_valid())
-    return batch.filter(ok)
+    return batch.filter(pc.and_(batch.column("doc_id").is_valid(), batch.column("text").is_valid()))
+
+
+FOUND = "kind int, h long, c long"
+WORD, GRAM, DOCUMENT, ENTRIES = range(4)
 
 
-def _statistics(n):
+def _statistics(n, threshold):
     def run(batches):
-        """Words and n-grams that recur within this task, with their counts."""
-        hs, ks, held = [], [], 0
+        """Words and n-grams that recur within this task, with their counts; the set of each document."""
+        hs, ks, held, entries = [], [], 0, 0
+
+        def row(kind, h, c):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(c), kind, np.int32)), h if isinstance(h, pa.Array) else pa.array(h), pa.array(c)], ["kind", "h", "c"])
 
         def out():
-            for kind, parts, least in ((0, hs, 8), (1, ks, 4)):
+            for kind, parts, least in ((WORD, hs, 8), (GRAM, ks, 4)):
                 if parts:
                     v, c = np.unique(np.concatenate(parts), return_counts=True)
                     v, c = v[c >= least], c[c >= least]
-                    yield pa.RecordBatch.from_pydict({"kind": np.full(len(v), kind, np.int32), "h": v.view(np.int64), "c": c.astype(np.int64)})
+                    yield row(kind, v.view(np.int64), c.astype(np.int64))
 
         for batch in batches:
-            for part in slices(_clean(batch)):
+            batch = batch.filter(batch.column("doc_id").is_valid())
+            batch = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text").fill_null("")], ["doc_id", "text"])
+            for part in slices(batch):
                 key, starts = _ngrams(part, n)
+                sizes, ids = np.diff(starts), set_ids(key, starts)
+                yield row(DOCUMENT, pa.array(ids, mask=sizes == 0), np.asarray(part.column("doc_id").cast(pa.int64())))
+                entries += int(prefix_length(sizes, threshold).sum())
                 # equal documents of a slice count once
-                seen = {}
-                for i in range(len(starts) - 1):
-                    seen.setdefault(key[starts[i] : starts[i + 1]].tobytes(), i)
-                rows = np.fromiter(seen.values(), np.int64, len(seen))
-                ks.append(key[segments(starts[rows], starts[rows + 1] - starts[rows])])
+                rows = np.unique(ids, return_index=True)[1]
+                ks.append(key[segments(starts[rows], sizes[rows])])
                 hs.append(word_hashes(part.column("text"))[0])
                 held += len(hs[-1])
-                if held > 3_000_000:
+                if held > 2_000_000:
                     yield from out()
                     hs, ks, held = [], [], 0
         yield from out()
+        yield row(ENTRIES, np.zeros(1, np.int64), np.array([entries], np.int64))
 
     return run
 
 
-def _order(docs: DataFrame, n: int):
-    """Sorted hashes and log2 counts of common words; sorted hashes of repeated n-grams."""
-    found = docs.select("doc_id", "text").mapInArrow(_statistics(n), "kind int, h long, c long")
-    total = found.groupBy("kind", "h").agg(F.sum("c").alias("c"))
-    tops = []
-    for kind, most in ((0, MAX_WORDS), (1, MAX_REPEATED)):
-        t = total.where(F.col("kind") == kind).orderBy(F.desc("c"), "h").limit(most).select("h", "c")
-        tops.append(t.withColumn("kind", F.lit(kind)))
-    got = tops[0].unionByName(tops[1]).toArrow()
+def _order(found: DataFrame):
+    """(order, entries): hashes and log2 counts of common words, hashes of repeated and of hot
+    n-grams; how many entries level 0 has."""
+    total = found.where(F.col("kind") != DOCUMENT).groupBy("kind", "h").agg(F.sum("c").alias("c"))
+    tops = [total.where(F.col("kind") == ENTRIES)]
+    for kind, most in ((WORD, MAX_WORDS), (GRAM, MAX_REPEATED)):
+        tops.append(total.where(F.col("kind") == kind).orderBy(F.desc("c"), "h").limit(most))
+    got = tops[0].unionByName(tops[1]).unionByName(tops[2]).toArrow()
     kind, h, c = (np.asarray(got.column(x)) for x in ("kind", "h", "c"))
     h = h.astype(np.int64).view(np.uint64)
-    w, g = kind == 0, kind == 1
+    w, g = kind == WORD, kind == GRAM
     weight = np.floor(np.log2(np.maximum(c[w], 1)) * 1.5).astype(np.int8)
-    return str(uuid.uuid4()), h[w], weight, h[g]
-
+    return (str(uuid.uuid4()), h[w], weight, h[g], h[g & (c >= HOT)]), int(c[kind == ENTRIES].sum())
 
-def _packed(bucket, buckets, columns):
-    """For each bucket a row of packed arrays: fewer and smaller rows than one for each entry."""
-    by = np.argsort(bucket, kind="stable")
-    cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
-    out = {"bucket": [], **{k: [] for k in columns}}
-    for b in np.flatnonzero(np.diff(cut)):
-        sel = by[cut[b] : cut[b + 1]]
-        out["bucket"].append(int(b))
-        for k, v in columns.items():
-            out[k].append(v[sel].tobytes())
-    return pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int32())] + [(k, pa.binary()) for k in columns]))
 
+def planes(a: np.ndarray) -> bytes:
+    """The bytes of an array, all first ones, then all second ones...: high ones compress to nothing."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
 
-def _unpacked(batches, types):
-    """The arrays of all rows of `_packed`, one after another."""
-    parts = {k: [] for k in types}
-    for batch in batches:
-        for k in types:
-            parts[k] += [np.frombuffer(x, types[k]) for x in batch.column(k).to_pylist()]
-    return [np.concatenate(v) if v else np.zeros(0, types[k]) for k, v in parts.items()]
 
+def unplanes(b: bytes, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(b, np.uint8).reshape(width, -1).T.copy().view(kind).ravel()
 
-def _size_code(sizes):
-    """Sizes in 2 bytes: their logarithm in steps of 0.5 %."""
-    return np.floor(np.log(np.maximum(sizes, 1)) / np.log(1.005)).astype(np.uint16)
 
+REPLICA = "bucket int, hot boolean, gram binary, at binary, id binary, size binary"
 
-def _size_reach(threshold):
-    """Codes of sizes whose ratio is at least `threshold` differ by at most this."""
-    return int(np.ceil(-np.log(threshold) / np.log(1.005))) + 1
 
+def _replicas(n, threshold, buckets, bits, order):
+    schema = pa.schema([("bucket", pa.int32()), ("hot", pa.bool_()), *((k, pa.binary()) for k in ("gram", "at", "id", "size"))])
 
-def _replicas(n, threshold, buckets, order):
     def run(batches):
-        """The windows of level 0: an entry (n-gram, document, size) for each region."""
+        """The windows of level 0: an entry (n-gram, set, size) for each region, packed by bucket.
+
+        Entries of hot n-grams are spread over all buckets by their sets.
+        """
         tables = _tables(order)
-        held, size = [], 0
+        held, documents, size = [], 0, 0
 
         def flush():
-            gram, ids, sizes = (np.concatenate(x) for x in zip(*held))
-            return _packed((mix(gram) % np.uint64(buckets)).astype(np.int64), buckets, {"gram": gram, "id": ids, "size": sizes})
+            gram, at = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+            ids, sizes = np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])
+            hot = tables.is_hot(gram)
+            gram >>= np.uint64(58 - bits)
+            bucket = ((gram * np.uint64(buckets)) >> np.uint64(bits)).astype(np.int64)
+            if hot.any():
+                bucket[hot] = (mix(ids[at[hot]].view(np.uint64) ^ gram[hot]) % np.uint64(buckets)).astype(np.int64) + buckets
+            by = np.lexsort((gram, bucket)) if hot.any() else np.argsort(gram)
+            gram, at, bucket = gram[by], at[by], bucket[by]
+            edge = np.flatnonzero(np.diff(bucket, prepend=-1, append=1 << 40))
+            out = {k: [] for k in schema.names}
+            for a, b in zip(edge[:-1], edge[1:]):
+                own, place = np.unique(at[a:b], return_inverse=True)
+                place = place.astype(np.uint16 if len(own) < 65536 else np.uint32)
+                step = np.diff(gram[a:b], prepend=np.uint64(0))
+                row = (bucket[a] % buckets, bucket[a] >= buckets, planes(step), planes(place), planes(ids[own]), planes(sizes[own]))
+                for k, v in zip(out, row):
+                    out[k].append(v)
+            return pa.RecordBatch.from_pydict(out, schema=schema)
 
         for batch in batches:
             for part in slices(_clean(batch)):
                 key, starts = _ngrams(part, n, tables)
-                sizes = np.diff(starts)
-                some = np.flatnonzero(sizes)
-                sizes, begin = sizes[some], starts[:-1][some]
+                ids, first = np.unique(set_ids(key, starts), return_index=True)
+                sizes = np.diff(starts)[first]
+                ids, first, sizes = ids[sizes > 0], first[sizes > 0], sizes[sizes > 0]
                 length = prefix_length(sizes, threshold)
-                ids = np.asarray(part.column("doc_id").cast(pa.int64()))[some]
-                held.append((key[segments(begin, length)], np.repeat(ids, length), np.repeat(_size_code(sizes), length)))
+                held.append((key[segments(starts[first], length)] & LOW58, np.repeat(np.arange(len(ids)) + documents, length), ids, sizes.astype(np.uint32)))
+                documents += len(ids)
                 size += int(length.sum())
                 if size > 800_000:
                     yield flush()
-                    held, size = [], 0
+                    held, documents, size = [], 0, 0
         if size:
             yield flush()
 
     return run
 
 
+SHARED = "bucket int, gram binary, f binary, others binary, id binary, n binary, size binary"
+
+
 def _shared(threshold, buckets):
-    reach = _size_reach(threshold)
+    schema = pa.schema([("bucket", pa.int32()), *((k, pa.binary()) for k in ("gram", "f", "others", "id", "n", "size"))])
+
+    def packed(gram, f, ids, sizes, first):
+        """first: where the entries of each one's region begin."""
+        names = (mix(ids.view(np.uint64)) >> np.uint64(48)).astype(np.uint16)
+        for i in range(0, len(gram), 1_000_000):
+            bucket = (mix(ids[i : i + 1_000_000].view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+            by = np.lexsort((gram[i : i + 1_000_000], ids[i : i + 1_000_000], bucket)) + i
+            bucket = bucket[by - i]
+            edge = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1, append=1 << 40))
+            out = {k: [] for k in schema.names}
+            for a, b in zip(edge[:-1], edge[1:]):
+                own = by[a:b]
+                d = ids[own]
+                new = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
+                many = np.diff(np.append(new, b - a)).astype(np.uint32)
+                some = own[f[own] <= NAMED]
+                size = f[some].astype(np.int64)
+                others = segments(first[some], size)
+                others = others[others != np.repeat(some, size)]
+                for k, v in zip(out, (bucket[a], planes(gram[own]), f[own].tobytes(), names[others].tobytes(), planes(d[new]), planes(many), planes(sizes[own][new]))):
+                    out[k].append(v)
+            yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     def run(batches):
-        """Entries of regions in which another document of a compatible size lies."""
-        gram, ids, sizes = _unpacked(batches, {"gram": np.uint64, "id": np.int64, "size": np.uint16})
-        by = np.argsort(gram, kind="stable")
-        same = np.flatnonzero(gram[by][1:] == gram[by][:-1])
-        by = by[np.union1d(same, same + 1)]
-        by = by[np.lexsort((ids[by], sizes[by], gram[by]))]
-        gram, ids, sizes = gram[by], ids[by], sizes[by]
-        if len(gram):
-            near = (gram[1:] == gram[:-1]) & (sizes[1:].astype(np.int64) - sizes[:-1] <= reach)
+        """Entries of regions in which another document of a compatible size lies; f documents are there."""
+        parts: dict = {False: [], True: []}
+        for batch in batches:
+            for hot, g, at, d, s in zip(*(batch.column(k).to_pylist() for k in ("hot", "gram", "at", "id", "size"))):
+                d, s = unplanes(d, np.int64), unplanes(s, np.uint32)
+                at = unplanes(at, np.uint16 if len(d) < 65536 else np.uint32)
+                parts[hot].append((np.cumsum(unplanes(g, np.uint64)), d[at], s[at]))
+        for hot, some in parts.items():
+            if not some:
+                continue
+            gram, ids, sizes = (np.concatenate(x) for x in zip(*some))
+            some.clear()
+            by = np.argsort(gram, kind="stable")
+            if not hot:
+                g = gram[by]
+                same = g[1:] == g[:-1]
+                keep = np.zeros(len(g), bool)
+                keep[1:] |= same
+                keep[:-1] |= same
+                by = by[keep]
+            gram, ids, sizes = gram[by], ids[by], sizes[by]
+            by = np.lexsort((ids, sizes, gram))
+            gram, ids, sizes = gram[by], ids[by], sizes[by]
+            keep = np.ones(len(gram), bool)
+            keep[1:] = (gram[1:] != gram[:-1]) | (ids[1:] != ids[:-1])
+            gram, ids, sizes = gram[keep], ids[keep], sizes[keep]
+            if hot:
+                yield from packed(gram, np.full(len(gram), 255, np.uint8), ids, sizes, np.zeros(len(gram), np.int64))
+                continue
+            if not len(gram):
+                continue
+            near = (gram[1:] == gram[:-1]) & (sizes[1:] * threshold <= sizes[:-1] + 1e-6)
             keep = np.zeros(len(gram), bool)
             keep[1:] |= near
             keep[:-1] |= near
             gram, ids, sizes = gram[keep], ids[keep], sizes[keep]
-            for i in range(0, len(gram), 1_000_000):
-                cut = slice(i, i + 1_000_000)
-                bucket = (mix(ids[cut].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-                yield _packed(bucket, buckets, {"gram": gram[cut], "id": ids[cut], "size": sizes[cut]})
+            if len(gram):
+                edge = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1], [True])))
+                many = np.diff(edge)
+                yield from packed(gram, np.repeat(np.minimum(many, 254).astype(np.uint8), many), ids, sizes, np.repeat(edge[:-1], many))
 
     return run
 
 
+SKETCHED = "bucket int, hot boolean, kind int, key binary, at binary, info binary"
+INFO = np.dtype([("id", "<i8"), ("size", "<u4"), ("sketch", "<u4", SKETCH)])
+
+
 def _sketched(threshold, buckets):
-    def run(batches):
-        """Each document's shared n-grams again, now with a sketch of them.
+    schema = pa.schema([("bucket", pa.int32()), ("hot", pa.bool_()), ("kind", pa.int32()), *((k, pa.binary()) for k in ("key", "at", "info"))])
 
-        The sketch is the SKETCH smallest of their 32-bit prints. Documents whose sketches have
-        prints in common meet in the region of the smallest such print (kind 1), and nowhere else;
-        others meet in the region of their first common n-gram (kind 0).
-        """
-        gram, ids, sizes = _unpacked(batches, {"gram": np.uint64, "id": np.int64, "size": np.uint16})
-        if not len(gram):
+    def run(batches):
+        """The regions of level 1 (kind 0) and of prints (kind 1) of each document, with its sketch."""
+        parts = []
+        for batch in batches:
+            for g, f, o, d, n, s in zip(*(batch.column(k).to_pylist() for k in ("gram", "f", "others", "id", "n", "size"))):
+                n = unplanes(n, np.uint32)
+                parts.append((unplanes(g, np.uint64), np.frombuffer(f, np.uint8), np.frombuffer(o, np.uint16), np.repeat(unplanes(d, np.int64), n), np.repeat(unplanes(s, np.uint32), n)))
+        if not parts:
             return
-        prints = (mix(gram) >> np.uint64(32)).astype(np.uint32)
-        by = np.lexsort((prints, ids))
-        gram, ids, sizes, prints = gram[by], ids[by], sizes[by], prints[by]
-        keep = np.ones(len(gram), bool)
-        keep[1:] = (gram[1:] != gram[:-1]) | (ids[1:] != ids[:-1])
-        fresh = np.ones(len(gram), bool)
-        fresh[1:] = (prints[1:] != prints[:-1]) | (ids[1:] != ids[:-1])
+        gram, f, others, ids, sizes = (np.concatenate(x) for x in zip(*parts))
+        parts.clear()
+        by = np.argsort(ids, kind="stable")
+        new = np.concatenate(([True], ids[by][1:] != ids[by][:-1]))
+        doc = np.empty(len(ids), np.int64)
+        doc[by] = np.cumsum(new) - 1
+        least = least_shared(np.floor(sizes[by[new]] * threshold))
+        # who is met often enough, the regions that don't name their documents added
+        named = f <= NAMED
+        large = np.bincount(doc, ~named, minlength=len(least)).astype(np.int64)
+        size = np.where(named, f.astype(np.int64) - 1, 0)
+        entry = np.repeat(np.arange(len(f)), size)
+        met = (doc[entry] << 16) | others
+        order = np.argsort(met)
+        edge = np.flatnonzero(np.diff(met[order], prepend=-1, append=-1))
+        often = np.repeat(np.diff(edge), np.diff(edge)) + large[doc[entry[order]]] >= least[doc[entry[order]]]
+        keep = ~named
+        keep[entry[order[often]]] = True
+        by = by[keep[by] & (np.bincount(doc, keep, minlength=len(least)) >= least)[doc[by]]]
+        if not len(by):
+            return
+        gram, f, ids, sizes = gram[by], f[by], ids[by], sizes[by]
         edge = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-        doc = np.cumsum(np.concatenate(([0], ids[1:] != ids[:-1])))
-        low, high = np.minimum.reduceat(sizes, edge), np.maximum.reduceat(sizes, edge)
-        least = least_shared(np.floor(1.005 ** low.astype(np.float64)) * threshold)
-        enough = (np.add.reduceat(keep.astype(np.int64), edge) >= least)[doc]
-        nth = np.cumsum(fresh) - (np.cumsum(fresh)[edge] - 1)[doc] - 1
+        many = np.diff(np.append(edge, len(ids)))
+        doc = np.repeat(np.arange(len(edge)), many)
+        least = least_shared(np.floor(sizes[edge] * threshold))
+        by = np.lexsort((gram, f, doc))
+        first = by[np.arange(len(by)) - edge[doc] < (many - least + 1)[doc]]
+        prints = (mix(gram) >> np.uint64(32)).astype(np.uint32)
+        by = np.lexsort((prints, doc))
+        fresh = np.ones(len(by), bool)
+        fresh[1:] = (prints[by][1:] != prints[by][:-1]) | (doc[1:] != doc[:-1])
+        count = np.cumsum(fresh)
+        nth = count - count[edge][doc]
         top = fresh & (nth < SKETCH)
         sketch = np.zeros((len(edge), SKETCH), np.uint32)
-        sketch[doc[top], nth[top]] = prints[top]
-        for kind, key, sel in ((0, gram, np.flatnonzero(keep & enough)), (1, prints.astype(np.uint64), np.flatnonzero(top & enough))):
-            for i in range(0, len(sel), 250_000):
-                at = sel[i : i + 250_000]
-                d = doc[at]
-                bucket = (mix(key[at]) % np.uint64(buckets)).astype(np.int64)
-                info = np.zeros(len(at), np.dtype([("key", "<u8"), ("id", "<i8"), ("low", "<u2"), ("high", "<u2"), ("kind", "u1"), ("sketch", "<u4", SKETCH)]))
-                info["key"], info["id"], info["low"], info["high"], info["kind"], info["sketch"] = key[at], ids[at], low[d], high[d], kind, sketch[d]
-                yield _packed(bucket, buckets, {"entry": info})
+        sketch[doc[top], nth[top]] = prints[by][top]
+        top = by[top]
+        info = np.zeros(len(edge), INFO)
+        info["id"], info["size"], info["sketch"] = ids[edge], sizes[edge], sketch
+        for kind, key, sel in ((0, gram, first), (1, prints.astype(np.uint64), top)):
+            for i in range(0, len(sel), 500_000):
+                at = sel[i : i + 500_000]
+                bucket = (mix(key[at] + np.uint64(kind)) % np.uint64(buckets)).astype(np.int64)
+                hot = f[at] == 255
+                bucket[hot] = (mix(ids[at[hot]].view(np.uint64)) % np.uint64(buckets)).astype(np.int64) + buckets
+                order = np.lexsort((key[at], bucket))
+                at, bucket = at[order], bucket[order]
+                cut = np.flatnonzero(np.diff(bucket, prepend=-1, append=1 << 40))
+                out = {k: [] for k in schema.names}
+                for a, b in zip(cut[:-1], cut[1:]):
+                    own, place = np.unique(doc[at[a:b]], return_inverse=True)
+                    step = np.diff(key[at[a:b]], prepend=np.uint64(0))
+                    for k, v in zip(out, (bucket[a] % buckets, bucket[a] >= buckets, kind, planes(step), planes(place.astype(np.uint32)), info[own].tobytes())):
+                        out[k].append(v)
+                yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     return run
 
 
+#: An entry of level 1, unpacked.
+ENTRY = np.dtype([("key", "<u8"), ("id", "<i8"), ("size", "<u4"), ("kind", "u1"), ("sketch", "<u4", SKETCH)])
+
+
+def _entries(kind, key, at, info):
+    key, info = np.cumsum(unplanes(key, np.uint64)), np.frombuffer(info, INFO)[unplanes(at, np.uint32)]
+    e = np.zeros(len(key), ENTRY)
+    e["key"], e["kind"] = key, kind
+    for name in ("id", "size", "sketch"):
+        e[name] = info[name]
+    return e
+
+
+LIVE = "id long, kind int, key long, size long, sketch binary"
+
+
 def _live(threshold):
-    reach = _size_reach(threshold)
-    entry = np.dtype([("key", "<u8"), ("id", "<i8"), ("low", "<u2"), ("high", "<u2"), ("kind", "u1"), ("sketch", "<u4", SKETCH)])
+    def close(a, b):
+        """Whether sizes fit a pair at the threshold."""
+        return (a <= b / threshold + 1e-6) & (b <= a / threshold + 1e-6)
 
     def among(e):
         """Which entries of a region have someone to meet there."""
-        rows = np.column_stack([e["low"], e["high"], e["sketch"]]).astype(np.uint32)
-        u, back, many = np.unique(np.ascontiguousarray(rows).view(np.dtype((np.void, rows.shape[1] * 4))).ravel(), return_inverse=True, return_counts=True)
-        back = back.reshape(-1)
-        first = np.zeros(len(u), np.int64)
-        first[back] = np.arange(len(e))
-        x = e[first]
-        limit = int(x["key"][0]) if x["kind"][0] else 1 << 32
-        prints = x["sketch"].astype(np.int64)
+        size = e["size"].astype(np.float64)
+        limit = int(e["key"][0]) if e["kind"][0] else 1 << 32
+        prints = e["sketch"].astype(np.int64)
         prints[prints >= limit] = 0
         flat = prints.ravel()
         by = np.argsort(flat, kind="stable")
         holders = by // SKETCH
         lo, hi = np.searchsorted(flat[by], flat), np.searchsorted(flat[by], flat, side="right")
-        low, high = x["low"].astype(np.int64), x["high"].astype(np.int64)
-        ok = (many > 1) & ~prints.any(1)
-        for i in np.flatnonzero(~ok):
-            free = (low <= high[i] + reach) & (high >= low[i] - reach)
+        ok = np.zeros(len(e), bool)
+        for i in range(len(e)):
+            if ok[i]:
+                continue
+            free = close(size, size[i])
             free[i] = False
             for k in range(i * SKETCH, (i + 1) * SKETCH):
                 if flat[k]:
                     free[holders[lo[k] : hi[k]]] = False
+            ok |= free
             ok[i] = free.any()
-        return ok[back]
+        return ok
 
     def among_few(e, first, c):
         """The same for many regions of c entries each, which begin at `first`, at once."""
         at = first[:, None] + np.arange(c)
-        low, high = e["low"][at].astype(np.int64), e["high"][at].astype(np.int64)
-        ok = (low[:, None] <= high[:, :, None] + reach) & (high[:, None] >= low[:, :, None] - reach)
+        size = e["size"][at].astype(np.float64)
+        ok = close(size[:, None], size[:, :, None])
         ok[:, np.arange(c), np.arange(c)] = False
         limit = np.where(e["kind"][first] == 1, e["key"][first], np.uint64(1 << 32)).astype(np.int64)
         prints = e["sketch"][at].astype(np.int64)
         prints[prints >= limit[:, None, None]] = 0
         for k in range(SKETCH):
             p = prints[:, :, k]
-            ok &= ~((np.where(p > 0, p, -1)[:, :, None, None] == prints[:, None]).any(3))
+            if p.any():
+                ok &= ~((np.where(p > 0, p, -1)[:, :, None, None] == prints[:, None]).any(3))
         return at[ok.any(2)]
 
+    def rows(e):
+        return pa.RecordBatch.from_arrays([pa.array(e["id"]), pa.array(e["kind"].astype(np.int32)), pa.array(e["key"].view(np.int64)), pa.array(e["size"].astype(np.int64)), pa.array([x.tobytes() for x in e["sketch"]], pa.binary())], ["id", "kind", "key", "size", "sketch"])
+
     def run(batches):
-        (e,) = _unpacked(batches, {"entry": entry})
-        if not len(e):
+        """Entries of regions where somebody is to be met; hot regions are passed on as they are."""
+        parts = []
+        for batch in batches:
+            for hot, *packed in zip(*(batch.column(k).to_pylist() for k in ("hot", "kind", "key", "at", "info"))):
+                e = _entries(*packed)
+                if hot:
+                    yield rows(e)
+                else:
+                    parts.append(e)
+        if not parts:
             return
+        e = np.concatenate(parts)
+        parts.clear()
         e = e[np.lexsort((e["key"], e["kind"]))]
         edge = np.flatnonzero(np.concatenate(([True], (e["key"][1:] != e["key"][:-1]) | (e["kind"][1:] != e["kind"][:-1]), [True])))
         count = np.diff(edge)
         live = np.zeros(len(e), bool)
-        two = edge[:-1][count == 2]
-        x, y = e[two], e[two + 1]
-        limit = np.where(x["kind"] == 1, x["key"], np.uint64(1 << 32)).astype(np.int64)
-        ok = (x["low"].astype(np.int64) <= y["high"].astype(np.int64) + reach) & (y["low"].astype(np.int64) <= x["high"].astype(np.int64) + reach)
-        for k in range(SKETCH):
-            p = x["sketch"][:, k]
-            ok &= ~((p > 0) & (p < limit) & (y["sketch"] == p[:, None]).any(1))
-        live[two[ok]] = live[two[ok] + 1] = True
-        for c in np.unique(count[(count > 2) & (count <= FEW)]).tolist():
+        for c in np.unique(count[(count > 1) & (count <= FEW)]).tolist():
             first = edge[:-1][count == c]
-            step = max(1, 500_000 // (c * c))
+            step = max(1, 300_000 // (c * c))
             for i in range(0, len(first), step):
                 live[among_few(e, first[i : i + step], c)] = True
         for i in np.flatnonzero(count > FEW):
             live[edge[i] : edge[i + 1]] = among(e[edge[i] : edge[i + 1]])
         e = e[live]
-        yield pa.RecordBatch.from_pydict({"doc_id": e["id"], "kind": e["kind"].astype(np.int32), "key": e["key"].view(np.int64), "low": e["low"].astype(np.int32), "sketch": pa.array([x.tobytes() for x in e["sketch"]], pa.binary())})
+        for i in range(0, len(e), 20_000):
+            yield rows(e[i : i + 20_000])
 
     return run
 
 
-def _windows(threshold):
+def _wanted(bits):
     def run(batches):
-        """The regions to which a document's whole set goes: its windows of the second round.
-
-        Partners without common prints share m regions of kind 0 at least, so the first one that
-        they share is among all but the last m - 1 of either.
-        """
+        """A slice of the bitmap of hashed ids; each slice is made by one task."""
         for batch in batches:
-            ids, first, second, low, sketch = (batch.column(k).to_pylist() for k in ("doc_id", "keys0", "keys1", "low", "sketch"))
-            m = least_shared(np.floor(1.005 ** np.array(low, np.float64)) * threshold)
-            kept = [np.sort(np.array(k, np.int64).view(np.uint64))[: max(0, len(k) - int(n) + 1)].view(np.int64).tolist() for k, n in zip(first, m)]
-            some = [bool(a or b) for a, b in zip(kept, second)]
-            out = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kept, pa.list_(pa.int64())), pa.array(second, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["doc_id", "keys0", "keys1", "sketch"])
-            yield out.filter(pa.array(some, pa.bool_()))
+            for s, h in zip(batch.column("slice").to_pylist(), batch.column("places")):
+                flags = np.zeros(bits, bool)
+                flags[np.asarray(h.values)] = True
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(flags).tobytes()], pa.binary())], ["slice", "bits"])
 
     return run
 
 
-REGION = "kind int, key long, doc_id long, sketch binary, grams binary"
+#: Slices of the bitmap of wanted ids, and the most bits of one: 8 MB in all, whatever the corpus.
+WANTED_SLICES, WANTED_BITS = 16, 1 << 22
 
 
-def _sets(n, order):
-    def run(batches):
-        """The whole n-gram set of each live document, once for every region it stays in."""
-        tables = _tables(order)
-        for batch in batches:
-            for part in slices(_clean(batch)):
-                key, starts = _ngrams(part, n, tables)
-                ids, sketches, *keys = (part.column(k).to_pylist() for k in ("doc_id", "sketch", "keys0", "keys1"))
-                out = {k: [] for k in ("kind", "key", "doc_id", "sketch", "grams")}
-                for i, d in enumerate(ids):
-                    blob = key[starts[i] : starts[i + 1]].tobytes()
-                    for kind in (0, 1):
-                        for g in keys[kind][i] if blob else ():
-                            for k, v in zip(out, (kind, g, d, sketches[i], blob)):
-                                out[k].append(v)
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("sketch", pa.binary()), ("grams", pa.binary())]))
-
-    return run
+def wanted_bitmap(ids: DataFrame, rows: int):
+    """A bitmap of hashed doc_ids, of at most 8 MB: what isn't in it isn't wanted."""
+    bits = min(WANTED_BITS, max(1 << 10, 1 << int(2 * rows).bit_length()))
+    h = F.xxhash64("doc_id")
+    placed = ids.select(F.pmod(h, F.lit(WANTED_SLICES)).cast("int").alias("slice"), F.pmod(F.shiftright(h, 8), F.lit(bits)).cast("int").alias("place"))
+    got = placed.groupBy("slice").agg(F.collect_set("place").alias("places")).mapInArrow(_wanted(bits), "slice int, bits binary").toArrow()
+    flags = np.zeros((WANTED_SLICES, bits // 8), np.uint8)
+    for s, b in zip(*(got.column(k).to_pylist() for k in ("slice", "bits"))):
+        flags[s] = np.frombuffer(b, np.uint8)
+    return flags
 
 
 def bitmap(grams: np.ndarray) -> bytes:
@@ -441,44 +581,35 @@ def bitmap(grams: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-BITMAP = "kind int, key long, doc_id long, sketch binary, size long, bits binary"
-
-
-def _bitmaps(n, order):
+def _payload(n, order, flags, whole):
     def run(batches):
-        """The bitmap of each live document, once for every region it is in."""
+        """(id, blob) of the documents wanted: their whole sets or bitmaps of them."""
         tables = _tables(order)
+        bits = flags.value
         for batch in batches:
-            for part in slices(_clean(batch)):
+            place, s = (np.asarray(batch.column(k)) for k in ("place", "slice"))
+            some = (bits[s, place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1
+            for part in slices(batch.filter(pa.array(some.astype(bool))).select(["doc_id", "text"])):
                 key, starts = _ngrams(part, n, tables)
-                ids, sketches, *keys = (part.column(k).to_pylist() for k in ("doc_id", "sketch", "keys0", "keys1"))
-                out = {k: [] for k in ("kind", "key", "doc_id", "sketch", "size", "bits")}
-                for i, d in enumerate(ids):
-                    size = int(starts[i + 1] - starts[i])
-                    bits = bitmap(key[starts[i] : starts[i + 1]]) if size else b""
-                    for kind in (0, 1):
-                        for g in keys[kind][i] if size else ():
-                            for k, v in zip(out, (kind, g, d, sketches[i], size, bits)):
-                                out[k].append(v)
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("sketch", pa.binary()), ("size", pa.int64()), ("bits", pa.binary())]))
+                ids = set_ids(key, starts)
+                blobs = [key[a:b].tobytes() if whole else bitmap(key[a:b]) for a, b in zip(starts[:-1], starts[1:])]
+                out = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(blobs, pa.binary())], ["id", "blob"])
+                yield out.filter(pa.array(np.diff(starts) > 0))
 
     return run
 
 
-def meeting(kind: int, key: int, rows: list, threshold: float) -> list:
+def meeting(kind: int, key: int, cross: bool, rows: dict, threshold: float) -> list:
     """The documents of a region with a possible partner that they are to meet there.
 
-    rows: (doc_id, sketch, size, bits). Larger bitmaps are folded to the size of smaller ones.
+    rows: {id: (mark, size, sketch, bits)}; with cross, partners have another mark. Larger bitmaps are
+    folded to the size of smaller ones.
     """
-    by: dict = {}
-    for d, sketch, size, bits in rows:
-        by.setdefault((size, bits, sketch), set()).add(d)
-    order = sorted(by, key=lambda x: x[0])
-    sketches = np.frombuffer(b"".join(x[2] for x in order), np.uint32).reshape(len(order), SKETCH)
-    first = sketches[:, 0]  # prints rise; 0 for none
-    live = np.array([len(by[x]) > 1 for x in order]) & (first == key if kind else first == 0)
-    sizes = np.array([x[0] for x in order])
-    widths = np.array([len(x[1]) for x in order])
+    order = sorted(rows, key=lambda d: rows[d][1])
+    mark, sizes = (np.array([rows[d][i] for d in order]) for i in (0, 1))
+    sketches = np.frombuffer(b"".join(rows[d][2] for d in order), np.uint32).reshape(len(order), SKETCH)
+    live = np.zeros(len(order), bool)
+    widths = np.array([len(rows[d][3]) for d in order])
     share = (1 - threshold) / (1 + threshold)
     for width in np.unique(widths).tolist():
         a, b = np.searchsorted(widths, [width, width + 1])
@@ -486,53 +617,76 @@ def meeting(kind: int, key: int, rows: list, threshold: float) -> list:
         if c - a < 2:
             continue
         maps = []
-        for _, bits, _ in order[a:c]:
-            m = np.frombuffer(bits, np.uint64)
+        for d in order[a:c]:
+            m = np.frombuffer(rows[d][3], np.uint64)
             while len(m) * 8 > width:
                 m = m[: len(m) // 2] | m[len(m) // 2 :]
             maps.append(m)
         maps = np.stack(maps)
         for i in range(a, b):
             stop = int(np.searchsorted(sizes, sizes[i] / threshold + 1e-9, side="right"))
-            differ = np.bitwise_count(maps[i - a] ^ maps[i - a + 1 : stop - a]).sum(1, dtype=np.int64)
-            near = np.flatnonzero(differ <= share * (sizes[i] + sizes[i + 1 : stop]) + 1e-6) + i + 1
-            if not len(near) or live[i] and live[near].all():
+            look = np.arange(i + 1, stop)
+            if live[i]:
+                look = look[~live[i + 1 : stop]]
+            if cross:
+                look = look[mark[look] != mark[i]]
+            if not len(look):
+                continue
+            differ = np.bitwise_count(maps[i - a] ^ maps[look - a]).sum(1, dtype=np.int64)
+            near = look[differ <= share * (sizes[i] + sizes[look]) + 1e-6]
+            if not len(near):
                 continue
             same = ((sketches[near][:, :, None] == sketches[i]) & (sketches[i] > 0)).any(2)
             common = np.where(same, sketches[near], np.uint32(0xFFFFFFFF)).min(1)
             here = same.any(1) & (common == key) if kind else ~same.any(1)
             live[i] |= here.any()
             live[near[here]] = True
-    return [(d, order[i][2]) for i in np.flatnonzero(live) for d in by[order[i]]]
+    return [order[i] for i in np.flatnonzero(live)]
 
 
-def _meetings(threshold):
+def _by_region(columns, close):
+    """A function over rows sorted by region that calls close(region, rows) at each region's end."""
+
     def run(batches):
-        """Rows come sorted by region; what stays of each."""
-        schema = pa.schema([("doc_id", pa.int64()), ("kind", pa.int32()), ("key", pa.int64()), ("sketch", pa.binary())])
-        out = []
-        now, rows = None, []
+        now, rows = None, {}
+        for batch in batches:
+            for kind, key, lo, hi, d, *row in zip(*(batch.column(k).to_pylist() for k in ("kind", "key", "lo", "hi", "id", *columns))):
+                if (kind, key, lo, hi) != now:
+                    if len(rows) > 1:
+                        yield from close(now, rows)
+                    now, rows = (kind, key, lo, hi), {}
+                rows[d] = row
+        if len(rows) > 1:
+            yield from close(now, rows)
 
-        def close():
-            if len(rows) > 1:
-                out.extend((d, *now, sketch) for d, sketch in meeting(*now, rows, threshold))
+    return run
 
-        def flush():
-            return pa.RecordBatch.from_pydict({k: [x[i] for x in out] for i, k in enumerate(schema.names)}, schema=schema)
 
-        for batch in batches:
-            for kind, key, *row in zip(*(batch.column(k).to_pylist() for k in ("kind", "key", "doc_id", "sketch", "size", "bits"))):
-                if (kind, key) != now:
-                    close()
-                    now, rows = (kind, key), []
-                rows.append(row)
-            if len(out) > 10_000:
-                yield flush()
-                out = []
-        close()
-        yield flush()
+def _meetings(threshold):
+    def close(region, rows):
+        kind, key, lo, hi = region
+        got = meeting(kind, key, lo != hi, rows, threshold)
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64()), pa.array([kind] * len(got), pa.int32()), pa.array([key] * len(got), pa.int64()), pa.array([rows[d][1] for d in got], pa.int64()), pa.array([rows[d][2] for d in got], pa.binary())], ["id", "kind", "key", "size", "sketch"])
 
-    return run
+    return _gathered(_by_region(("mark", "size", "sketch", "blob"), close))
+
+
+def _gathered(run):
+    """Small batches of run as fewer larger ones."""
+
+    def out(batches):
+        held, n = [], 0
+        for b in run(batches):
+            held.append(b)
+            n += b.num_rows
+            if n > 10_000:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, n = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    return out
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -552,159 +706,239 @@ def _distances(pivot: np.ndarray, sets: list, members: np.ndarray) -> np.ndarray
     return out
 
 
-def metric_join(sets: list, threshold: float, small: int = 200, pivots: int = 6, depth: int = 8) -> list:
-    """All pairs (i, j, common) of sorted arrays with Jaccard >= threshold, each once.
+def _compared(sets: list, rows: np.ndarray, cols: np.ndarray, threshold: float):
+    """(i, j, common) arrays of the pairs of a row and a column with Jaccard >= threshold."""
+    sizes = np.array([len(s) for s in sets], np.float64)
+    both = np.zeros((len(rows), len(cols)), np.float32)
+    one = rows is cols
+    members = rows if one else np.concatenate([rows, cols])
+    grams, place, many = np.unique(np.concatenate([sets[m] for m in members]), return_inverse=True, return_counts=True)
+    who = np.repeat(np.arange(len(members)), sizes[members].astype(np.int64))
+    shared = many > 1
+    new = np.cumsum(shared) - 1
+    keep = shared[place]
+    who, place = who[keep], new[place[keep]]
+    by = np.argsort(place, kind="stable")
+    who, place = who[by], place[by]
+    width = max(1, CELLS // len(members))
+    for g in range(0, int(shared.sum()), width):
+        a, b = np.searchsorted(place, [g, g + width])
+        has = np.zeros((len(members), width), np.float32)
+        has[who[a:b], place[a:b] - g] = 1
+        both += has[: len(rows)] @ (has if one else has[len(rows) :]).T
+    for r in range(0, len(rows), 256):
+        part = both[r : r + 256]
+        ok = (part > 0) & (part >= threshold * (sizes[rows[r : r + 256], None] + sizes[cols][None] - part) - 1e-6)
+        i, j = np.nonzero(ok)
+        if one:
+            i, j = i[j > i + r], j[j > i + r]
+        c = part[i, j].astype(np.int64)
+        i, j = rows[i + r], cols[j]
+        exact = c >= threshold * (sizes[i] + sizes[j] - c) - 1e-9
+        if exact.any():
+            yield i[exact], j[exact], c[exact]
+
+
+def metric_join(sets: list, threshold: float, small: int = 200, pivots: int = 6, depth: int = 8):
+    """Arrays (i, j, common) of all pairs of sorted arrays with Jaccard >= threshold, each pair once.
 
     Voronoi cells of pivots taken from the sets, replicated by the triangle inequality: if x has
     home p0 and y has home p, then d(x, p) <= d(y, p) + eps <= d(y, p0) + eps <= d(x, p0) + 2 eps.
-    A cell nearly as large as its parent is compared in full.
+    A pair that is in several cells is given by the first of them. A cell nearly as large as its
+    parent is compared in full.
     """
     eps = 1 - threshold
-    found: dict = {}
-    sizes = np.array([len(s) for s in sets], np.float64)
-
-    def report(i, j, c):
-        if c and c >= threshold * (sizes[i] + sizes[j] - c) - 1e-9:
-            found[(i, j) if i < j else (j, i)] = c
-
-    def full(members):
-        if len(members) < 2:
-            return
-        if len(members) == 2:
-            return report(int(members[0]), int(members[1]), _common(sets[members[0]], sets[members[1]]))
-        grams, place = np.unique(np.concatenate([sets[m] for m in members]), return_inverse=True)
-        if len(members) * len(grams) <= 30_000_000:
-            has = np.zeros((len(members), len(grams)), np.float32)
-            has[np.repeat(np.arange(len(members)), sizes[members].astype(np.int64)), place] = 1
-            both = has @ has.T
-            s = sizes[members]
-            i, j = np.nonzero(np.triu((both > 0) & (both >= threshold * (s[:, None] + s[None] - both) - 1e-9), 1))
-            for a, b in zip(i.tolist(), j.tolist()):
-                report(int(members[a]), int(members[b]), int(both[a, b]))
-            return
-        members = members[np.argsort(sizes[members], kind="stable")]
-        for a in range(len(members)):
-            stop = int(np.searchsorted(sizes[members], sizes[members[a]] / threshold + 1e-9, side="right"))
-            for b in range(a + 1, stop):
-                report(int(members[a]), int(members[b]), _common(sets[members[a]], sets[members[b]]))
-
-    def split(members, level):
-        if len(members) <= small or level >= depth:
-            return full(members)
-        order = members[np.argsort(sizes[members], kind="stable")]
-        chosen = order[np.linspace(0, len(order) - 1, pivots).astype(np.int64)]
-        d = np.stack([_distances(sets[p], sets, members) for p in chosen])
-        home = d.min(0)
-        cells = [members[d[k] <= home + 2 * eps + 1e-12] for k in range(len(chosen)) if (d[k] <= home).any()]
-        if any(len(c) > 0.9 * len(members) for c in cells):
-            return full(members)
-        for c in cells:
-            split(c, level + 1)
-
-    split(np.arange(len(sets)), 0)
-    return [(i, j, c) for (i, j), c in found.items()]
-
-
-def _regions(threshold, whole):
-    """Pairs of each region; of documents with equal sets the smallest one stands for all, unless whole."""
-
-    def join(kind, key, rows, out):
-        by: dict = {}
-        for d, k, b in rows:
-            by.setdefault((b, k), set()).add(d)
-        sets = [np.frombuffer(b, np.uint64) for b, _ in by]
-        sketches = [np.frombuffer(k, np.uint32) for _, k in by]
-        groups = [sorted(v) for v in by.values()]
-        region = key if kind else np.int64(key).view(np.uint64)
-
-        def mine(i, j):
-            """Whether this region is the one that reports the pair."""
-            both = np.intersect1d(sketches[i], sketches[j])
-            both = both[both > 0]
-            if kind:
-                return len(both) and both[0] == region
-            return not len(both) and np.intersect1d(sets[i], sets[j], assume_unique=True)[0] == region
-
-        def put(a, b, common, union):
-            if a != b:
-                out["doc_a"].append(min(a, b))
-                out["doc_b"].append(max(a, b))
-                out["common"].append(common)
-                out["union"].append(union)
-
-        for i, d in enumerate(groups):
-            if len(d) > 1 and mine(i, i):
-                for k, a in enumerate(d if whole else d[:1]):
-                    for x in d[k + 1 :]:
-                        put(a, x, len(sets[i]), len(sets[i]))
-                    yield
-        some = slice(None if whole else 1)
-        for i, j, c in metric_join(sets, threshold):
-            if mine(i, j):
-                for a in groups[i][some]:
-                    for b in groups[j][some]:
-                        put(a, b, c, len(sets[i]) + len(sets[j]) - c)
-                    yield
-
-    def run(batches):
-        """Rows come sorted by region; each region is joined when its last row has come."""
-        schema = pa.schema([("doc_a", pa.int64()), ("doc_b", pa.int64()), ("common", pa.int64()), ("union", pa.int64())])
-        out = {k: [] for k in schema.names}
-        now, rows = None, []
-
-        def joined():
-            """Full batches of the region's pairs; the rest stays in out."""
-            for _ in join(*now, rows, out) if len(rows) > 1 else ():
-                if len(out["doc_a"]) > 10_000:
-                    yield pa.RecordBatch.from_pydict(out, schema=schema)
-                    for v in out.values():
-                        v.clear()
 
-        for batch in batches:
-            for kind, key, *row in zip(*(batch.column(k).to_pylist() for k in ("kind", "key", "doc_id", "sketch", "grams"))):
-                if (kind, key) != now:
-                    yield from joined()
-                    now, rows = (kind, key), []
-                rows.append(row)
-        yield from joined()
-        yield pa.RecordBatch.from_pydict(out, schema=schema)
-
-    return run
+    def split(members, level, frames):
+        if len(members) > small and level < depth:
+            order = members[np.argsort([len(sets[m]) for m in members], kind="stable")]
+            chosen = order[np.linspace(0, len(order) - 1, pivots).astype(np.int64)]
+            d = np.stack([_distances(sets[p], sets, members) for p in chosen])
+            home = d.min(0)
+            inside = (d <= home + 2 * eps + 1e-12) & (d <= home).any(1)[:, None]
+            if inside.sum(1).max() <= 0.9 * len(members):
+                lies = np.zeros((pivots, len(sets)), bool)
+                lies[:, members] = inside
+                for k in range(pivots):
+                    if inside[k].sum() > 1:
+                        yield from split(members[inside[k]], level + 1, [*frames, (lies, k)])
+                return
+        for i, j, c in _compared(sets, members, members, threshold):
+            own = np.ones(len(i), bool)
+            for lies, k in frames:
+                own &= (lies[:, i] & lies[:, j]).argmax(0) == k
+            if own.any():
+                yield i[own], j[own], c[own]
+
+    if len(sets) > 1:
+        yield from split(np.arange(len(sets)), 0, [])
+
+
+def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels of components after the edges (a, b); the smallest number of a component is its label."""
+    while True:
+        x, y = label[a], label[b]
+        far = x != y
+        if not far.any():
+            return label
+        a, b, x, y = a[far], b[far], x[far], y[far]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
 
 
-def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, whole: bool = False) -> DataFrame:
-    """Pairs (doc_a < doc_b, common, union, jaccard) with jaccard >= threshold; see the module.
+def joined_region(kind: int, key: int, cross: bool, rows: dict, threshold: float):
+    """(ids, arrays (i, j, common)) of the pairs that this region reports.
 
-    With whole every pair of documents is a row; without, of documents with equal sets the smallest
-    doc_id is paired with its copies and alone with others.
+    rows: {id: (mark, sketch, keys0, grams)}.
     """
+    ids = np.array(sorted(rows), np.int64)
+    own = [rows[d] for d in ids.tolist()]
+    sets = [np.frombuffer(r[3], np.uint64) for r in own]
+    prints = np.frombuffer(b"".join(r[1] for r in own), np.uint32).reshape(len(own), SKETCH).astype(np.int64)
+    prints[prints >= (key if kind else 1 << 32)] = 0
+    _, place, many = np.unique(prints, return_inverse=True, return_counts=True)
+    place = place.reshape(prints.shape)
+    place[(prints == 0) | (many[place] < 2)] = -1
+
+    def elsewhere(i, j):
+        """Whether pairs have a common print that makes them meet in another region."""
+        hit = np.zeros(len(i), bool)
+        for a in range(SKETCH):
+            p = place[i, a]
+            some = np.flatnonzero((p >= 0) & ~hit)
+            hit[some] = (place[j[some]] == p[some, None]).any(1)
+        return hit
+
+    def first_common(i, j):
+        return [min(set(own[a][2]) & set(own[b][2])) == key for a, b in zip(i.tolist(), j.tolist())]
+
+    def pairs():
+        if cross:
+            mark = np.array([r[0] for r in own])
+            found = _compared(sets, np.flatnonzero(mark == mark[0]), np.flatnonzero(mark != mark[0]), threshold) if (mark != mark[0]).any() else ()
+        else:
+            found = metric_join(sets, threshold)
+        for i, j, c in found:
+            here = ~elsewhere(i, j)
+            if not kind and here.any():
+                here[here] = first_common(i[here], j[here])
+            if here.any():
+                yield i[here], j[here], c[here]
+
+    return ids, [len(s) for s in sets], pairs()
+
+
+PAIRS = "id_a long, id_b long, common long, union long"
+LINKS = "id long, n long, root long"
+
+
+def _regions(threshold, as_pairs):
+    def pairs(region, rows):
+        kind, key, lo, hi = region
+        ids, sizes, found = joined_region(kind, key, lo != hi, rows, threshold)
+        sizes = np.array(sizes)
+        for i, j, c in found:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[i], ids[j], c, sizes[i] + sizes[j] - c)], ["id_a", "id_b", "common", "union"])
+
+    def links(region, rows):
+        """The number of links of each document in this region, and one that it is connected with."""
+        kind, key, lo, hi = region
+        ids, _, found = joined_region(kind, key, lo != hi, rows, threshold)
+        n, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for i, j, _ in found:
+            n += np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
+            label = merge(label, i, j)
+        some = n > 0
+        if some.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[some], n[some], ids[label[some]])], ["id", "n", "root"])
+
+    return _gathered(_by_region(("mark", "sketch", "keys0", "blob"), pairs if as_pairs else links))
+
+
+def _joined(docs: DataFrame, threshold: float, n: int, as_pairs: bool) -> tuple[DataFrame, DataFrame]:
+    """(documents, found): (doc_id, id) of each document and its set (null without words); PAIRS or LINKS of sets."""
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text")
+    found = checkpointed(own.mapInArrow(_statistics(n, threshold), FOUND))
+    documents = found.where(F.col("kind") == DOCUMENT).select(F.col("c").alias("doc_id"), F.col("h").alias("id")).distinct()
     with shuffles_freed(spark):
-        order = spark.sparkContext.broadcast(_order(own, n))
-    buckets = shuffle_partitions(spark)
-    packed = "bucket int, gram binary, id binary, size binary"
+        steer, entries = _order(found)
+    order = spark.sparkContext.broadcast(steer)
+    buckets = max(shuffle_partitions(spark), -(-entries // TASK_ENTRIES))
+    bits = min(56, max(36, int(entries).bit_length() + 13), 63 - buckets.bit_length())
     at = lambda df: df.repartitionById(buckets, F.col("bucket"))
-    replicas = own.mapInArrow(_replicas(n, threshold, buckets, order), packed)
-    shared = at(replicas).mapInArrow(_shared(threshold, buckets), packed)
-    sketched = at(shared).mapInArrow(_sketched(threshold, buckets), "bucket int, entry binary")
-    live = at(sketched).mapInArrow(_live(threshold), "doc_id long, kind int, key long, low int, sketch binary")
+    replicas = own.mapInArrow(_replicas(n, threshold, buckets, bits, order), REPLICA)
+    shared = checkpointed(at(replicas).mapInArrow(_shared(threshold, buckets), SHARED))
+    sketched = at(shared).mapInArrow(_sketched(threshold, buckets), SKETCHED)
+    live = at(sketched).mapInArrow(_live(threshold), LIVE)
     packs = [F.collect_set(F.when(F.col("kind") == k, F.col("key"))).alias(f"keys{k}") for k in (0, 1)]
-    placed = live.groupBy("doc_id").agg(*packs, F.min("low").alias("low"), F.max("sketch").alias("sketch"))
-    placed = placed.mapInArrow(_windows(threshold), "doc_id long, keys0 array<long>, keys1 array<long>, sketch binary")
+    by_document = lambda df: df.groupBy("id").agg(*packs, F.max("size").alias("size"), F.max("sketch").alias("sketch"))
+    first = documents.groupBy("id").agg(F.min("doc_id").alias("doc_id"))
+    hashed = F.xxhash64("doc_id")
+
+    def at_regions(placed, whole):
+        """The payload of every document at each of its regions, sorted by region."""
+        placed = checkpointed(placed)
+        rows, keys = placed.agg(F.count("*"), F.coalesce(F.sum(F.size("keys0") + F.size("keys1")), F.lit(0))).first()
+        with shuffles_freed(spark):
+            flags = wanted_bitmap(placed.select("id").join(first, "id"), rows)
+        text = own.where("doc_id is not null and text is not null").select("doc_id", "text", F.pmod(hashed, F.lit(WANTED_SLICES)).cast("int").alias("slice"), F.pmod(F.shiftright(hashed, 8), F.lit(flags.shape[1] * 8)).cast("int").alias("place"))
+        blobs = text.mapInArrow(_payload(n, order, spark.sparkContext.broadcast(flags), whole), "id long, blob binary")
+        regions = F.concat(F.transform("keys0", lambda x: F.struct(F.lit(0).alias("kind"), x.alias("key"))), F.transform("keys1", lambda x: F.struct(F.lit(1).alias("kind"), x.alias("key"))))
+        each = placed.select("id", "size", F.explode(regions).alias("r")).select("id", "size", "r.*")
+        blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_GRAMS)).cast("int")
+        big = checkpointed(each.groupBy("kind", "key").agg(blocks.alias("blocks")).where("blocks > 1"))
+        many = big.count()
+        side = F.broadcast(placed) if 150 * rows + 8 * keys <= MAX_BROADCAST_BYTES else placed
+        out = blobs.join(side, "id").withColumn("r", F.explode(regions)).select("id", "size", "sketch", "keys0", "blob", "r.*")
+        if many:
+            out = out.join(F.broadcast(big) if 40 * many <= MAX_BROADCAST_BYTES else big, ["kind", "key"], "left")
+            mark = F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).cast("int")
+            out = out.withColumn("mark", mark).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+        else:
+            out = out.withColumn("mark", F.lit(0)).withColumn("other", F.lit(0))
+        out = out.select("kind", "key", F.least("mark", "other").alias("lo"), F.greatest("mark", "other").alias("hi"), "id", "mark", "size", "sketch", *([F.when(F.col("kind") == 0, F.col("keys0")).alias("keys0")] if whole else []), "blob")
+        return out.repartition(buckets, "kind", "key", "lo", "hi").sortWithinPartitions("kind", "key", "lo", "hi")
+
+    met = at_regions(by_document(live), False).mapInArrow(_meetings(threshold), LIVE)
+    sets = at_regions(by_document(met), True)
+    return documents, sets.mapInArrow(_regions(threshold, as_pairs), PAIRS if as_pairs else LINKS)
+
+
+def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM) -> DataFrame:
+    """Pairs (doc_a < doc_b, common, union, jaccard) of different sets with jaccard >= threshold.
+
+    Of documents with equal sets the smallest doc_id stands for all; `jaccard_classes` says which
+    they are.
+    """
+    documents, pairs = _joined(docs, threshold, n, True)
+    first = documents.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("d"))
+    a, b = (first.select(F.col("id").alias(f"id_{k}"), F.col("d").alias(f"d_{k}")) for k in "ab")
+    named = pairs.join(a, "id_a").join(b, "id_b").where("d_a <> d_b")
+    return named.select(F.least("d_a", "d_b").alias("doc_a"), F.greatest("d_a", "d_b").alias("doc_b"), "common", "union", (F.col("common") / F.col("union")).alias("jaccard"))
 
-    def with_text(regions):
-        """Documents with the regions they are in, which are written and whose number is known."""
-        regions = checkpointed(regions)
-        return own.join(F.broadcast(regions) if regions.count() <= MAX_BROADCAST_ROWS else regions, "doc_id")
 
-    by_region = lambda df: df.repartition(buckets, "kind", "key").sortWithinPartitions("kind", "key")
-    maps = by_region(with_text(placed).mapInArrow(_bitmaps(n, order), BITMAP))
-    met = maps.mapInArrow(_meetings(threshold), "doc_id long, kind int, key long, sketch binary")
-    sets = with_text(met.groupBy("doc_id").agg(*packs, F.max("sketch").alias("sketch"))).mapInArrow(_sets(n, order), REGION)
-    pairs = by_region(sets).mapInArrow(_regions(threshold, whole), "doc_a long, doc_b long, common long, union long")
-    return pairs.withColumn("jaccard", F.col("common") / F.col("union"))
+def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM) -> DataFrame:
+    """(doc_id, class_id, n_links, n_copies): a row for each document, or each of its sets.
+
+    A class is what links connect; class_id is its smallest doc_id. n_links counts the other sets
+    within the threshold, n_copies the documents with the same set, this one too (0 without words).
+    """
+    documents, found = _joined(docs, threshold, n, False)
+    found = checkpointed(found)
+    documents = checkpointed(documents)
+    with shuffles_freed(docs.sparkSession):
+        group = components(found.select(F.col("id").alias("doc_a"), F.col("root").alias("doc_b"))).select(F.col("doc_id").alias("id"), F.col("group_id").alias("g"))
+    sets = documents.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"))
+    links = found.groupBy("id").agg(F.sum("n").alias("n_links"))
+    sets = sets.join(links.join(group, "id"), "id", "left").withColumn("g", F.coalesce("g", "id"))
+    sets = checkpointed(sets)
+    smallest = sets.where("n_links is not null").groupBy("g").agg(F.min("first").alias("smallest"))
+    sets = sets.join(smallest, "g", "left").select("id", F.coalesce("smallest", "first").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    every = documents.join(sets, "id", "left")
+    return every.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(0)).cast("long").alias("n_copies"))
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -713,16 +947,14 @@ def components(pairs: DataFrame) -> DataFrame:
     Labels spread along the pairs and are then followed to their own labels, so that the rounds
     grow with the logarithm of a group's diameter; each round is checkpointed.
     """
-    spark = pairs.sparkSession
-    ensure_checkpoint_dir(spark)
     edges = pairs.select(F.col("doc_a").alias("u"), F.col("doc_b").alias("v"))
-    edges = edges.union(edges.select("v", "u")).checkpoint()
-    label = edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("g")).checkpoint()
+    edges = checkpointed(edges.union(edges.select("v", "u")).distinct())
+    label = checkpointed(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("g")))
     while True:
         near = edges.join(label.select(F.col("u").alias("v"), F.col("g").alias("h")), "v").groupBy("u").agg(F.min("h").alias("h"))
         step = label.join(near, "u").select("u", "g", F.least("g", "h").alias("n"))
         jump = step.select(F.col("u").alias("k"), F.col("n").alias("to"))
-        after = step.join(jump, step["n"] == jump["k"]).select("u", "g", F.least("n", "to").alias("n")).checkpoint()
+        after = checkpointed(step.join(jump, step["n"] == jump["k"]).select("u", "g", F.least("n", "to").alias("n")))
         changed = after.where("g <> n").limit(1).count()
         label = after.select("u", F.col("n").alias("g"))
         if not changed:
@@ -730,36 +962,36 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group of near copies; all columns stay.
+    """Keep the document with the smallest doc_id of each class; all columns stay.
 
-    Documents without a group stay, rows with null doc_id too. Repeated rows of a doc_id all stay
+    Documents without partners stay, rows with null doc_id too. Repeated rows of a doc_id all stay
     or all go.
     """
-    pairs = checkpointed(jaccard_pairs(docs, threshold, n).select("doc_a", "doc_b"))
-    with shuffles_freed(docs.sparkSession):
-        gone = components(pairs).where("doc_id <> group_id").select(F.col("doc_id").alias("__gone")).checkpoint()
-    count = gone.count()
-    gone = F.broadcast(gone) if count <= MAX_BROADCAST_ROWS else gone
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    gone = jaccard_classes(docs, threshold, n).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = checkpointed(gone)
+    gone = F.broadcast(gone) if gone.count() <= MAX_BROADCAST_ROWS else gone
+    return docs.join(gone, docs["doc_id"].try_cast("long") == gone["__gone"], "left_anti")
 
 
 ORACLE_SQL = """
-WITH w AS (
-  SELECT doc_id, list_filter(string_split_regex(lower(text), '[\\x00-\\x20]+'), lambda x: x <> '') AS ws
-  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+WITH RECURSIVE w AS (
+  SELECT DISTINCT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x00-\\x20]+'), lambda x: x <> '') AS ws
+  FROM documents WHERE doc_id IS NOT NULL),
 s AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 2
     THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i+1])
     WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
 k AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, '|' ORDER BY g)) AS h FROM s GROUP BY doc_id),
-r AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY h) AS rep FROM k),
+r AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY h) AS rep, count(*) OVER (PARTITION BY h) AS n_copies FROM k),
 c AS (
-  SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS common
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common
   FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id
-  WHERE a.doc_id IN (SELECT rep FROM r) AND b.doc_id IN (SELECT rep FROM r) GROUP BY 1, 2)
-SELECT doc_a, doc_b, common, (x.n + y.n - common)::BIGINT AS "union", common::DOUBLE / (x.n + y.n - common) AS jaccard
-FROM c JOIN k x ON x.doc_id = doc_a JOIN k y ON y.doc_id = doc_b
-WHERE common >= 0.6 * (x.n + y.n - common) - 1e-9
-UNION ALL
-SELECT rep, doc_id, n, n, 1.0 FROM r WHERE rep <> doc_id
+  WHERE a.doc_id IN (SELECT rep FROM r) AND b.doc_id IN (SELECT rep FROM r) GROUP BY 1, 2),
+p AS (SELECT x, y FROM c JOIN k kx ON kx.doc_id = x JOIN k ky ON ky.doc_id = y WHERE common >= 0.6 * (kx.n + ky.n - common) - 1e-9),
+e AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+reach(x, y) AS (SELECT rep, rep FROM r UNION SELECT reach.x, e.y FROM reach JOIN e ON e.x = reach.y),
+class AS (SELECT x, min(y) AS class_id FROM reach GROUP BY x),
+links AS (SELECT x, count(*) AS n_links FROM e GROUP BY x)
+SELECT w.doc_id, coalesce(class.class_id, w.doc_id) AS class_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(n_copies, 0)::BIGINT AS n_copies
+FROM (SELECT DISTINCT doc_id FROM w) w LEFT JOIN r USING (doc_id) LEFT JOIN class ON class.x = r.rep LEFT JOIN links ON links.x = r.rep
 """
