@@ -21,17 +21,7 @@ def op3_license_scan(spark, sf_dir):
 
 
 def op4_jaccard_join(spark, sf_dir):
-    return jaccard_join.jaccard_pairs(table(spark, sf_dir, "documents"))
-
-
-def op2_embedding_all_pairs(spark, sf_dir):
-    """Every pair of near-equal vectors, copies with copies too."""
-    return embed_dedup.query_all(spark, sf_dir)
-
-
-def op4_jaccard_all_pairs(spark, sf_dir):
-    """Every pair of documents, copies with copies too."""
-    return jaccard_join.jaccard_pairs(table(spark, sf_dir, "documents"), whole=True)
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
 def op5_bpe(spark, sf_dir):
@@ -59,7 +49,7 @@ def op10_line_dedup(spark, sf_dir):
 
 
 def queries():
-    named = [op1_mixing, op2_embedding_dedup, op3_license_scan, op4_jaccard_join, op5_bpe, op6_chat_format, op7_token_counts, op8_nearest_neighbours, op9_toxicity, op10_line_dedup, op2_embedding_all_pairs, op4_jaccard_all_pairs]
+    named = [op1_mixing, op2_embedding_dedup, op3_license_scan, op4_jaccard_join, op5_bpe, op6_chat_format, op7_token_counts, op8_nearest_neighbours, op9_toxicity, op10_line_dedup]
     return {f.__name__: f for f in named}
 
 
