@@ -8,21 +8,46 @@ from pyspark.sql import functions as F
 
 
 def threshold_prefix(df: DataFrame, by: list[str], weight: str, order: list[Column], share: float) -> DataFrame:
-    """The smallest prefix of each group whose sum reaches `share` of the group's."""
-    part = W.partitionBy(*[F.col(c) for c in by]) if by else W.partitionBy(F.lit(1))
+    """The smallest prefix of each group, largest weights first, whose sum reaches `share` of the group's.
+
+    order is by falling weight, then by what breaks ties. Without groups no task holds all rows:
+    rows of equal weight are counted as one level, and only the level that the share ends in is
+    ordered.
+    """
+    if not by:
+        return _prefix_of_all(df, weight, order[1:], share)
+    part = W.partitionBy(*[F.col(c) for c in by])
     running = part.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     out = df.withColumn("__total", F.sum(weight).over(part)).withColumn("__cum", F.sum(weight).over(running))
     return out.where(F.col("__cum") - F.col(weight) < share * F.col("__total")).drop("__cum", "__total")
 
 
+def _prefix_of_all(df, weight, ties, share):
+    levels = df.groupBy(F.col(weight).alias("__w")).agg(F.count("*").alias("__k"))
+    whole = W.partitionBy(F.lit(1))
+    mass = F.col("__w") * F.col("__k")
+    levels = levels.withColumn("__total", F.sum(mass).over(whole)).withColumn("__before", F.sum(mass).over(whole.orderBy(F.desc("__w")).rowsBetween(W.unboundedPreceding, 0)) - mass)
+    left = share * F.col("__total") - F.col("__before")
+    levels = levels.where(left > 0).withColumn("__take", F.least(F.col("__k"), F.ceil(left / F.col("__w"))))
+    whole_levels = df.join(levels.where("__take = __k").select("__w"), df[weight] == F.col("__w"), "left_semi")
+    last = levels.where("__take < __k").select("__w", "__take").first()
+    if last is None:
+        return whole_levels
+    return whole_levels.unionByName(df.where(F.col(weight) == last["__w"]).orderBy(*ties).limit(last["__take"]))
+
+
 def top_one(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group; order must break ties."""
     return df.withColumn("__n", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where("__n = 1").drop("__n")
 
 
-def rank_share(value: str, by: list[str] | None = None) -> Column:
-    """Share of values that are not larger."""
-    return F.cume_dist().over((W.partitionBy(*by) if by else W.partitionBy(F.lit(1))).orderBy(value))
+def rank_share(df: DataFrame, value: str, name: str) -> DataFrame:
+    """`df` with the share of values that are not larger; only distinct values are ordered."""
+    levels = df.groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__k"))
+    whole = W.partitionBy(F.lit(1))
+    share = F.sum("__k").over(whole.orderBy("__v").rowsBetween(W.unboundedPreceding, 0)) / F.sum("__k").over(whole)
+    ranks = levels.select(F.col("__v"), share.alias(name))
+    return df.join(ranks, df[value].eqNullSafe(ranks["__v"])).drop("__v")
 
 
 def carry_forward(value: str, by: list[str], order: str) -> Column:

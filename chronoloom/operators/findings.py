@@ -211,11 +211,11 @@ def compounds(found: DataFrame) -> DataFrame:
 
 def refactoring_targets(churn: DataFrame, complexity: DataFrame, lexical: DataFrame | None = None, top: int = 5, least: float = 0.25) -> DataFrame:
     """(file, score): rank of churn times rank of complexity; measured complexity before the proxy."""
-    c = churn.where(S.is_source_file(F.col("file"))).select(F.col("file"), "changes", rank_share("changes").alias("churn_rank"))
-    p = complexity.select("file", F.struct(F.col("complexity").cast("double").alias("v"), rank_share("complexity").alias("r")).alias("proxy"))
+    c = rank_share(churn.where(S.is_source_file(F.col("file"))).select("file", "changes"), "changes", "churn_rank")
+    p = rank_share(complexity.select("file", "complexity"), "complexity", "r").select("file", F.struct(F.col("complexity").cast("double").alias("v"), "r").alias("proxy"))
     j = c.join(p, "file", "left")
     if lexical is not None:
-        m = lexical.select(F.col("path").alias("file"), F.struct(F.col("cyclomatic").cast("double").alias("v"), rank_share("cyclomatic").alias("r")).alias("measured"))
+        m = rank_share(lexical.select(F.col("path").alias("file"), "cyclomatic"), "cyclomatic", "r").select("file", F.struct(F.col("cyclomatic").cast("double").alias("v"), "r").alias("measured"))
         j = j.join(m, "file", "left").withColumn("best", F.coalesce("measured", "proxy"))
     else:
         j = j.withColumn("best", F.col("proxy"))

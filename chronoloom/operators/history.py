@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.windows import threshold_prefix, top_one
+from ..functions.windows import threshold_prefix
+from ..sources.session import written
 
 
 def commit_window(commits: DataFrame, since=None, until=None, limit: int | None = None, newer_than: int | None = None, up_to: int | None = None) -> DataFrame:
@@ -56,10 +57,11 @@ def bus_factor(commits: DataFrame, by: list[str] | None = None, share: float = 0
 
 def file_bus_factor(commits: DataFrame, changes: DataFrame, targets: DataFrame, share: float = 0.5) -> DataFrame:
     """(file, bus_factor, developers) of every target, also of those never changed."""
-    each = churn_by_author(commits, target_files(changes, targets))
-    core = threshold_prefix(each, ["file"], "changes", [F.desc("changes"), F.col("author")], share).groupBy("file").agg(F.count("*").alias("bus_factor"))
-    every = each.groupBy("file").agg(F.count("*").alias("developers"))
-    out = targets.select("file").distinct().join(core, "file", "left").join(every, "file", "left")
+    each = churn_by_author(commits, target_files(changes, targets)).groupBy("file").agg(F.sort_array(F.collect_list("changes"), asc=False).alias("n"), F.sum("changes").alias("total"))
+    pair = lambda sum_, k: F.struct(sum_.cast("long").alias("s"), k.cast("long").alias("k"))
+    step = lambda a, x: F.when(a["s"] < share * F.col("total"), pair(a["s"] + x, a["k"] + 1)).otherwise(a)
+    each = each.select("file", F.aggregate("n", pair(F.lit(0), F.lit(0)), step)["k"].alias("bus_factor"), F.size("n").cast("long").alias("developers"))
+    out = targets.select("file").distinct().join(each, "file", "left")
     return out.select("file", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("bus_factor", "developers")])
 
 
@@ -124,6 +126,23 @@ def release_delta(commits: DataFrame, changes: DataFrame, top: int = 10) -> Data
     return sums.withColumn("changed", F.col("insertions") + F.col("deletions")).orderBy(F.desc("changed"), "file").limit(top)
 
 
+def release_summary(commits: DataFrame, changes: DataFrame) -> DataFrame:
+    """One row: commits, insertions, deletions, files and contributors of some commits."""
+    inside = changes.join(commits.select("rev"), "rev", "left_semi")
+    return commits.agg(F.count("*").alias("commits"), F.countDistinct("author").alias("contributors")).crossJoin(range_summary(inside))
+
+
+def with_blast_radius(files: DataFrame, hotspots: DataFrame, matrix: DataFrame, most: int = 3) -> DataFrame:
+    """Files with a flag for bug hotspots, and the first files by name that change together with them.
+
+    matrix: (a, b, ...), as `coupling.cochange_matrix` gives it; only partners of `files` are kept.
+    """
+    near = matrix.join(F.broadcast(files.select(F.col("file").alias("a"))), "a", "left_semi").groupBy("a").agg(F.slice(F.array_sort(F.collect_set("b")), 1, most).alias("blast_radius"))
+    hot = hotspots.select("file").distinct().withColumn("is_bug_hotspot", F.lit(True))
+    out = files.join(hot, "file", "left").join(near, F.col("file") == F.col("a"), "left").drop("a")
+    return out.withColumn("is_bug_hotspot", F.coalesce("is_bug_hotspot", F.lit(False))).withColumn("blast_radius", F.coalesce("blast_radius", F.array().cast("array<string>")))
+
+
 def refactorings(commits: DataFrame, changes: DataFrame) -> DataFrame:
     """Commits that rename, that simplify (over 50 deletions, insertions under a fifth), or say so."""
     each = changes.groupBy("rev").agg(
@@ -148,34 +167,33 @@ def directory_shares(changes: DataFrame) -> DataFrame:
     return d.withColumn("share", F.col("touches") / F.sum("touches").over(W.partitionBy(F.lit(1))))
 
 
-def file_history(changes: DataFrame, file: str, depth: int = 20) -> DataFrame:
-    """Changes of a file under its names before renames, each older name one step further."""
-    renames = changes.where("old_file is not null").select(F.col("file").alias("__new"), F.col("old_file").alias("__old")).distinct()
-    names = changes.sparkSession.createDataFrame([(file,)], "file string")
-    known = names
-    for _ in range(depth):
-        names = names.join(renames, names["file"] == renames["__new"]).select(F.col("__old").alias("file")).join(known, "file", "left_anti").distinct()
+def file_history(changes: DataFrame, file: str) -> DataFrame:
+    """Changes of a file under its names before renames, each older name one step further, to the first one."""
+    renames = written(changes.where("old_file is not null").select(F.col("file").alias("__new"), F.col("old_file").alias("__old")).distinct())
+    known = names = changes.sparkSession.createDataFrame([(file,)], "file string")
+    while True:
+        names = written(names.join(renames, names["file"] == renames["__new"]).select(F.col("__old").alias("file")).join(known, "file", "left_anti").distinct())
         if not names.take(1):
-            break
+            return changes.join(F.broadcast(known), "file", "left_semi")
         known = known.unionByName(names)
-    return changes.join(F.broadcast(known), "file", "left_semi")
-
 
-def between_refs(commits: DataFrame, parents: DataFrame, a: str, b: str, depth: int = 1000) -> DataFrame:
-    """Commits reachable from one of two revisions but not from both."""
 
-    def reach(rev):
-        seen = step = commits.sparkSession.createDataFrame([(rev,)], "rev string")
-        for _ in range(depth):
-            step = parents.join(step, "rev").select(F.col("parent").alias("rev")).where("rev is not null").distinct().join(seen, "rev", "left_anti")
-            if not step.take(1):
-                break
-            seen = seen.unionByName(step)
-        return seen.join(commits.select("rev"), "rev", "left_semi")
+def between_refs(commits: DataFrame, parents: DataFrame, a: str, b: str) -> DataFrame:
+    """Commits reachable from one of two revisions but not from both.
 
-    left, right = reach(a), reach(b)
-    only = left.join(right, "rev", "left_anti").unionByName(right.join(left, "rev", "left_anti"))
-    return commits.join(only, "rev", "left_semi")
+    What lies 2^k parents back is joined with itself, so the rounds grow with the logarithm of the
+    history's depth; each is checkpointed. A revision that isn't known reaches nothing.
+    """
+    jump = written(parents.where("parent is not null").select("rev", F.col("parent").alias("up")).distinct())
+    seed = commits.sparkSession.createDataFrame([(a, True, False), (b, False, True)], "rev string, a boolean, b boolean")
+    both = lambda df: df.groupBy("rev").agg(F.bool_or("a").alias("a"), F.bool_or("b").alias("b"))
+    seen = written(both(seed))
+    while True:
+        seen = written(both(seen.unionByName(seen.join(jump, "rev").select(F.col("up").alias("rev"), "a", "b"))))
+        further = jump.select("rev", F.col("up").alias("mid")).join(jump.select(F.col("rev").alias("mid"), "up"), "mid").select("rev", "up").distinct()
+        jump = written(further)
+        if not jump.take(1):
+            return commits.join(seen.where("a <> b"), "rev", "left_semi")
 
 
 def tags_between(refs: DataFrame, old: str, new: str) -> DataFrame:
@@ -193,12 +211,10 @@ def repository_health(commits: DataFrame) -> DataFrame:
 
 def ownership(commits: DataFrame, changes: DataFrame) -> DataFrame:
     """(file, top_author, top_changes, total, minor): the main author and those under 5 percent."""
-    each = churn_by_author(commits, changes)
-    whole = each.groupBy("file").agg(F.sum("changes").alias("total"))
-    joined = each.join(whole, "file")
-    minor = joined.groupBy("file").agg(F.count_if(F.col("changes") < 0.05 * F.col("total")).alias("minor"))
-    top = top_one(joined, ["file"], [F.desc("changes"), F.col("author")])
-    return top.join(minor, "file").select("file", F.col("author").alias("top_author"), F.col("changes").alias("top_changes"), "total", "minor")
+    each = churn_by_author(commits, changes).groupBy("file").agg(
+        F.min(F.struct((-F.col("changes")).alias("n"), "author")).alias("top"), F.sum("changes").alias("total"), F.collect_list("changes").alias("each"))
+    minor = F.size(F.filter("each", lambda x: x < 0.05 * F.col("total"))).cast("long")
+    return each.select("file", F.col("top.author").alias("top_author"), (-F.col("top.n")).alias("top_changes"), "total", minor.alias("minor"))
 
 
 def ownership_drift(long: DataFrame, recent: DataFrame) -> DataFrame:
@@ -213,3 +229,9 @@ def declared_owners(files: DataFrame, rules: DataFrame) -> DataFrame:
     """(file, owners): of the rules that match a file the last one; rules are a small table."""
     pairs = files.select("file").distinct().join(F.broadcast(rules), S.owners_match(F.col("pattern"), F.col("file")), "left")
     return pairs.groupBy("file").agg(F.max_by("owners", "rule_idx").alias("owners"))
+
+
+def ownership_summary(drift: DataFrame, declared: DataFrame) -> DataFrame:
+    """One row: files, files whose owner changed, files that no rule owns."""
+    a = drift.agg(F.count("*").alias("files"), F.count_if("drifted").alias("drifted"))
+    return a.crossJoin(declared.agg(F.count_if(F.col("owners").isNull()).alias("unowned")))

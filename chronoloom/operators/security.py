@@ -32,9 +32,23 @@ def changelog(commits: DataFrame) -> DataFrame:
     return d.groupBy("kind").agg(F.count("*").alias("commits"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "subject"))), lambda x: x["subject"]).alias("subjects"))
 
 
+def changelog_entries(commits: DataFrame, changes: DataFrame, matches: DataFrame) -> DataFrame:
+    """(rev, kind, author, subject, files, origins): of fixes also the commits that brought the bug, with its days."""
+    files = changes.groupBy("rev").agg(F.array_sort(F.collect_set("file")).alias("files"))
+    d = commits.select("rev", "author", "subject", change_kind(F.col("subject")).alias("kind"))
+    origins = fix_origins(d.where("kind = 'fix'"), matches).groupBy(F.col("fix_rev").alias("rev")).agg(F.array_sort(F.collect_list(F.struct("intro_rev", F.round("days", 2).alias("days")))).alias("origins"))
+    out = d.join(files, "rev", "left").join(origins, "rev", "left")
+    return out.select("rev", "kind", "author", "subject", F.coalesce("files", F.array().cast("array<string>")).alias("files"), F.coalesce("origins", F.array().cast("array<struct<intro_rev:string,days:double>>")).alias("origins"))
+
+
+def changelog_summary(commits: DataFrame) -> DataFrame:
+    """One row: commits and the sorted names of contributors, empty ones left out."""
+    return commits.agg(F.count("*").alias("commits"), F.array_sort(F.collect_set(F.nullif("author", F.lit("")))).alias("contributors"))
+
+
 def fix_origins(fixes: DataFrame, matches: DataFrame) -> DataFrame:
     """Distinct (fix, introducing commit) with the signed days between."""
-    d = matches.join(fixes.select(F.col("rev").alias("fix_rev")), "fix_rev", "left_semi").dropDuplicates(["fix_rev", "intro_rev"])
+    d = matches.join(fixes.select(F.col("rev").alias("fix_rev")), "fix_rev", "left_semi").groupBy("fix_rev", "intro_rev").agg(F.min("intro_ts").alias("intro_ts"), F.min("fix_ts").alias("fix_ts"))
     return d.select("fix_rev", "intro_rev", S.days_between(F.col("intro_ts"), F.col("fix_ts"), signed=True).alias("days"))
 
 
@@ -80,10 +94,10 @@ def parse_manifest(ecosystem: str, text: str) -> list[tuple[str, str, bool]]:
                 section = bare.rstrip(":") if bare.endswith(":") else None
             elif section in ("dependencies", "dev_dependencies") and (m := re.match(r"  ([\w-]+):\s*(.*)$", line)):
                 v = m[2].strip().strip("'\"")
-                out.append((m[1], v, bool(re.match(r"\d", v))))
+                out.append((m[1], v, v.startswith(("path:", "git:")) or bool(re.match(r"\d+\.\d+\.\d+", v))))
         elif ecosystem == "python":
             if not bare.startswith("-") and (m := re.match(r"([\w.\-]+)(?:\[[^\]]*\])?\s*(.*)$", bare)):
-                out.append((m[1], m[2].strip(), m[2].strip().startswith("==")))
+                out.append((m[1], m[2].strip(), "==" in m[2]))
         elif ecosystem == "go":
             if bare.startswith("require ("):
                 section = "require"
@@ -96,10 +110,10 @@ def parse_manifest(ecosystem: str, text: str) -> list[tuple[str, str, bool]]:
                 section = bare.strip("[]")
             elif section in ("dependencies", "dev-dependencies") and (m := re.match(r"([\w-]+)\s*=\s*(.*)$", bare)):
                 v = re.search(r'"([^"]*)"', m[2])
-                out.append((m[1], v[1] if v else "", bool(v and v[1].startswith("="))))
+                out.append((m[1], v[1] if v else "", bool(v and re.match(r"=|\d+\.\d+\.\d+$", v[1]))))
         elif ecosystem == "ruby":
             if m := re.match(r"gem\s+['\"]([^'\"]+)['\"](?:\s*,\s*['\"]([^'\"]*)['\"])?", bare):
-                out.append((m[1], m[2] or "", bool(re.match(r"\d|= ?\d", m[2] or ""))))
+                out.append((m[1], m[2] or "", bool(m[2]) and not m[2].startswith("~>")))
     return out
 
 
@@ -115,6 +129,14 @@ def dependencies(found: DataFrame) -> DataFrame:
     return found.select("ecosystem", "path", "content").mapInPandas(run, "ecosystem string, manifest string, name string, declared string, pinned boolean")
 
 
+def manifest_counts(found: DataFrame, deps: DataFrame) -> DataFrame:
+    """(ecosystem, manifest, total, pinned, floating, has_lock) of every manifest, also of those without dependencies."""
+    n = deps.groupBy("ecosystem", "manifest").agg(F.count("*").alias("total"), F.count_if("pinned").alias("pinned"))
+    out = found.select("ecosystem", F.col("path").alias("manifest"), "has_lock").join(n, ["ecosystem", "manifest"], "left")
+    total, pinned = (F.coalesce(c, F.lit(0)) for c in ("total", "pinned"))
+    return out.select("ecosystem", "manifest", total.alias("total"), pinned.alias("pinned"), (total - pinned).alias("floating"), "has_lock")
+
+
 def dependency_risk(found: DataFrame, deps: DataFrame) -> DataFrame:
     """One row: dependencies, floating ones, missing locks, risk."""
     d = deps.agg(F.count("*").alias("total"), F.count_if(~F.col("pinned")).alias("floating"))
@@ -124,8 +146,8 @@ def dependency_risk(found: DataFrame, deps: DataFrame) -> DataFrame:
 
 
 def dependency_freshness(deps: DataFrame, registry: DataFrame) -> DataFrame:
-    """Dependencies with the latest version and how far behind they are; unknown without one."""
-    latest = registry.groupBy("ecosystem", "name").agg(F.last("latest").alias("latest"))
+    """Dependencies with the latest version (of several the last by text) and how far behind they are; unknown without one."""
+    latest = registry.groupBy("ecosystem", "name").agg(F.max("latest").alias("latest"))
     return deps.join(latest, ["ecosystem", "name"], "left").withColumn("status", S.freshness(F.col("declared"), F.col("latest")))
 
 

@@ -13,17 +13,23 @@ def off_hours(ts, start: int = OFF_HOURS[0], end: int = OFF_HOURS[1]):
     return (F.hour(ts) < start) | (F.hour(ts) >= end)
 
 
+def clock(commits: DataFrame) -> str:
+    """The column of the author's own wall clock; times without zone are taken as such."""
+    return "ts_local" if "ts_local" in commits.columns else "ts"
+
+
+def _period(commits, granularity):
+    start = F.date_trunc(granularity.upper(), F.col(clock(commits)))
+    return F.date_format(start, "yyyy-MM" if granularity == "month" else "yyyy-MM-dd").alias("period")
+
+
 def velocity(commits: DataFrame, granularity: str = "week") -> DataFrame:
-    """(period, total, burnout) by day, week from Monday, or month of the author's clock; no empty ones."""
-    start = F.date_trunc(granularity.upper(), F.col("ts"))
-    period = F.date_format(start, "yyyy-MM" if granularity == "month" else "yyyy-MM-dd")
-    return commits.groupBy(period.alias("period")).agg(F.count("*").alias("total"), F.count_if(off_hours("ts")).alias("burnout"))
+    """(period, total, burnout) by day, week from Monday, or month of the author's clock, in order; no empty ones."""
+    return commits.groupBy(_period(commits, granularity)).agg(F.count("*").alias("total"), F.count_if(off_hours(clock(commits))).alias("burnout")).orderBy("period")
 
 
 def velocity_by_author(commits: DataFrame, granularity: str = "week") -> DataFrame:
-    start = F.date_trunc(granularity.upper(), F.col("ts"))
-    period = F.date_format(start, "yyyy-MM" if granularity == "month" else "yyyy-MM-dd")
-    return commits.groupBy(period.alias("period"), "author").agg(F.count("*").alias("commits"))
+    return commits.groupBy(_period(commits, granularity), "author").agg(F.count("*").alias("commits"))
 
 
 def _numbered(buckets: DataFrame) -> DataFrame:
@@ -65,9 +71,18 @@ def slope(buckets: DataFrame) -> DataFrame:
 
 
 def burnout_commits(commits: DataFrame, start: int = OFF_HOURS[0], end: int = OFF_HOURS[1]) -> DataFrame:
-    text = F.concat(F.lit("["), "rev", F.lit("] - "), "author", F.lit(" - "), "subject", F.lit(" ("), F.date_format("ts", "HH:mm"), F.lit(")"))
-    return commits.where(off_hours("ts", start, end)).select("rev", text.alias("described"))
+    ts = clock(commits)
+    text = F.concat(F.lit("["), "rev", F.lit("] - "), "author", F.lit(" - "), "subject", F.lit(" ("), F.date_format(ts, "HH:mm"), F.lit(")"))
+    return commits.where(off_hours(ts, start, end)).select("rev", text.alias("described"))
 
 
 def burnout_share(commits: DataFrame) -> DataFrame:
-    return commits.agg(F.count_if(off_hours("ts")).alias("burnout"), F.count("*").alias("total"))
+    return commits.agg(F.count_if(off_hours(clock(commits))).alias("burnout"), F.count("*").alias("total"))
+
+
+def velocity_summary(commits: DataFrame, granularity: str = "week") -> DataFrame:
+    """One row: periods, commits, their mean by period, out of hours, trend, slope and inequality (null where undefined)."""
+    buckets = velocity(commits, granularity)
+    ratio = lambda df, name: df.select((F.col("numerator") / F.nullif("denominator", F.lit(0))).alias(name))
+    whole = buckets.agg(F.count("*").alias("periods"), F.coalesce(F.sum("total"), F.lit(0)).alias("commits"), F.avg("total").alias("mean"), F.coalesce(F.sum("burnout"), F.lit(0)).alias("burnout"))
+    return whole.crossJoin(trend(buckets).select("trend")).crossJoin(ratio(slope(buckets), "slope")).crossJoin(ratio(gini(commits), "gini"))

@@ -213,7 +213,7 @@ def supplier_coupling(r, spark, d):
     return coupling.logical_coupling(changes).drop("cross_module")
 
 
-_LAYERS = "h AS (SELECT DISTINCT rev, layer FROM file_changes JOIN layers ON contains(file, pattern)), k AS (SELECT rev, count(*) AS k FROM h GROUP BY rev), lp AS (SELECT x.layer AS a, y.layer AS b, count(*) AS n FROM h x JOIN h y ON x.rev = y.rev AND x.layer < y.layer GROUP BY 1, 2)"
+_LAYERS = "h AS (SELECT DISTINCT rev, layer FROM file_changes JOIN layers ON regexp_matches(file, pattern, 'i')), k AS (SELECT rev, count(*) AS k FROM h GROUP BY rev), lp AS (SELECT x.layer AS a, y.layer AS b, count(*) AS n FROM h x JOIN h y ON x.rev = y.rev AND x.layer < y.layer GROUP BY 1, 2)"
 
 
 @query(f"""WITH {_LAYERS} SELECT (SELECT count(DISTINCT rev) FROM file_changes) AS commits, (SELECT count(*) FROM k WHERE k >= 2) AS drift_commits, (SELECT count(*) FROM lp) AS coupled_pairs,
@@ -363,7 +363,8 @@ def changelog(r, spark, d):
     return security.changelog(r("commits")).withColumn("subjects", F.md5(F.array_join("subjects", "\n")))
 
 
-@query("""SELECT DISTINCT ON (fix_rev, intro_rev) fix_rev, intro_rev, (CASE WHEN fix_ts >= intro_ts THEN 1 ELSE -1 END) * (abs(epoch(fix_ts)::BIGINT - epoch(intro_ts)::BIGINT) // 60) / 1440.0::DOUBLE AS days FROM szz_matches""", "szz_matches")
+@query("""SELECT fix_rev, intro_rev, (CASE WHEN f >= i THEN 1 ELSE -1 END) * (abs(epoch(f)::BIGINT - epoch(i)::BIGINT) // 60) / 1440.0::DOUBLE AS days
+FROM (SELECT fix_rev, intro_rev, min(fix_ts) AS f, min(intro_ts) AS i FROM szz_matches GROUP BY 1, 2)""", "szz_matches")
 def fix_origins(r, spark, d):
     m = r("szz_matches")
     return security.fix_origins(m.select(F.col("fix_rev").alias("rev")).distinct(), m)
@@ -386,29 +387,16 @@ def dependency_freshness(r, spark, d):
     return security.dependency_freshness(*_deps(spark, d))
 
 
-@query(f"""WITH d AS ({_DEPS.format(part='part')}) SELECT count(*) AS total, count(*) FILTER (WHERE NOT pinned) AS floating, 0::BIGINT AS missing_locks,
-CASE WHEN count(*) = 0 THEN 'none' WHEN count(*) FILTER (WHERE NOT pinned) > 0.5 * count(*) THEN 'high' WHEN count(*) FILTER (WHERE NOT pinned) > 0 THEN 'medium' ELSE 'low' END AS risk FROM d""")
-def dependency_risk(r, spark, d):
-    deps, _ = _deps(spark, d)
-    return security.dependency_risk(deps.select("manifest", F.lit(True).alias("has_lock")).distinct(), deps)
-
-
 @query(None)
 def secret_candidates(r, spark, d):
     return security.secrets(text.text_lines(r("files")), "line").select("path", F.col("line_no").cast("long").alias("line_no"), "masked")
 
 
-@query("""WITH c AS (SELECT doc_id, unnest(regexp_extract_all(left(lang || source || n_chars::VARCHAR, 60), '.')) AS c FROM documents), n AS (SELECT doc_id, c, count(*) AS k, sum(count(*)) OVER (PARTITION BY doc_id) AS n FROM c GROUP BY doc_id, c)
-SELECT doc_id, floor(1e6 * sum(-(k / n::DOUBLE) * log2(k / n::DOUBLE)) + 1e-3)::BIGINT AS entropy_e6 FROM n GROUP BY doc_id""")
+@query("""WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents WHERE text <> ''), n AS (SELECT doc_id, c, count(*) AS k, sum(count(*)) OVER (PARTITION BY doc_id) AS n FROM c GROUP BY doc_id, c)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(e, 0) END AS entropy_e6 FROM documents d LEFT JOIN (SELECT doc_id, round(1e6 * sum(-(k / n::DOUBLE) * log2(k / n::DOUBLE)))::BIGINT AS e FROM n GROUP BY doc_id) USING (doc_id)""")
 def text_entropy(r, spark, d):
-    key = F.concat("lang", "source", F.col("n_chars").cast("string"))
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.floor(1e6 * S.entropy(key) + 1e-3).cast("long").alias("entropy_e6"))
-
-
-@query(None)
-def document_entropy(r, spark, d):
-    """Of whole texts; text_entropy is of their metadata, as its SQL."""
-    return text.text_entropy(spark.read.parquet(f"{d}/documents.parquet"))
+    """Of whole texts."""
+    return text.text_entropy(spark.read.parquet(f"{d}/documents.parquet")).select("doc_id", F.round(1e6 * F.col("entropy")).cast("long").alias("entropy_e6"))
 
 
 # text
@@ -443,15 +431,15 @@ def lexical_pages(r, spark, d):
     return lexical.lexical_suite(pages.select(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("content")))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT (c_custkey % 40) AS s, ((c_custkey * 7 + c_nationkey) % 40) AS t FROM customer WHERE c_custkey % 40 <> (c_custkey * 7 + c_nationkey) % 40),
-r AS (SELECT s, t FROM e UNION SELECT r.s, e.t FROM r JOIN e ON r.t = e.s)
-SELECT 'n' || a.s::VARCHAR AS node, least('n' || a.s::VARCHAR, min('n' || a.t::VARCHAR)) AS cycle FROM r a JOIN r b ON a.s = b.t AND a.t = b.s WHERE a.s <> a.t GROUP BY a.s""")
+_EDGES = """SELECT concat('n', CAST(c_custkey AS STRING)) AS src, concat('n', CAST(CASE WHEN c_custkey % 12 = 0 THEN c_custkey - 11 ELSE c_custkey + 1 END AS STRING)) AS dst FROM {t} WHERE c_custkey % 5 <> 3
+UNION ALL SELECT concat('n', CAST(c_custkey AS STRING)), concat('n', CAST(c_custkey - c_nationkey AS STRING)) FROM {t} WHERE c_custkey % 4 = 0"""
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM ({_EDGES.format(t='customer')}) WHERE src <> dst), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src)
+SELECT a.src AS node, least(a.src, min(a.dst)) AS cycle FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY a.src""")
 def import_cycles(r, spark, d):
-    checkpoint_dir(spark)
-    k = F.col("c_custkey")
-    name = lambda c: F.concat(F.lit("n"), c.cast("string"))
-    edges = spark.read.parquet(f"{d}/customer.parquet").select(name(k % 40).alias("src"), name((k * 7 + F.col("c_nationkey")) % 40).alias("dst"))
-    return text.import_cycles(edges)
+    """Over a graph of all customers."""
+    return text.import_cycles(spark.sql(_EDGES.format(t=f"parquet.`{d}/customer.parquet`")))
 
 
 # findings
@@ -471,7 +459,8 @@ def complexity_vs_median(r, spark, d):
 
 
 def _proxy(r):
-    return r("file_changes").groupBy("file").agg(F.sum("deletions").alias("complexity"))
+    """Control words in added lines; the SQL counts them by what the lines are made of."""
+    return history.proxy_complexity(r("patch_lines"))
 
 
 @query(f"WITH {_OWN}, o AS ({_OWNERSHIP}) SELECT file AS subject, 'minor_contributor_count' AS metric, minor::DOUBLE AS value_num, 'elevated' AS severity FROM o WHERE minor >= 3 UNION ALL SELECT file, 'single_author_ownership', top_changes / total::DOUBLE, CASE WHEN top_changes / total::DOUBLE > 0.5 THEN 'critical' ELSE 'moderate' END FROM o WHERE top_changes / total::DOUBLE >= 0.3", *CF)
@@ -597,3 +586,6 @@ def code_review_report(r, spark, d):
 def streaming_velocity(r, spark, d):
     """Weekly counts by Structured Streaming over the events, run to its end."""
     return streaming.weekly_counts(spark, d)
+
+
+from . import workspace  # noqa: E402, F401

@@ -59,7 +59,7 @@ FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of ADAPTERS over the Parquet tables in a folder."""
     text = ADAPTERS[name]
-    for t in ("orders", "lineitem", "part", "events", "documents"):
+    for t in ("orders", "lineitem", "part", "events", "documents", "nation"):
         for word in ("FROM", "JOIN"):
             text = text.replace(f"{word} {t}", f"{word} parquet.`{sf_dir}/{t}.parquet`")
     return spark.sql(text)
@@ -72,3 +72,45 @@ def with_sql(body: str, *names: str) -> str:
     if body.upper().startswith("WITH "):
         return f"WITH {', '.join(heads)}, {body[5:]}"
     return f"WITH {', '.join(heads)} {body}"
+
+
+_FILE = "concat(p_brand, '/', p_type, '/f', CAST(l_partkey AS STRING), CASE WHEN l_partkey % 9 = 0 THEN '.md' ELSE '.py' END)"
+#: Relations made for what the tables lack: parents, renames, refs, patches, manifests, findings.
+ADAPTERS |= {
+    "parents": """
+SELECT CAST(o_orderkey AS STRING) AS rev, CAST(o_orderkey - 1 AS STRING) AS parent FROM orders WHERE o_orderkey % 8 <> 1 AND o_orderkey > 1
+UNION ALL SELECT CAST(o_orderkey AS STRING), CAST(CAST(floor(o_orderkey / 2) AS BIGINT) AS STRING) FROM orders WHERE o_orderkey > 3""",
+    "renamed": """
+SELECT CAST(p_partkey AS STRING) AS rev, concat('n', CAST(p_partkey AS STRING)) AS file,
+  CASE WHEN p_partkey > 2 THEN concat('n', CAST(CAST(floor(p_partkey / 3) AS BIGINT) AS STRING)) END AS old_file FROM part""",
+    "refs": "SELECT CASE WHEN n_regionkey = 4 THEN 'branch' ELSE 'tag' END AS kind, concat('v', n_name) AS name, CAST(n_nationkey AS STRING) AS rev FROM nation",
+    "patch_lines": f"""
+SELECT CAST(l_orderkey AS STRING) AS rev, {_FILE} AS file, CAST(l_partkey % 3 AS INT) AS hunk, 1 AS line_seq, '+' AS op, repeat(' if (a) b;', CAST(sum(l_linenumber) AS INT)) AS content
+FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey, l_partkey, p_brand, p_type
+UNION ALL
+SELECT DISTINCT CAST(l_orderkey AS STRING), {_FILE}, CAST(l_partkey % 3 AS INT), 2, CASE WHEN l_partkey % 2 = 0 THEN '+' ELSE '-' END,
+  CASE WHEN l_partkey % 5 = 0 THEN '// about it' WHEN l_partkey % 7 = 0 THEN 'temporary; call(a)' ELSE 'call(b)' END
+FROM lineitem JOIN part ON p_partkey = l_partkey""",
+    "manifest_files": """
+SELECT concat('m', CAST(p_partkey AS STRING), '/', CASE p_size % 6 WHEN 0 THEN 'pubspec.yaml' WHEN 1 THEN 'package.json' WHEN 2 THEN 'requirements.txt' WHEN 3 THEN 'go.mod' WHEN 4 THEN 'Cargo.toml' ELSE 'Gemfile' END) AS path,
+  replace(CASE p_size % 6
+    WHEN 0 THEN 'name: x|dependencies:|  one: 1.2.3|  two: ^1.0.0|  three: 1|  four: "path:../x"|other: 1.0.0'
+    WHEN 1 THEN '{"name": "x", "dependencies": {"one": "1.2.3", "two": "^1.0.0", "three": "latest"}, "devDependencies": {"four": "2.0.0"}}'
+    WHEN 2 THEN '# needs|one==1.2|two>=1.0|three|'
+    WHEN 3 THEN 'module x|go 1.21|require (|  a.org/one v1.2.3|  a.org/two v0.1.0 // indirect|)|'
+    WHEN 4 THEN '[package]|version = "1.0.0"|[dependencies]|one = "1.0.100"|two = "1"|three = { version = "=1.2" }|[features]|four = "1.0.0"'
+    ELSE 'source "x"|gem "one", ">= 5.0"|gem "two", "~> 1.0"|gem "three"|' END, '|', chr(10)) AS content
+FROM part
+UNION ALL
+SELECT concat('m', CAST(p_partkey AS STRING), '/', CASE p_size % 6 WHEN 0 THEN 'pubspec.lock' WHEN 1 THEN 'package-lock.json' WHEN 2 THEN 'poetry.lock' WHEN 3 THEN 'go.sum' WHEN 4 THEN 'Cargo.lock' ELSE 'Gemfile.lock' END), ''
+FROM part WHERE p_partkey % 3 <> 0""",
+    "made_findings": """
+SELECT CASE p_partkey % 10 WHEN 0 THEN 'bugHotspot' WHEN 1 THEN 'ownership' WHEN 2 THEN 'ownership' WHEN 3 THEN 'complexity' WHEN 4 THEN 'churn' WHEN 5 THEN 'coupling' WHEN 6 THEN 'lexicalComplexity' WHEN 7 THEN 'secret' WHEN 8 THEN 'dependency' ELSE 'velocity' END AS category,
+  CASE WHEN p_partkey % 10 = 7 AND p_size % 2 = 0 THEN concat('config/f', CAST(p_size AS STRING)) WHEN p_partkey % 10 = 9 THEN 'repository' ELSE concat('src/f', CAST(p_size AS STRING)) END AS subject,
+  CASE p_partkey % 10 WHEN 1 THEN 'single_author_ownership' WHEN 2 THEN 'minor_contributor_count' WHEN 9 THEN CASE WHEN p_size % 2 = 0 THEN 'burnout_commit_share' ELSE 'author_gini' END ELSE concat('m', CAST(p_partkey AS STRING)) END AS metric,
+  CASE p_size % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'elevated' WHEN 3 THEN 'moderate' ELSE 'low' END AS severity,
+  CASE p_size % 5 WHEN 0 THEN 7 WHEN 1 THEN 6 WHEN 2 THEN 4 WHEN 3 THEN 5 ELSE 3 END AS severity_rank,
+  CAST(p_partkey AS DOUBLE) AS value_num, CAST(NULL AS STRING) AS value_str, concat('band ', CAST(p_partkey AS STRING)) AS band,
+  CASE p_partkey % 10 WHEN 1 THEN concat('{"top_author":"dev', CAST(p_size % 4 AS STRING), '"}') WHEN 5 THEN CASE WHEN p_partkey % 20 = 5 THEN '{"cross_module":true}' ELSE '{"cross_module":false}' END ELSE '{}' END AS evidence
+FROM part""",
+}

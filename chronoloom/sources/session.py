@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; one is made only where none is set (tests)."""
+    """The shared folder of spark.checkpoint.dir; one is made only where none is set in local mode (tests)."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="chronoloom-checkpoint-")
         sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` in the checkpoint folder: for what several parts of a plan read."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
