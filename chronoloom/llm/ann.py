@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours by additive quantisation; every vector is a query.
+"""Approximate nearest neighbours by additive quantisation.
 
 A vector is the sum of one word from each of CODEBOOKS full-dimensional codebooks. Codebooks start
 as k-means of residuals and are refitted by least squares; encoding keeps the BEAM best partial
@@ -6,17 +6,24 @@ sums at each codebook. Squared norms of the sums are stored, so that the score o
 is a sum of CODEBOOKS look-ups in a table of the query's products with all words, and the SHORTLIST
 best are compared exactly. The length of what a code leaves of its vector is stored too; it bounds
 the cosine, and all codes whose bound reaches the k-th exact cosine are compared exactly as well. So
-a cell is searched exactly, also where the codes can't rank its vectors (near copies).
+a block is searched exactly, also where the codes can't rank its vectors (near copies).
 
-Coarse cells keep it from being quadratic: a vector is stored in the cell of its nearest centre and
-asks in its nearest PROBE cells. How many are needed depends on the data, so they are counted on
-calibration queries against all vectors: the least number of cells that hold TARGET of their true
-neighbours. Where vectors are clustered these are few; where they have no structure nearly all.
+Coarse cells keep it from reading everything for each query: a vector is stored in the cell of its
+nearest centre and asks in its nearest `probes` cells. How many are needed depends on the data, so
+they are counted on calibration queries against all vectors: the least number of cells that hold
+TARGET of their true neighbours. Where vectors are clustered these are few; where they have no
+structure nearly all. The model is fitted on a bounded sample (TRAIN_ROWS), every vector is indexed.
+Cells of more than CELL_ROWS vectors are cut into blocks, each of which is asked, so no task holds
+more than a block, however many near copies there are.
+
+`query` asks with the vectors whose vec_id is divisible by 100, against all vectors; without
+`asking`, every vector asks.
 
 Defined results: similarity is the cosine. Null vectors, vectors with null, NaN or infinite parts,
-of length zero, or of another dimension than most, and null vec_ids take no part. A vector is no
-neighbour of its own vec_id; of repeated vec_ids the nearest row counts. Ties go to the smaller
-vec_id. Fewer than k vectors give fewer neighbours. Other columns are not read.
+of length zero, or of another dimension than most, and null vec_ids take no part; where most vectors
+are empty there are no neighbours. vec_id must be a whole number (or castable to long; else it is
+null). A vector is no neighbour of its own vec_id; of repeated vec_ids the nearest row counts. Ties
+go to the smaller vec_id. Fewer than k vectors give fewer neighbours. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import process_cache, shuffle_partitions, table
+from .common import mix, process_cache, segments, shuffle_partitions, table
 from .embed_dedup import common_dimension, unit_rows
 
 K = 10
@@ -39,6 +46,10 @@ SLACK, PRODUCTS = 1e-5, 1 << 22
 CELL_ROWS = 4096
 #: Bounds of the samples for training and calibration.
 TRAIN_ROWS, CALIBRATION_ROWS = 16384, 256
+#: Most cells: a centre needs some vectors of the sample. Beyond, cells have more blocks.
+MAX_CELLS = 512
+#: A row id divisible by this asks, in the registered query.
+ASKING = 100
 TARGET = 0.985
 SEED = 11
 
@@ -163,10 +174,22 @@ def _probes(vectors: DataFrame, dimension: int, centres: np.ndarray, k: int) ->
     return int(need[min(len(need) - 1, int(np.ceil(TARGET * len(need))) - 1)]) + 1
 
 
-def _place(model, probes, dimension):
+def _cell_sizes(centres, dimension):
+    def run(batches):
+        """How many vectors of each batch lie in each cell."""
+        for batch in batches:
+            _, x = unit_rows(batch, dimension=dimension)
+            n = np.bincount(np.argmax(x @ centres.value.T, axis=1), minlength=len(centres.value)) if len(x) else np.zeros(1, np.int64)
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(n[some].astype(np.int64))], ["cell", "n"])
+
+    return run
+
+
+def _place(model, probes, dimension, asking):
     def run(batches):
-        """Packed rows of stored vectors (kind 0) and of queries (kind 1) by cell."""
-        version, centres, books = model.value
+        """Packed rows of stored vectors (kind 0) and of queries (kind 1) by block of a cell."""
+        version, centres, books, blocks, starts = model.value
         quantiser = process_cache("ann-quantiser", lambda: Quantiser(books), version)
         for batch in batches:
             all_ids, all_x = unit_rows(batch, dimension=dimension)
@@ -177,10 +200,16 @@ def _place(model, probes, dimension):
                 norms = (decoded**2).sum(1).astype(np.float32)
                 errors = np.linalg.norm(x - decoded, axis=1).astype(np.float32)
                 near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probes]
+                home = starts[near[:, 0]] + (mix(ids.view(np.uint64)) % blocks[near[:, 0]].astype(np.uint64)).astype(np.int64)
+                asks = np.flatnonzero(ids % asking == 0)
+                who = np.repeat(asks, blocks[near[asks]].sum(1))
+                where = segments(starts[near[asks]].ravel(), blocks[near[asks]].ravel())
                 out = {k: [] for k in ("cell", "kind", "ids", "x", "codes", "norms", "errors")}
-                for kind, cells in ((0, near[:, :1]), (1, near)):
-                    for c in np.unique(cells):
-                        sel = np.flatnonzero((cells == c).any(1))
+                for kind, rows, cells in ((0, np.arange(len(ids)), home), (1, who, where)):
+                    by = np.argsort(cells, kind="stable")
+                    edge = np.flatnonzero(np.diff(cells[by], prepend=-1, append=1 << 60))
+                    for a, b in zip(edge[:-1], edge[1:]):
+                        c, sel = cells[by[a]], rows[by[a:b]]
                         row = (int(c), kind, ids[sel].tobytes(), x[sel].astype(np.float32).tobytes(), codes[sel].tobytes() if not kind else b"", norms[sel].tobytes() if not kind else b"", errors[sel].tobytes() if not kind else b"")
                         for k, v in zip(out, row):
                             out[k].append(v)
@@ -259,7 +288,7 @@ def without_copies(ids, *rest):
 
 def _search(model, dimension, k, shortlist):
     def run(group: pa.Table) -> pa.Table:
-        version, _, books = model.value
+        version, books = model.value[0], model.value[2]
         quantiser = process_cache("ann-quantiser", lambda: Quantiser(books), version)
         base = {"ids": [], "x": [], "codes": [], "norms": [], "errors": []}
         asked = []
@@ -285,21 +314,28 @@ def _search(model, dimension, k, shortlist):
     return run
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = K, shortlist: int = SHORTLIST) -> DataFrame:
-    """(vec_id, rank, neighbour_id, cosine): the k nearest of every vector, rank from 1."""
+def nearest_neighbours(vectors: DataFrame, k: int = K, shortlist: int = SHORTLIST, asking: int = 1) -> DataFrame:
+    """(vec_id, rank, neighbour_id, cosine): the k nearest, rank from 1, of the vectors whose vec_id is divisible by asking."""
     spark = vectors.sparkSession
-    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    vectors = vectors.select(F.col("vec_id").try_cast("long").alias("vec_id"), "embedding").where("vec_id is not null")
     rows, dimension = common_dimension(vectors)
-    if not dimension:
+    if dimension <= 0:
         return spark.createDataFrame([], "vec_id long, rank long, neighbour_id long, cosine double")
     rng = np.random.default_rng(SEED)
     _, sample = _sample(vectors, dimension, TRAIN_ROWS, SEED)
-    cells = max(1, -(-rows // CELL_ROWS))
+    if not len(sample):
+        return spark.createDataFrame([], "vec_id long, rank long, neighbour_id long, cosine double")
+    cells = min(MAX_CELLS, max(1, -(-rows // CELL_ROWS)))
     centres = kmeans(sample, cells, 8, rng) if cells > 1 else np.zeros((1, dimension))
     probes = _probes(vectors, dimension, centres, k)
-    model = spark.sparkContext.broadcast((str(uuid.uuid4()), centres, train_quantiser(sample, rng)))
-    placed = vectors.mapInArrow(_place(model, probes, dimension), "cell long, kind int, ids binary, x binary, codes binary, norms binary, errors binary")
-    found = placed.repartition(min(cells, shuffle_partitions(spark)), "cell").groupBy("cell").applyInArrow(_search(model, dimension, k, shortlist), "vec_id long, near array<long>, cosine array<double>")
+    blocks = np.ones(cells, np.int64)
+    for c, n in vectors.mapInArrow(_cell_sizes(spark.sparkContext.broadcast(centres), dimension), "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
+        blocks[c] = max(1, -(-n // CELL_ROWS))
+    starts = np.cumsum(blocks) - blocks
+    model = spark.sparkContext.broadcast((str(uuid.uuid4()), centres, train_quantiser(sample, rng), blocks, starts))
+    placed = vectors.mapInArrow(_place(model, probes, dimension, asking), "cell long, kind int, ids binary, x binary, codes binary, norms binary, errors binary")
+    parts = max(shuffle_partitions(spark), min(int(blocks.sum()), 20_000))
+    found = placed.repartition(parts, "cell").groupBy("cell").applyInArrow(_search(model, dimension, k, shortlist), "vec_id long, near array<long>, cosine array<double>")
     pair = F.transform(F.arrays_zip("near", "cosine"), lambda p: F.struct((-p["cosine"]).alias("s"), p["near"].alias("n")))
     best = found.groupBy("vec_id").agg(F.array_sort(F.flatten(F.collect_list(pair))).alias("p"))
     # of a repeated neighbour the nearest row stays
@@ -311,4 +347,4 @@ def nearest_neighbours(vectors: DataFrame, k: int = K, shortlist: int = SHORTLIS
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), asking=ASKING)
