@@ -5,11 +5,11 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.windows import order_statistics, rank_share, top_one
+from ..sources.session import written
 
 RANK = {"info": 1, "healthy": 2, "low": 3, "elevated": 4, "moderate": 5, "high": 6, "critical": 7}
 MATERIAL = RANK["elevated"]
@@ -234,13 +234,16 @@ def severity_counts(found: DataFrame) -> DataFrame:
 
 def report(found: DataFrame, name: str, most: int = 8, most_compounds: int = 5, targets: DataFrame | None = None) -> DataFrame:
     """One row (report, payload): a bounded JSON document of the material findings."""
-    both = found.unionByName(compounds(found)).where(F.col("severity_rank") >= MATERIAL)
-    key = W.partitionBy(F.col("category") == "compound").orderBy(F.desc("severity_rank"), F.desc(F.coalesce("value_num", F.lit(0.0))), "subject", "metric")
-    both = both.withColumn("n", F.row_number().over(key))
-    row = F.struct("n", *COLUMNS)
-    pick = lambda test, k: F.array_sort(F.collect_list(F.when(test & (F.col("n") <= k), row)))
+    both = written(found.unionByName(compounds(found)).where(F.col("severity_rank") >= MATERIAL))
     compound = F.col("category") == "compound"
-    body = both.agg(pick(~compound, most).alias("findings"), pick(compound, most_compounds).alias("compounds"))
+    order = [F.desc("severity_rank"), F.desc(F.coalesce("value_num", F.lit(0.0))), "subject", "metric"]
+
+    def top(test, k, name):
+        """The first k of a kind: a bounded sort, then one array."""
+        row = F.struct((-F.col("severity_rank")).alias("n"), (-F.coalesce("value_num", F.lit(0.0))).alias("v"), F.col("subject").alias("s"), F.col("metric").alias("m"), F.struct(*COLUMNS).alias("f"))
+        return both.where(test).orderBy(*order).limit(k).agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["f"]).alias(name))
+
+    body = top(~compound, most, "findings").crossJoin(top(compound, most_compounds, "compounds"))
     counts = both.groupBy("severity").agg(F.count("*").alias("c")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("severity", "c")))).alias("summary"))
     out = body.crossJoin(counts)
     if targets is not None:

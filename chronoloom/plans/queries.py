@@ -9,7 +9,7 @@ from ..functions import scalars as S
 from ..functions import windows
 from ..operators import coupling, findings, history, security, szz, text, velocity
 from ..sources.relations import relation, with_sql
-from ..sources.session import checkpoint_dir
+from ..sources.session import written
 from ..streaming import windows as streaming
 
 QUERIES: dict = {}
@@ -387,7 +387,14 @@ def dependency_freshness(r, spark, d):
     return security.dependency_freshness(*_deps(spark, d))
 
 
-@query(None)
+_SECRET = security.SECRET.replace("'", "''")
+
+
+@query(f"""WITH l AS (SELECT path, unnest(string_split(regexp_replace(replace(content, chr(13) || chr(10), chr(10)), '\\n$', ''), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(replace(content, chr(13) || chr(10), chr(10)), '\\n$', ''), chr(10)), 1) - 1 AS line_no FROM files),
+h AS (SELECT path, line_no, CASE WHEN regexp_extract(line, '{_SECRET}', 2) <> '' THEN regexp_extract(line, '{_SECRET}', 2) ELSE regexp_extract(line, '{_SECRET}', 0) END AS v FROM l
+WHERE regexp_matches(line, '{_SECRET}') AND NOT contains(line, chr(36) || '{{{{') AND NOT regexp_matches(lower(line), 'example|placeholder|changeme')),
+e AS (SELECT *, list_sum(list_transform(list_distinct(string_split(v, '')), lambda c: -(len(list_filter(string_split(v, ''), lambda x: x = c)) / length(v)::DOUBLE) * log2(len(list_filter(string_split(v, ''), lambda x: x = c)) / length(v)::DOUBLE))) AS entropy FROM h)
+SELECT path, line_no::BIGINT AS line_no, left(v, 3) || '***' || right(v, 3) AS masked FROM e WHERE entropy >= 2.5""", "files")
 def secret_candidates(r, spark, d):
     return security.secrets(text.text_lines(r("files")), "line").select("path", F.col("line_no").cast("long").alias("line_no"), "masked")
 
@@ -491,7 +498,6 @@ def _hot(r):
 
 def _text_findings(r, spark):
     """What the texts of files show: lexical metrics, clean code, cycles of imports."""
-    checkpoint_dir(spark)
     files = r("files")
     return [
         findings.classify_lexical(lexical.lexical_suite(files)),
@@ -500,11 +506,18 @@ def _text_findings(r, spark):
     ]
 
 
+def _once(r, *names):
+    """Relations that many parts of a plan read, written once."""
+    kept = {n: written(r(n)) for n in names}
+    return lambda n: kept[n] if n in kept else r(n)
+
+
 def _all_findings(r, spark, d):
     """Written once, as rules and counts read them again."""
+    r = _once(r, "commits", "file_changes")
     c, fc = r("commits"), r("file_changes")
     buckets = velocity.velocity(r("activity"))
-    return findings.union([
+    return written(findings.union([
         *_text_findings(r, spark),
         findings.classify_secrets(security.secrets(text.text_lines(r("files")), "line"), "path"),
         findings.classify_dependencies(security.dependency_freshness(*_deps(spark, d))),
@@ -521,7 +534,7 @@ def _all_findings(r, spark, d):
         findings.classify_count(history.suspicious_commits(c), "hygiene", "suspicious_commits"),
         findings.classify_drift(coupling.drift_summary(fc, r("layers")), coupling.drift_smells(fc, r("layers"))),
         findings.classify_refactoring(history.refactorings(c, fc)),
-    ]).checkpoint()
+    ]))
 
 
 @query(None)
@@ -548,11 +561,12 @@ def report_payload(r, spark, d):
 
 @query(None)
 def technical_report(r, spark, d):
+    r = _once(r, "commits", "file_changes")
     c, fc = r("commits"), r("file_changes")
     parts = [findings.classify_ownership(history.ownership(c, fc)), findings.classify_complexity(_proxy(r)), findings.classify_top_decile(history.file_churn(fc), "churn", "codeQuality", "changes"),
              findings.classify_coupling(coupling.logical_coupling(fc, least=2)), findings.classify_drift(coupling.drift_summary(fc, r("layers")), coupling.drift_smells(fc, r("layers"))), findings.classify_hotspots(_hot(r)),
              findings.classify_top_decile(history.volatility(c, fc), "volatility", "codeVolatility", "score"), findings.classify_refactoring(history.refactorings(c, fc)), *_text_findings(r, spark)]
-    return findings.report(findings.in_refactoring_context(findings.union(parts).checkpoint(), fc.where("status = 'R'")), "technical", targets=findings.refactoring_targets(history.file_churn(fc), _proxy(r)))
+    return findings.report(findings.in_refactoring_context(written(findings.union(parts)), fc.where("status = 'R'")), "technical", targets=findings.refactoring_targets(history.file_churn(fc), _proxy(r)))
 
 
 @query(None)
@@ -565,6 +579,7 @@ def security_report(r, spark, d):
 
 @query(None)
 def pm_report(r, spark, d):
+    r = _once(r, "commits", "file_changes")
     c, fc = r("commits"), r("file_changes")
     buckets = velocity.velocity(r("activity"))
     parts = [findings.classify_bus_factor(c.groupBy("author").agg(F.count("*").alias("commits"))), findings.classify_ownership(history.ownership(c, fc)), findings.classify_hotspots(szz.lifetimes(r("szz_matches"), "file")),
@@ -574,12 +589,12 @@ def pm_report(r, spark, d):
 
 @query(None)
 def code_review_report(r, spark, d):
+    r = _once(r, "commits", "file_changes")
     c, fc = r("commits"), r("file_changes")
     parts = [findings.classify_secrets(security.secrets(text.text_lines(r("files")), "line"), "path"), findings.classify_complexity(_proxy(r)), findings.classify_clean_code(text.clean_code(r("files"))),
              findings.classify_lexical(lexical.lexical_suite(r("files"))), findings.classify_ownership(history.ownership(c, fc)), findings.classify_top_decile(history.file_churn(fc), "churn", "codeQuality", "changes"),
              findings.classify_hotspots(_hot(r))]
-    checkpoint_dir(spark)
-    return findings.report(findings.in_refactoring_context(findings.union(parts).checkpoint(), fc.where("status = 'R'")), "code_review", targets=findings.refactoring_targets(history.file_churn(fc), _proxy(r)))
+    return findings.report(findings.in_refactoring_context(written(findings.union(parts)), fc.where("status = 'R'")), "code_review", targets=findings.refactoring_targets(history.file_churn(fc), _proxy(r)))
 
 
 @query(_bucket("week", "%Y-%m-%d").replace("AS burnout", "AS off_hours"), "activity")

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import coupling, findings, history, security, szz, velocity
+from ..operators import coupling, findings, history, security, szz, text, velocity, workspace
 from .queries import _FIX, _NOTFIX, _OWN, _OWNERSHIP, _PAIRS, _W, CF, _m, query
 
 
@@ -155,3 +155,61 @@ def ownership_summary(r, spark, d):
     own = history.ownership(r("commits"), r("file_changes"))
     rules = spark.createDataFrame([(0, "*.md", "@writers")], "rule_idx int, pattern string, owners string")
     return history.ownership_summary(history.ownership_drift(own, own), history.declared_owners(r("file_changes"), rules))
+
+
+@query("SELECT name, name = 'vNATION_4' AS is_current FROM refs WHERE kind = 'branch'", "refs")
+def branches(r, spark, d):
+    return workspace.branches(r("refs"), "vNATION_4")
+
+
+@query("SELECT rev, author, subject FROM commits WHERE rev = '77'", "commits")
+def show_commit(r, spark, d):
+    return workspace.show(r("commits"), "77").select("rev", "author", "subject")
+
+
+@query("SELECT (SELECT count(*) FROM commits) AS commits, (SELECT max(ts) FROM commits) AS last_ts, (SELECT arg_max(subject, seq) FROM commits) AS last_subject, (SELECT max(name) FROM refs WHERE kind = 'branch' AND name = 'vNATION_4') AS branch, true AS dirty", "commits", "refs")
+def workspace_health(r, spark, d):
+    return workspace.health(r("commits"), r("refs"), r("renamed"), "vNATION_4")
+
+
+@query("SELECT file, file LIKE 'Brand#1%' OR file LIKE 'Brand#2%' AS in_layer FROM (SELECT DISTINCT file FROM file_changes)", "file_changes")
+def files_inside(r, spark, d):
+    """Paths that climb out of their root and come back, or don't."""
+    f = F.col("file")
+    way = F.when(f.startswith("Brand#1"), F.concat(F.lit("./x/../"), f)).when(f.startswith("Brand#2"), F.concat(F.lit("/root/"), f)).otherwise(F.concat(F.lit("x/../../"), f))
+    return r("file_changes").select("file").distinct().select("file", workspace.inside(way, "/root").alias("in_layer"))
+
+
+_CODE = "(VALUES ('sum', false, 0, 1, 0), ('_add', true, 2, 2, 0), ('go', false, 0, 0, 1), ('print', false, 1, 1, 2)) v(name, is_private, n, m, kind)"
+
+
+@query(f"SELECT path, name, is_private FROM code_files, {_CODE} WHERE kind = 0 OR kind = 1 AND contains(content, 'void go')", "code_files")
+def signatures(r, spark, d):
+    return workspace.signatures(r("code_files"))
+
+
+@query("SELECT path, '_add' AS name, 2::BIGINT AS calls FROM code_files UNION ALL SELECT path, unnest(['sum', 'print']), 1 FROM code_files WHERE contains(content, 'void go')", "code_files")
+def invocations(r, spark, d):
+    return workspace.invocations(r("code_files"))
+
+
+@query("SELECT path AS src, 'lib/a.dart' AS dst FROM code_files WHERE path IN (SELECT path FROM code_files ORDER BY path LIMIT 10)", "code_files")
+def imports_of_changed_sources(r, spark, d):
+    changes = r("code_files").select(F.col("path").alias("file"))
+    return text.dart_imports(workspace.changed_sources(changes, r("code_files")))
+
+
+@query(f"""SELECT rev, file, hunk, unnest(['accuracy', 'audience', 'length', 'reason']) AS aspect FROM patch_lines WHERE rev IN (SELECT rev FROM commits WHERE NOT {_m('subject', '^(docs|readme|documentation|chore[(]docs[)]):?')})
+GROUP BY rev, file, hunk HAVING bool_or(op = '+' AND regexp_matches(content, '{_COMMENT}'))""", "commits", "patch_lines")
+def comments_to_judge(r, spark, d):
+    return workspace.comments_to_judge(r("commits"), r("patch_lines")).select("rev", "file", "hunk", "aspect")
+
+
+_HINTED = ", ".join(f"('{k}', '{v[1].replace(chr(39), chr(39) * 2)}')" for k, v in workspace.HINTS.items())
+
+
+@query(f"SELECT subject, metric, source, advice FROM (SELECT *, unnest([CASE category WHEN 'bugHotspot' THEN 'bugHotspots' WHEN 'ownership' THEN 'fileOwnership' WHEN 'coupling' THEN 'logicalCoupling' ELSE category END, 'compound']) AS source FROM made_findings) JOIN (VALUES {_HINTED}) h(source, advice) USING (source)", "made_findings")
+def findings_with_hints(r, spark, d):
+    c = F.col("category")
+    name = F.when(c == "bugHotspot", "bugHotspots").when(c == "ownership", "fileOwnership").when(c == "coupling", "logicalCoupling").otherwise(c)
+    return workspace.with_hints(r("made_findings").withColumn("source", F.array(name, F.lit("compound")))).select("subject", "metric", "source", "advice")

@@ -114,3 +114,7 @@ SELECT CASE p_partkey % 10 WHEN 0 THEN 'bugHotspot' WHEN 1 THEN 'ownership' WHEN
   CASE p_partkey % 10 WHEN 1 THEN concat('{"top_author":"dev', CAST(p_size % 4 AS STRING), '"}') WHEN 5 THEN CASE WHEN p_partkey % 20 = 5 THEN '{"cross_module":true}' ELSE '{"cross_module":false}' END ELSE '{}' END AS evidence
 FROM part""",
 }
+ADAPTERS["code_files"] = """
+SELECT concat('lib/c', CAST(p_partkey AS STRING), '.dart') AS path,
+  replace(concat('import "a.dart";|class C {|  int sum(int a) {|    return _add(a) + _add(1);|  }|  int _add(int a) => a;|', CASE WHEN p_size % 2 = 0 THEN '  void go() { print(sum(2)); }|' ELSE '' END, '}|'), '|', chr(10)) AS content
+FROM part"""

@@ -33,12 +33,17 @@ def sessions_stream(events: DataFrame, gap: str = "2 hours", lateness: str = "1
 
 
 def run_to_end(stream: DataFrame, spark: SparkSession, mode: str = "complete") -> DataFrame:
-    """All that a stream over finite input gives, from one pass over what is there."""
+    """All that a stream over finite input gives, from one pass over what is there, as a table of files."""
     folder = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4()}"
-    name = f"s{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", folder).trigger(availableNow=True).start()
+    schema = stream.schema
+
+    def write(batch: DataFrame, number: int) -> None:
+        # a batch that is repeated after a loss takes the place of its first try
+        batch.write.mode("overwrite").parquet(f"{folder}/out" if mode == "complete" else f"{folder}/out/{number}")
+
+    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/out")
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

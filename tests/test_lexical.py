@@ -107,3 +107,10 @@ def test_top_churn_sources(spark):
     files = spark.createDataFrame([("a.py", "x"), ("b.py", "y" * 300_000), ("c.md", "z"), ("d.py", "w")], "path string, content string")
     churn = spark.createDataFrame([("a.py", 3), ("b.py", 9), ("c.md", 8), ("d.py", 5)], "file string, changes long")
     assert [r.path for r in L.top_churn_sources(churn, files).orderBy("changes").collect()] == ["a.py", "d.py"]
+
+
+def test_own_languages_and_metrics(spark):
+    own = L.Language("zig", (".zig",), L._set("if while"), line=("//",))
+    files = spark.createDataFrame([("a.zig", "if x { y } // if"), ("b.py", "if a:\n    pass\n")], "path string, content string")
+    got = {r.path: r for r in L.lexical_suite(files, (own,), {"words": lambda toks, lang: sum(t[0] == L.WORD for t in toks)}).collect()}
+    assert got["a.zig"].language == "zig" and got["a.zig"].cyclomatic == 2 and got["a.zig"].words == 3 and got["b.py"].words == 3
