@@ -74,7 +74,7 @@ def _lines(dimension, count, seed):
 def plan(x: np.ndarray, rows: int, threshold: float, recall: float) -> dict:
     """Medians, widths and counts for so many vectors like the sample x."""
     dimension = x.shape[1]
-    sides = max(1, math.ceil(math.log2(max(2, rows / REGION_ROWS))))
+    sides = max(0, math.ceil(math.log2(max(1, rows / REGION_ROWS))))
     far = np.random.default_rng(SEED).normal(size=x.shape)
     far -= (far * x).sum(1, keepdims=True) * x
     norm = np.linalg.norm(far, axis=1, keepdims=True)
@@ -83,6 +83,9 @@ def plan(x: np.ndarray, rows: int, threshold: float, recall: float) -> dict:
     counted = _lines(dimension, COUNTED, SEED + 3)
     collisions = (np.abs(projected(x @ counted, step).astype(int) - projected(y @ counted, step)) <= STEPS).sum(1)
     need = int(np.floor(np.quantile(collisions, 1 - recall))) if len(x) else 1
+    shape = {"step": step, "need": max(1, need), "counted": counted}
+    if not sides:  # one region
+        return shape | {"sides": 0, "tables": 1, "lines": np.zeros((dimension, 0)), "medians": np.zeros(0)}
     lines = _lines(dimension, 512, SEED + 1)
     medians = np.median(x @ lines, axis=0)
     # whole codes of pairs at the threshold, of which many are made from these lines
@@ -91,7 +94,7 @@ def plan(x: np.ndarray, rows: int, threshold: float, recall: float) -> dict:
     together = min(0.999, max(0.01, float(groups.mean())))
     tables = math.ceil(math.log(1 - recall) / math.log(1 - together))
     lines = _lines(dimension, sides * tables, SEED + 2)
-    return {"step": step, "need": max(1, need), "sides": sides, "tables": tables, "counted": counted, "lines": lines, "medians": np.median(x @ lines, axis=0)}
+    return shape | {"sides": sides, "tables": tables, "lines": lines, "medians": np.median(x @ lines, axis=0)}
 
 
 def projected(h: np.ndarray, step: float) -> np.ndarray:
@@ -248,7 +251,7 @@ def _joined(vectors: DataFrame, threshold: float, recall: float, as_pairs: bool)
     """(documents, found): (doc_id, id) of each row and its vector; pairs or LINKS of vectors. found is None if there can't be any."""
     spark = vectors.sparkSession
     own = vectors.select(F.col("vec_id").try_cast("long").alias("vec_id"), "embedding").where("vec_id is not null")
-    own = own.withColumn("id", F.when(F.col("embedding").isNotNull(), F.xxhash64("embedding")))
+    own = own.withColumn("id", F.when(F.col("embedding").isNotNull(), F.xxhash64("embedding", F.size("embedding"), F.transform("embedding", lambda x: x.isNull()))))
     rows = checkpointed(own.select(F.col("vec_id").alias("doc_id"), "id").distinct())
     count, dimension = common_dimension(own)
     sample = _sample(own, dimension) if dimension > 0 else ()

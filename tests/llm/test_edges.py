@@ -10,7 +10,7 @@ from . import brute, messy
 
 ROWS = messy.rows()
 ON_DOCS = {
-    "mixing": lambda d, lab: mixing.mix_sources(d, lab), "licenses": lambda d, lab: licenses.scan_licenses(d), "jaccard": lambda d, lab: jaccard_join.jaccard_pairs(d),
+    "mixing": lambda d, lab: mixing.mix_sources(d, lab), "licenses": lambda d, lab: licenses.scan_licenses(d), "jaccard": lambda d, lab: jaccard_join.jaccard_classes(d),
     "bpe": lambda d, lab: bpe.encode_documents(d), "token_counts": lambda d, lab: token_counts.prefix_token_counts(d), "toxicity": lambda d, lab: toxicity.score_documents(d, lab),
     "line_dedup": lambda d, lab: line_dedup.dedup_lines(d, with_count=True),
 }
@@ -52,9 +52,21 @@ def test_jaccard_by_brute_force(spark):
     assert got == pytest.approx(brute.jaccard_pairs([(r[0], r[1]) for r in ROWS]))
 
 
+def test_jaccard_classes_by_brute_force(spark):
+    assert {tuple(r) for r in jaccard_join.jaccard_classes(messy.docs(spark)).collect()} == brute.jaccard_classes([(r[0], r[1]) for r in ROWS])
+
+
+def test_ids_that_are_no_numbers(spark):
+    docs = spark.createDataFrame([("1", "a b c d"), ("x", "a b c d"), ("2", "a b c d")], "doc_id string, text string")
+    assert {tuple(r) for r in jaccard_join.jaccard_classes(docs).collect()} == {(1, 1, 0, 2), (2, 1, 0, 2)}
+    assert len(toxicity.score_documents(docs, messy.labels(spark)).collect()) == 3
+    vectors_ = spark.createDataFrame([("1", [1.0, 0.0]), ("x", [1.0, 0.0]), ("2", [1.0, 0.01])], "vec_id string, embedding array<float>")
+    assert {tuple(r) for r in embed_dedup.embedding_classes(vectors_).collect()} == {(1, 1, 1, 1), (2, 1, 1, 1)}
+
+
 def test_jaccard_keeps_rows_without_group(spark):
     left = jaccard_join.drop_near_duplicates(messy.docs(spark)).collect()
-    gone = brute.keep_first(ROWS, brute.jaccard_pairs([(r[0], r[1]) for r in ROWS]))
+    gone = brute.keep_first([(r[0], r[1]) for r in ROWS])
     assert sorted(map(str, left)) == sorted(map(str, messy.docs(spark, [r for r in ROWS if r[0] not in gone]).collect()))
 
 
@@ -144,11 +156,16 @@ def vectors(spark):
     return spark.createDataFrame([(i, v, 0) for i, v in data], VECTORS)
 
 
-def test_embedding_pairs_of_odd_vectors(spark):
-    got = {(r.vec_a, r.vec_b) for r in embed_dedup.embedding_pairs(vectors(spark).selectExpr("*", "1 AS t", "2 AS region", "3 AS v")).collect()}
-    assert got == {(1, 2), (1, 3), (1, 12)}
-    assert embed_dedup.embedding_pairs(spark.createDataFrame([], VECTORS)).collect() == []
-    assert sorted(str(r.vec_id) for r in embed_dedup.drop_near_duplicates(vectors(spark)).collect()) == sorted(map(str, [1, 4, 5, 6, 7, 8, 9, None, 10, 11]))
+def test_embeddings_with_odd_vectors(spark):
+    odd = vectors(spark).selectExpr("*", "1 AS t", "2 AS region", "3 AS x", "4 AS id", "5 AS mark")
+    assert {(r.vec_a, r.vec_b) for r in embed_dedup.embedding_pairs(odd).collect()} == {(1, 3), (1, 12), (3, 12)}
+    got = {tuple(r) for r in embed_dedup.embedding_classes(odd).collect()}
+    assert got == {(1, 1, 2, 2), (2, 1, 2, 2), (3, 1, 2, 1), (12, 1, 2, 1), (4, 4, 0, 0)} | {(i, i, 0, 1) for i in (5, 6, 7, 8, 9, 10, 11)}
+    assert embed_dedup.embedding_classes(spark.createDataFrame([], VECTORS)).collect() == []
+    assert [tuple(r) for r in embed_dedup.embedding_classes(spark.createDataFrame([(1, [], 0), (2, [], 0), (3, [1.0], 0)], VECTORS)).orderBy("vec_id").collect()] == [(1, 1, 0, 2), (2, 1, 0, 2), (3, 3, 0, 1)]
+    left = embed_dedup.drop_near_duplicates(odd)
+    assert left.columns == odd.columns
+    assert sorted(str(r.vec_id) for r in left.collect()) == sorted(map(str, [1, 4, 5, 6, 7, 8, 9, None, 10, 11]))
 
 
 def test_nearest_of_odd_vectors(spark):
@@ -158,3 +175,97 @@ def test_nearest_of_odd_vectors(spark):
         by.setdefault(r.vec_id, []).append(r.neighbour_id)
     assert by[1] == [2, 12, 3] and by[12] == [1, 2, 3] and set(by) == {1, 2, 3, 10, 11, 12}
     assert by[2] == [1, 12, 3] and ann.nearest_neighbours(spark.createDataFrame([], VECTORS)).collect() == []
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details."""
+AGPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+MIT = """MIT License
+
+Copyright (c) 2020 A Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+STYLES = {
+    "plain": lambda t: t, "hash": lambda t: "#!/bin/sh\n" + "\n".join(f"# {x}".rstrip() for x in t.split("\n")) + "\nx=1\n",
+    "slashes": lambda t: "\n".join(f"// {x}".rstrip() for x in t.split("\n")) + "\nint x;\n", "block": lambda t: "/*\n" + "\n".join(f" * {x}".rstrip() for x in t.split("\n")) + "\n */\nint x;\n",
+    "block without stars": lambda t: f"/* {t} */\nint x;\n", "markup": lambda t: f"<!--\n{t}\n-->\n<a/>\n", "lisp": lambda t: "\n".join(f";; {x}".rstrip() for x in t.split("\n")), "sql": lambda t: "\n".join(f"-- {x}".rstrip() for x in t.split("\n")),
+}
+
+
+def test_licenses_in_comments(spark):
+    """Standard notices as source files have them, wrapped and behind comment marks; the SQL agrees."""
+    import duckdb
+
+    texts = {"Apache-2.0:notice": APACHE, "LGPL-2.1:notice": LGPL, "AGPL-3.0:notice": AGPL, "MIT:text": MIT}
+    rows = [(i, style(text), expected) for i, (expected, text, style) in enumerate((e, t, s) for e, t in texts.items() for s in STYLES.values())]
+    rows += [(1000 + i, f"{p} SPDX-License-Identifier: {n}", f"{n}:tag") for i, (p, n) in enumerate([("//", "Apache-2.0"), ("#", "MIT"), ("/*", "MPL-2.0"), (";", "ISC")])]
+    rows += [(2000, "# SPDX-License-Identifier: GPL-3.0-or-later\n\nimport os", "GPL-3.0:tag"), (2001, "GNU GENERAL PUBLIC LICENSE\n  Version 2, June 1991\n", "GPL-2.0:text"), (2002, "We remember the license debate; nothing here.", "")]
+    rows += [(2003, "\n".join(reversed(APACHE.split("\n\n"))), "Apache-2.0:notice")]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert [(r[0], r[2], got[r[0]].matches, got[r[0]].sequence) for r in rows if r[2] not in got[r[0]].matches.split(",")] == []
+    assert got[2002].matches == "" and all("<13><14>" in got[i].sequence for i in range(len(STYLES)))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in rows])
+    assert {r[0]: r[1:] for r in con.execute(licenses.ORACLE_SQL).fetchall()} == {d: (r.sequence, r.licenses, r.matches) for d, r in got.items()}
+
+
+@pytest.mark.parametrize("targets", [{"a": 3, "b": 1}, {"a": 1.0, None: 1, "c": 0, "zz": 5}])
+def test_mixing_to_target_weights(spark, targets):
+    """Each source's tokens come near its share of the budget, and sources without weight don't come."""
+    docs = messy.docs(spark, [(i, " ".join(["w"] * (1 + i % 7)), "en", "abc"[i % 3] if i % 10 else None, 0) for i in range(600)])
+    got = mixing.mix_sources(docs, messy.labels(spark), targets=targets, percent=50).collect()
+    total = sum(1 + i % 7 for i in range(600)) * 0.5
+    here = {k: v for k, v in targets.items() if v > 0 and k != "zz"}
+    for source, weight in here.items():
+        tokens = sum(r.n_tokens for r in got if r.source == source)
+        assert total * weight / sum(here.values()) - 7 <= tokens <= total * weight / sum(here.values())
+    assert {r.source for r in got} == set(here)
+    table_ = spark.createDataFrame([(k, float(v)) for k, v in targets.items()], "source string, weight double")
+    again = mixing.mix_sources(docs, messy.labels(spark), targets=table_, percent=50).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
+def test_lines_of_a_long_document(spark):
+    """Work is linear where most of very many lines go."""
+    lines = [f"line {i % 50}" for i in range(60_000)]
+    got = line_dedup.dedup_lines(messy.docs(spark, [(1, "\n".join(lines), "en", "a", 0), (2, "\n\nx", "en", "a", 0)]), with_count=True).collect()
+    by = {r.doc_id: r for r in got}
+    assert by[1].n_removed + by[1].text.count("\n") + 1 == 60_000 and by[1].text.startswith("line 0\nline 1\n") and by[2].text == "\n\nx"
+
+
+def test_decoding_of_no_rows(spark):
+    assert bpe.decode_documents(spark.createDataFrame([], "doc_id long, ids array<int>")).collect() == []

@@ -5,7 +5,6 @@ from __future__ import annotations
 import random
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -102,37 +101,87 @@ def test_pairs_of_near_copies(spark, seed):
         assert got == pytest.approx(brute.jaccard_pairs([(r[0], r[1]) for r in rows], threshold, n))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_all_pairs_of_near_copies(spark, seed):
-    """Copies with copies and copies with near copies, against every two documents."""
+def with_copies(seed):
     rows = near_copies(seed)
     rows += [(len(rows) + i, rows[i % 7][1], "en", "a", 0) for i in range(30)] + [(3, "now " + rows[5][1], "en", "a", 0)]
-    sets, true = [(r[0], brute.grams(r[1])) for r in rows], set()
-    for i, (a, s) in enumerate(sets):
-        true |= {(min(a, b), max(a, b)) for b, t in sets[:i] if a != b and s and len(s & t) / len(s | t) >= 0.6 - 1e-12}
-    got = jaccard_join.jaccard_pairs(messy.docs(spark, rows), 0.6, 2, whole=True).collect()
-    assert {(r.doc_a, r.doc_b) for r in got} == true
-    star = jaccard_join.jaccard_pairs(messy.docs(spark, rows), 0.6, 2).count()
-    assert star < len(true)
-
-
-def test_all_embedding_pairs(spark):
-    df, s = unit_table(spark, rows=500)
-    copies = [(500 + i, i % 5) for i in range(40)]
-    df = df.union(df.where("vec_id < 5").crossJoin(spark.range(8).toDF("c")).selectExpr("500 + c * 5 + vec_id", "embedding"))
-    of = np.array(list(range(500)) + [o for _, o in copies])
-    a, b = np.nonzero(np.triu(s[np.ix_(of, of)] >= embed_dedup.THRESHOLD, 1))
-    true = set(zip(a.tolist(), b.tolist()))
-    got = {(r.vec_a, r.vec_b) for r in embed_dedup.embedding_pairs(df, whole=True).collect()}
-    assert got <= true and len(got) >= 0.97 * len(true)
-    assert {(i, j) for i, j in true if of[i] == of[j]} <= got
+    return rows
+
+
+def classes(df):
+    return {tuple(r) for r in df.collect()}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_classes_of_near_copies(spark, seed):
+    """Links of different texts, copies and classes, against every two documents."""
+    rows = with_copies(seed)
+    got = classes(jaccard_join.jaccard_classes(messy.docs(spark, rows)))
+    assert got == brute.jaccard_classes([(r[0], r[1]) for r in rows]) and max(r[2] for r in got) > 3
+
+
+def test_hot_regions_and_blocks(spark, monkeypatch):
+    """Every n-gram hot, regions cut into blocks, sides too large to be broadcast: the same classes."""
+    for name, value in (("HOT", 4), ("BLOCK", 3), ("MAX_BROADCAST_BYTES", -1), ("MAX_BROADCAST_ROWS", -1), ("TASK_ENTRIES", 500)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rows = with_copies(3) * 2
+    rows += [(1000 + i, " ".join(f"q{(j * j) % 31} u{j}" if j != i else "other" for j in range(60)), "en", "a", 0) for i in range(40)]
+    got = classes(jaccard_join.jaccard_classes(messy.docs(spark, rows)))
+    assert got == brute.jaccard_classes([(r[0], r[1]) for r in rows])
+    assert {r[2] for r in got if r[0] >= 1000} == {39}
+
+
+def test_a_large_group_recurses(spark):
+    """A region that pivots split: chains of texts that drift apart, with common prints."""
+    base = [f"w{i}" for i in range(400)]
+    rows = [(k, " ".join(base[k : k + 120]), "en", "a", 0) for k in range(280)]
+    got = classes(jaccard_join.jaccard_classes(messy.docs(spark, rows)))
+    assert got == brute.jaccard_classes([(r[0], r[1]) for r in rows]) and {r[1] for r in got} == {0}
+
+
+def embedding_classes(x, threshold=embed_dedup.THRESHOLD):
+    """Rows of classes of the rows of x, by all cosines."""
+    by = {}
+    for i, v in enumerate(x):
+        by.setdefault(v.tobytes(), set()).add(i)
+    names = list(by)
+    u = np.array([np.frombuffer(n, x.dtype) for n in names], np.float64)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    a, b = np.nonzero(np.triu(u @ u.T >= threshold, 1))
+    return brute.classes(by, [(names[i], names[j]) for i, j in zip(a.tolist(), b.tolist())])
+
+
+def vector_table(spark, x):
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+
+
+@pytest.mark.parametrize("block", [2048, 40])
+def test_embedding_classes(spark, monkeypatch, block):
+    """Groups of near copies from two to 400, exact copies among them, many without partner."""
+    monkeypatch.setattr(embed_dedup, "BLOCK", block)
+    if block == 40:
+        monkeypatch.setattr(embed_dedup, "MAX_BROADCAST_BYTES", -1)
+        monkeypatch.setattr(embed_dedup, "REGION_ROWS", 32)
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(12, 32))
+    sizes = [2, 2, 3, 4, 5, 6, 8, 10, 20, 40, 100, 400]
+    groups = [c + 0.12 * rng.normal(size=(n, 32)) for c, n in zip(centres, sizes)]
+    x = np.concatenate([*groups, rng.normal(size=(700, 32))]).astype(np.float32)
+    x = np.concatenate([x, x[[0, 5, 5, 200, 201, 700]]])[rng.permutation(1306)]
+    got, true = classes(embed_dedup.embedding_classes(vector_table(spark, x))), embedding_classes(x)
+    assert len(got) == len(true) == 1306
+    assert {r[:2] for r in got} == {r[:2] for r in true}
+    assert sum(r[2] for r in got) >= 0.99 * sum(r[2] for r in true) > 1000
+    own = {r[0]: r for r in true}
+    assert all(r[2] <= own[r[0]][2] and r[3] == own[r[0]][3] for r in got)
 
 
 @pytest.mark.parametrize("seed", [4, 5])
 def test_recursion_over_pivots(seed):
     sets = sorted({tuple(sorted({hash(g) % 2**31 for g in brute.grams(r[1])})) for r in near_copies(seed, 40, 12)})
     arrays = [np.array(s, np.uint64) for s in sets]
-    got = {(i, j) for i, j, _ in jaccard_join.metric_join(arrays, 0.6, small=6, pivots=3)}
+    got = [(min(p), max(p)) for i, j, _ in jaccard_join.metric_join(arrays, 0.6, small=6, pivots=3) for p in zip(i.tolist(), j.tolist())]
+    assert len(got) == len(set(got))
+    got = set(got)
     expected = {(i, j) for j in range(len(sets)) for i in range(j) if len(set(sets[i]) & set(sets[j])) >= 0.6 * len(set(sets[i]) | set(sets[j])) - 1e-9}
     assert got == expected
 
@@ -200,19 +249,27 @@ def test_nearest_in_a_group_of_near_copies(spark, monkeypatch, cell):
     assert [r.neighbour_id for r in sorted(got, key=lambda r: r["rank"]) if r.vec_id == 110] == list(range(100, 110))
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.integers(0, 10_000), st.integers(1, 20))
-def test_block_max_search_is_exact(seed, k):
+@settings(max_examples=80, deadline=None)
+@given(st.integers(0, 10_000), st.integers(1, 20), st.booleans())
+def test_block_max_search_is_exact(seed, k, own):
     rng = np.random.default_rng(seed)
-    n, features = int(rng.integers(1, 300)), 30
-    dense = rng.random((n, features)) * (rng.random((n, features)) < 0.15)
+    n, features = int(rng.integers(1, 900)), 30
+    dense = rng.random((n, features)) * (rng.random((n, features)) < rng.choice([0.003, 0.15], features))
+    dense[n // 2 :] = dense[: n - n // 2]
     dense /= np.maximum(np.linalg.norm(dense, axis=1), 1e-9)[:, None]
-    index = toxicity.BlockMaxIndex([(np.flatnonzero(v), v[v > 0]) for v in dense], features)
-    q = rng.random(features) * (rng.random(features) < 0.3)
-    ids, cosine = index.search(np.flatnonzero(q), q[q > 0], k)
-    all_ = dense @ q
-    order = sorted(np.flatnonzero(all_ > 0), key=lambda i: (-round(all_[i], 12), i))[:k]
-    assert ids.tolist() == [int(i) for i in order] and np.allclose(cosine, all_[order])
+    example, feature = np.nonzero(dense)
+    weight = dense[example, feature].astype(np.float32)
+    dense[example, feature] = weight
+    index = toxicity.BlockMaxIndex(n, features, feature, example, weight)
+    texts = [rng.random(features) * (rng.random(features) < 0.3) for _ in range(3)] + [np.zeros(features)]
+    skip = [(int(rng.integers(0, n)),) if own else () for _ in texts]
+    cut = np.concatenate(([0], np.cumsum([np.count_nonzero(q) for q in texts])))
+    got = index.search(cut, np.concatenate([np.flatnonzero(q) for q in texts]), np.concatenate([q[q > 0] for q in texts]), k, skip)
+    for q, own_, (ids, cosine) in zip(texts, skip, got):
+        all_ = dense @ q
+        all_[list(own_)] = 0
+        order = sorted(np.flatnonzero(all_ > 0), key=lambda i: (-round(all_[i], 12), i))[:k]
+        assert ids.tolist() == [int(i) for i in order] and np.allclose(cosine, all_[order])
 
 
 def test_held_out_labels(spark):
@@ -225,19 +282,32 @@ def test_held_out_labels(spark):
     assert all(0 <= r.score <= 1 and (not r.toxic or r.neighbours) and r.doc_id not in [n.doc_id for n in r.neighbours] for r in got)
 
 
-def test_cosines_by_brute_force(spark):
-    docs, labels = table(spark, SF_DIR.replace("0.001", "0.01"), "documents"), table(spark, SF_DIR.replace("0.001", "0.01"), "labels")
-    version, hashes, idf, vectors, ids, toxic, borders, values = toxicity.fit(docs, labels)
-    known = toxicity.FeatureTable(hashes)
-    dense = np.zeros((len(ids), len(hashes)))
-    for i, (f, w) in enumerate(vectors):
-        dense[i, f] = w
+def test_scores_by_brute_force(spark):
+    """Features, frequencies, weights, cosines, votes and calibration, all made anew."""
+    docs, labels = table(spark, SF_DIR, "documents"), table(spark, SF_DIR, "labels")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    expected = brute.toxicity(rows, [(r.doc_id, r.toxic) for r in labels.collect()])
     got = {r.doc_id: r for r in toxicity.score_documents(docs, labels).collect()}
-    for r in docs.collect():
-        q = np.zeros(len(hashes))
-        rows, feature, n = known.counts(pa.array([r.text or ""]))
-        q[feature] = (1 + np.log(n)) * idf[feature]
-        c = dense @ q / max(np.linalg.norm(q), 1e-12)
-        c[ids == r.doc_id] = 0
-        best = np.sort(c[c > 1e-12])[::-1][: toxicity.K]
-        assert np.allclose([x.cosine for x in got[r.doc_id].neighbours], best)
+    for (d, _), (score, near, last) in zip(rows, expected):
+        mine = {x.doc_id: x.cosine for x in got[d].neighbours}
+        assert len(mine) == len(near) and all(abs(near[x] - c) < 1e-6 for x, c in mine.items() if x in near)
+        assert all(abs(c - last) < 1e-6 for x, c in mine.items() if x not in near)
+        assert got[d].score == pytest.approx(score, abs=1e-6)
+    assert sum(len(r.neighbours) > 0 for r in got.values()) > 0.95 * len(rows)
+
+
+def test_neighbours_of_the_stated_queries(spark):
+    """op8's rows: all ids divisible by 100 ask, all vectors are searched."""
+    from chronoloom.llm import queries
+
+    folder = SF_DIR.replace("0.001", "0.1")
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding").orderBy("vec_id").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    asks = np.flatnonzero(ids % 100 == 0)
+    s = x[asks] @ x.T
+    s[np.arange(len(asks)), asks] = -9
+    top = {int(ids[a]): set(ids[t].tolist()) for a, t in zip(asks, np.argsort(-s, axis=1)[:, : ann.K])}
+    got = queries.op8_nearest_neighbours(spark, folder).collect()
+    assert {r.vec_id for r in got} == set(top) and len(got) == ann.K * len(top)
+    assert np.mean([r.neighbour_id in top[r.vec_id] for r in got]) >= 0.95
