@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, table
 
-#: Removed places up to which their table is broadcast; beyond, documents are joined by shuffle.
-MAX_BROADCAST_PLACES = 2_000_000
+#: Bytes up to which the table of removed places is broadcast; beyond, documents are joined by shuffle.
+MAX_BROADCAST_BYTES = 8_000_000
 P = "__line_"
 
 
@@ -48,18 +48,28 @@ def removed_places(docs: DataFrame) -> DataFrame:
     windows = _windows(docs)
     first = windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tie", "a")).alias("first")).where("n > 1").select("h1", "h2", "first")
     again = windows.join(first, ["h1", "h2"]).where(~F.struct("doc", "tie", "a").eqNullSafe(F.col("first")))
-    return again.groupBy("doc", "tie").agg(F.array_distinct(F.flatten(F.collect_set(F.array("a", "b", "c")))).alias("places"))
+    return again.groupBy("doc", "tie").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array("a", "b", "c"))))).alias("places"))
 
 
 def dedup_lines(docs: DataFrame, with_count: bool = False) -> DataFrame:
     """`docs` with the lines of later occurrences removed from `text`; with_count adds n_removed."""
     gone = removed_places(docs).select(F.col("doc").alias(P + "doc"), F.col("tie").alias(P + "tie"), F.col("places").alias(P + "places"))
     gone = checkpointed(gone)
-    total = gone.agg(F.coalesce(F.sum(F.size(P + "places")), F.lit(0))).first()[0]
-    gone = F.broadcast(gone) if total <= MAX_BROADCAST_PLACES else gone
+    size = gone.agg(F.coalesce(F.sum(F.size(P + "places") * 4 + 48), F.lit(0))).first()[0]
+    gone = F.broadcast(gone) if size <= MAX_BROADCAST_BYTES else gone
     joined = docs.join(gone, docs["doc_id"].eqNullSafe(F.col(P + "doc")) & (F.xxhash64(docs["text"]) == F.col(P + "tie")), "left")
-    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col(P + "places"), i))
-    text = F.when(F.col(P + "places").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    places = F.col(P + "places")
+
+    def without(lines):
+        """What lies between removed places, so that the work is linear in lines and places."""
+
+        def run(i):
+            start = F.when(i == 0, 0).otherwise(F.get(places, i - 1) + 1)
+            return F.slice(lines, start + 1, F.coalesce(F.get(places, i), F.size(lines)) - start)
+
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(places)), run)), "\n")
+
+    text = F.when(places.isNull(), F.col("text")).otherwise(F.get(F.transform(F.array(F.split("text", "\n")), without), 0))
     out = [text.alias("text") if c == "text" else docs[c] for c in docs.columns]
     if with_count:
         out.append(F.coalesce(F.size(P + "places"), F.lit(0)).cast("long").alias("n_removed"))
