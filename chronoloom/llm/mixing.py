@@ -6,13 +6,17 @@ without replacement at every length, so the sample of a token budget is a prefix
 budget above the source's tokens first takes the source whole as often as it fits (complete
 epochs), then selects the rest by keys.
 
-Prefix sums don't need a source on one machine: keys are cut into KEY_BANDS bands of about equal
-mass by a function of the key alone, sums of bands are added up, and a window runs in each
-(source, band) only.
+Target weights are given by source (a dict, or a DataFrame of source and weight); without them a
+source's weight is its number of tokens to the power of `temperature`.
+
+Prefix sums don't need a source on one machine: keys are cut into bands of about equal mass by a
+function of the key alone, as many as the rows need, sums of bands are added up, and a window runs
+in each (source, band) only.
 
 Defined results: tokens are runs of characters above U+0020. Rows with null text or no tokens are
-left out. A null source is a source of its own; sources without target take no part. Null doc_ids
-hash as -1. Ties of keys are broken by doc_id, then text; rows equal in both are interchangeable
+left out. A null source is a source of its own; sources without target, or with one that is null or
+not above 0, take no part. A quality label other than 0 and 1 has the weight of none. doc_id may be of
+any type. Null doc_ids hash as -1. Ties of keys are broken by doc_id, then text; rows equal in both are interchangeable
 and each counts. An epoch is numbered from 1; `copy_no` says which pass a row belongs to. A
 document that crosses the end of the budget is left out, so the budget is never exceeded. Other
 columns are kept when asked for with `keep`.
@@ -24,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import checkpointed, table
 
 SEED = 17
-KEY_BANDS = 64
+#: Rows that a band of keys should have at most, and the least number of bands.
+BAND_ROWS, LEAST_BANDS = 100_000, 16
 #: Share of a source in the mixture: its share of tokens to this power, so small ones gain.
 TEMPERATURE = 0.5
 #: Tokens of the mixture as a share of the corpus.
@@ -56,31 +61,54 @@ def quality_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.withColumn(PREFIX + "weight", weight).drop(PREFIX + "label_id", PREFIX + "quality")
 
 
-def source_targets(sizes: DataFrame, temperature: float = TEMPERATURE, percent: int = BUDGET_PERCENT) -> DataFrame:
-    """Token budgets by source from (source, tokens): few rows, one for each source."""
-    share = F.pow(F.col(PREFIX + "tokens").cast("double"), temperature)
-    every = W.partitionBy(F.lit(1))
-    budget = F.floor(F.sum(PREFIX + "tokens").over(every) * percent / 100 * share / F.sum(share).over(every))
-    return sizes.withColumn(PREFIX + "budget", budget.cast("long"))
+def source_key(source):
+    """A null source is one of its own."""
+    return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
 
 
-def mix_sources(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE, percent: int = BUDGET_PERCENT, seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
+def source_targets(sizes: DataFrame, temperature: float = TEMPERATURE, percent: int = BUDGET_PERCENT, targets=None) -> DataFrame:
+    """Token budgets by source from (source, tokens): few rows, one for each source.
+
+    targets: {source: weight}, a DataFrame (source, weight), or None for weights by temperature.
+    """
+    p = PREFIX
+    every = W.partitionBy(F.lit(1))
+    sizes = sizes.withColumn(p + "total", F.sum(p + "tokens").over(every))
+    if targets is None:
+        sizes = sizes.withColumn(p + "share", F.pow(F.col(p + "tokens").cast("double"), temperature))
+    else:
+        if isinstance(targets, dict):
+            targets = sizes.sparkSession.createDataFrame([(k, float(v)) for k, v in targets.items()], "source string, weight double")
+        given = targets.groupBy(source_key(F.col("source")).alias(p + "source")).agg(F.sum(F.col("weight").cast("double")).alias(p + "share"))
+        sizes = sizes.join(given.where(F.col(p + "share") > 0), p + "source")
+    budget = F.floor(F.col(p + "total") * percent / 100 * F.col(p + "share") / F.sum(p + "share").over(every))
+    return sizes.withColumn(p + "budget", budget.cast("long"))
+
+
+def mix_sources(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE, percent: int = BUDGET_PERCENT, seed: int = SEED, keep: list[str] | None = None, targets=None) -> DataFrame:
     """The mixture: (doc_id, source, copy_no, position, n_tokens, tokens_before) and `keep`.
 
     position counts a source's documents in an epoch by key, from 1; tokens_before are the tokens
-    before a row in its source's budget.
+    before a row in its source's budget. Sums are made of a narrow table that is written once; texts
+    are only read again for `keep`.
     """
     keep = keep or []
     p = PREFIX
-    base = docs.select(F.col("doc_id"), F.col("source"), token_count(F.col("text")).alias(p + "n"), F.xxhash64("text").alias(p + "tie"), *[F.col(c).alias(p + "keep_" + c) for c in keep])
-    base = quality_weights(base.where(F.col(p + "n") > 0), labels).withColumn(p + "source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
-    sizes = base.groupBy(p + "source").agg(F.sum(p + "n").alias(p + "tokens"))
-    target = source_targets(sizes, temperature, percent)
+
+    def keyed(columns):
+        base = docs.select(F.col("doc_id"), F.col("source"), token_count(F.col("text")).alias(p + "n"), F.xxhash64("text").alias(p + "tie"), *[F.col(c).alias(p + "keep_" + c) for c in columns])
+        base = quality_weights(base.where(F.col(p + "n") > 0), labels).withColumn(p + "source", source_key(F.col("source")))
+        return base.withColumn(p + "key", -F.log(uniform(F.col("doc_id"), 0, seed)) / F.col(p + "weight"))
+
+    narrow = checkpointed(keyed([]))
+    sizes = checkpointed(narrow.groupBy(p + "source").agg(F.sum(p + "n").alias(p + "tokens"), F.count("*").alias(p + "rows")))
+    most = sizes.agg(F.max(p + "rows")).first()[0] or 0
+    n_bands = max(LEAST_BANDS, -(-most // BAND_ROWS))
+    target = source_targets(sizes.drop(p + "rows"), temperature, percent, targets)
     plan = target.select(F.col(p + "source"), p + "tokens", p + "budget", F.floor(F.col(p + "budget") / F.col(p + "tokens")).cast("long").alias(p + "whole"))
-    key = -F.log(uniform(F.col("doc_id"), 0, seed)) / F.col(p + "weight")
-    band = F.least(F.lit(KEY_BANDS - 1), F.floor(F.lit(KEY_BANDS) * (1 - F.exp(-2 * F.col(p + "key"))))).cast("int")
-    keyed = base.withColumn(p + "key", key).withColumn(p + "band", band)
-    bands = keyed.groupBy(p + "source", p + "band").agg(F.sum(p + "n").alias(p + "sum"), F.count("*").alias(p + "rows"))
+    band = F.least(F.lit(n_bands - 1), F.floor(F.lit(n_bands) * (1 - F.exp(-2 * F.col(p + "key"))))).cast("int")
+    bands = narrow.withColumn(p + "band", band).groupBy(p + "source", p + "band").agg(F.sum(p + "n").alias(p + "sum"), F.count("*").alias(p + "rows"))
+    keyed = (keyed(keep) if keep else narrow).withColumn(p + "band", band)
     before = W.partitionBy(p + "source").orderBy(p + "band").rowsBetween(W.unboundedPreceding, -1)
     bands = bands.select(F.col(p + "source"), F.col(p + "band"), F.coalesce(F.sum(p + "sum").over(before), F.lit(0)).alias(p + "base"), F.coalesce(F.sum(p + "rows").over(before), F.lit(0)).alias(p + "base_rows"))
     offsets = bands.join(plan, p + "source")
