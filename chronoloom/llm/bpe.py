@@ -9,7 +9,8 @@ result is that of applying all merges in order. Decoding joins slices of one byt
 holds all tokens, by a table of offsets.
 
 Defined results: a null text has null ids and 0 tokens, an empty one no ids; each row is encoded
-for itself, repeated rows and null doc_ids included; other columns are not read. Special tokens
+for itself, repeated rows and null doc_ids included (a doc_id that is no whole number becomes null);
+other columns are not read. Special tokens
 are not recognised: their strings are ordinary text.
 """
 
@@ -25,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import process_cache, segments, slices
 
@@ -239,7 +241,7 @@ def encode_documents(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
     `path` and broadcast.
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path))
-    return docs.select("doc_id", "text").mapInArrow(_encode(vocabulary), "doc_id long, n_tokens long, ids array<int>, exact boolean")
+    return docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text").mapInArrow(_encode(vocabulary), "doc_id long, n_tokens long, ids array<int>, exact boolean")
 
 
 def _decode(vocabulary):
@@ -256,4 +258,4 @@ def _decode(vocabulary):
 def decode_documents(encoded: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """(doc_id, text) from (doc_id, ids); null ids, or a null among them, give a null text."""
     vocabulary = encoded.sparkSession.sparkContext.broadcast(load_vocabulary(path))
-    return encoded.select("doc_id", "ids").mapInArrow(_decode(vocabulary), "doc_id long, text string")
+    return encoded.select(F.col("doc_id").try_cast("long").alias("doc_id"), "ids").mapInArrow(_decode(vocabulary), "doc_id long, text string")

@@ -11,7 +11,8 @@ the word, number or signs after it. White space at the end of a prefix is one pi
 it is split, so both cases are counted for each unit.
 
 Defined results: a null text has null changes and 0 tokens, an empty one empty changes; rows are
-counted one by one, repeated rows and null doc_ids included; other columns are not read.
+counted one by one, repeated rows and null doc_ids included (a doc_id that is no whole number becomes
+null); other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from array import array
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .bpe import NOT_PLAIN, REMEMBERED, TOKENIZER, codec_of, load_vocabulary
 from .common import process_cache, slices
@@ -124,7 +126,7 @@ def _count(vocabulary, budgets):
     def run(batches):
         version = vocabulary.value[0]
         codec = codec_of(vocabulary)
-        units = process_cache("token-units", lambda: Units(codec), version)
+        units = process_cache("bpe-units", lambda: Units(codec), version)
         names = ["doc_id", "n_chars", "n_tokens", "width", "changes"] + [f"chars_in_{b}" for b in budgets]
         for batch in batches:
             for part in slices(batch):
@@ -151,4 +153,4 @@ def prefix_token_counts(docs: DataFrame, path: str = TOKENIZER, budgets=BUDGETS)
     """(doc_id, n_chars, n_tokens, width, changes, chars_in_<budget>...) of every row."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path))
     schema = "doc_id long, n_chars long, n_tokens long, width int, changes binary" + "".join(f", chars_in_{b} long" for b in budgets)
-    return docs.select("doc_id", "text").mapInArrow(_count(vocabulary, tuple(budgets)), schema)
+    return docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text").mapInArrow(_count(vocabulary, tuple(budgets)), schema)
