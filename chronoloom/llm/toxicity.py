@@ -1,21 +1,28 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Examples are a bounded sample of the labelled documents. Features are words and beginnings of
-words that are markedly more frequent in toxic examples than in clean ones; their document
-frequencies are counted over the whole corpus. Of every document the K nearest examples are found
-exactly with a block-max inverted index: the postings of each feature lie in blocks of examples
-with the largest weight of each block, blocks are visited in the order of their upper bounds and
-the search ends when no bound exceeds the K-th best cosine. Their labels, weighted by cosine, give
-a vote that an isotonic fit to votes on held-out examples turns into a probability. The neighbours
-are the evidence.
+Examples are a bounded sample of the labelled documents (MAX_EXAMPLES); all of them are indexed, over
+all their features: words and beginnings of words, so that inflected words are known by their
+stems. Document frequencies of the features are counted over the whole corpus. The weight of a
+feature in a text is (1 + ln tf) * idf * s: s, between FLOOR and 1 + FLOOR, rises with the
+significance (chi-square) of the feature's being more frequent in toxic examples than in all, so
+that no feature is without weight, but those that don't tell the classes apart have little. As with
+any TF-IDF that is fitted on examples, features that no example has are passed over.
+
+Of every document the K nearest examples are found exactly with a block-max inverted index: postings
+of a feature lie in blocks of examples with the largest weight of each block. The blocks with the
+largest bounds are scored first, then all those whose bound reaches the K-th best cosine. Their
+labels, weighted by cosine, give a vote that an isotonic fit to votes on the examples, each without
+itself, turns into a probability; examples count as many labelled documents as they stand for. The
+neighbours are the evidence.
 
 Defined results: words are runs of ASCII letters and digits and of characters beyond ASCII, lower-
-cased. A null or empty text, and any text without features, has no neighbours and the score of
-such texts among the examples. Equal cosines are ordered by doc_id. A document is no neighbour of
-its own doc_id. Several labels of a document count as toxic if one is; null labels and labels of
-absent documents are passed over. Without a toxic and a clean example every score is 0. Every row
-gets a row, repeated ones and those with null doc_id too; other columns are not read by
-`score_documents` and are kept by `keep_clean`.
+cased; beginnings are the first 4, 5 and 6 bytes of longer words. A null or empty text, and any
+text without known features, has no neighbours and the score of such texts among the examples. Equal
+cosines are ordered by doc_id. A document is no neighbour of its own doc_id. Several labels of a
+document count as toxic if one is; null labels and labels of absent documents are passed over.
+Without a toxic and a clean example every score is 0. Every row gets a row, repeated ones and those
+with null doc_id too (a doc_id that isn't a whole number counts as null); other columns are not read
+by `score_documents` and are kept by `keep_clean`.
 """
 
 from __future__ import annotations
@@ -28,18 +35,27 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, process_cache, shuffles_freed, slices, table, word_hashes
+from .common import checkpointed, ensure_checkpoint_dir, process_cache, segments, shuffles_freed, slices, table, word_hashes
 
 #: Bounds of the labelled sample, by class (clean, toxic).
-MAX_EXAMPLES = (6000, 3000)
-#: A feature occurs in this share of the toxic examples at least, this many times as often as in clean ones.
-LEAST_SHARE, LEAST_RATIO = 0.01, 20.0
-MAX_FEATURES = 4000
+MAX_EXAMPLES = (2000, 1000)
+#: Least factor of a feature's weight, and the chi-square at which the rest is half.
+FLOOR, HALF = 0.03, 60.0
 PREFIXES = (4, 5, 6)
 K = 15
 BLOCK = 64
+#: Share of the examples from which a feature's weights are stored as a row.
+COMMON = 0.05
+#: Blocks that are scored first.
+FIRST = 4
+#: Above bounds in single precision.
+MARGIN = 1e-5
+#: Bytes of text whose features are counted at a time, and texts that are scored at a time.
+SLICE, BATCH = 1_000_000, 64
 #: Cosine mass added to the clean side of every vote.
 PRIOR = 0.5
+#: Votes are compared to so many digits.
+DIGITS = 5
 THRESHOLD = 0.5
 
 
@@ -51,88 +67,140 @@ def _inside() -> np.ndarray:
     return flags
 
 
-def features_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(feature hashes, row of each): words and beginnings of words of every row."""
+def features_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature hash, count), sorted: words and beginnings of words of every row."""
     words, starts, *prefixes = word_hashes(text, inside=_inside(), prefixes=PREFIXES)
-    rows = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    every = [words, *prefixes]
-    h = np.concatenate(every)
-    r = np.concatenate([rows] * len(every))
-    return h[h > 0], r[h > 0]
+    if not len(words):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    h = np.stack([words, *prefixes], 1)
+    r = np.repeat(np.repeat(np.arange(len(starts) - 1), np.diff(starts)), h.shape[1])
+    h = h.ravel()
+    r, h = r[h > 0], h[h > 0]
+    bits = np.uint64(len(starts).bit_length())
+    by = np.argsort((r.astype(np.uint64) << (np.uint64(64) - bits)) | (h >> bits))
+    r, h = r[by], h[by]
+    edge = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (r[1:] != r[:-1]))))
+    return r[edge], h[edge], np.diff(np.append(edge, len(h)))
 
 
 class FeatureTable:
-    """Look-up of feature hashes by slot; colliding hashes are found by search."""
+    """Look-up of feature hashes by slot; those whose slot is taken are found by search."""
 
-    BITS = 18
+    BITS = 21
 
     def __init__(self, hashes: np.ndarray):
         self.hashes = hashes
-        self.order = np.argsort(hashes)
-        self.sorted = hashes[self.order]
-        self.maybe = np.zeros(1 << self.BITS, bool)
-        self.maybe[hashes >> np.uint64(64 - self.BITS)] = True
+        slot = self._slot(hashes)
+        self.at = np.full(1 << self.BITS, -1, np.int32)
+        self.at[slot[::-1]] = np.arange(len(hashes), dtype=np.int32)[::-1]
+        late = np.flatnonzero(self.at[slot] != np.arange(len(hashes)))
+        self.late = late[np.argsort(hashes[late])]
+        self.crowded = np.zeros(1 << self.BITS, bool)
+        self.crowded[slot[late]] = True
+
+    def _slot(self, h):
+        return (h >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each feature, -1 for unknown ones."""
+        if not len(self.hashes):
+            return np.full(len(h), -1, np.int64)
+        slot = self._slot(h)
+        out = self.at[slot].astype(np.int64)
+        out[self.hashes[np.maximum(out, 0)] != h] = -1
+        again = np.flatnonzero((out < 0) & self.crowded[slot])
+        if len(again):
+            late = self.hashes[self.late]
+            place = np.minimum(np.searchsorted(late, h[again]), len(late) - 1)
+            hit = late[place] == h[again]
+            out[again[hit]] = self.late[place[hit]]
+        return out
 
     def counts(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, feature, count) of the known features of every row, sorted."""
-        h, rows = features_of(text)
-        some = self.maybe[h >> np.uint64(64 - self.BITS)] if len(self.sorted) else np.zeros(len(h), bool)
-        h, rows = h[some], rows[some]
-        if not len(h):
-            return (np.zeros(0, np.int64),) * 3
-        place = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-        ok = self.sorted[place] == h
-        pair, n = np.unique(rows[ok] * len(self.sorted) + self.order[place[ok]], return_counts=True)
-        return pair // len(self.sorted), pair % len(self.sorted), n
+        """(row, feature, count) of the known features of every row, by row."""
+        r, h, n = features_of(text)
+        f = self.find(h)
+        ok = f >= 0
+        return r[ok], f[ok], n[ok]
 
 
 class BlockMaxIndex:
-    """Inverted index over unit vectors with the largest weight of each block of examples."""
-
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], features: int):
-        self.n = len(vectors)
-        self.blocks = max(1, -(-self.n // BLOCK))
-        feature = np.concatenate([v[0] for v in vectors]) if vectors else np.zeros(0, np.int64)
-        weight = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
-        example = np.repeat(np.arange(self.n), [len(v[0]) for v in vectors])
-        by = np.lexsort((example, feature))
-        self.example, self.weight = example[by], weight[by]
-        cell = feature[by] * self.blocks + self.example // BLOCK
-        self.border = np.searchsorted(cell, np.arange(features * self.blocks + 1)).reshape(-1)
-        self.largest = np.zeros((features, self.blocks))
-        np.maximum.at(self.largest, (feature, example // BLOCK), weight)
-
-    def search(self, feature: np.ndarray, weight: np.ndarray, k: int, skip=()) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the largest positive cosine, exactly; ties go to the lower number."""
-        bound = weight @ self.largest[feature]
-        order = np.argsort(-bound, kind="stable")
-        best_i, best_s = np.zeros(0, np.int64), np.zeros(0)
-        for b in order:
-            if bound[b] <= 0 or len(best_s) == k and bound[b] < best_s[-1] - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for f, w in zip(feature, weight):
-                cell = f * self.blocks + b
-                lo, hi = self.border[cell], self.border[cell + 1]
-                if hi > lo:
-                    score[self.example[lo:hi] - b * BLOCK] += w * self.weight[lo:hi]
-            hit = np.flatnonzero(score > 0)
-            ids = hit + b * BLOCK
-            if len(skip):
-                free = ~np.isin(ids, skip)
-                hit, ids = hit[free], ids[free]
-            best_i, best_s = np.concatenate([best_i, ids]), np.concatenate([best_s, score[hit]])
-            top = np.lexsort((best_i, -np.round(best_s, 12)))[:k]
-            best_i, best_s = best_i[top], best_s[top]
-        return best_i, best_s
-
-
-def unit_vectors(rows, features, counts, idf, n) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Unit TF-IDF vectors, sparse, of rows 0 to n - 1."""
-    weight = (1 + np.log(np.maximum(counts, 1))) * idf[features] if len(features) else np.zeros(0)
+    """Inverted index over unit vectors with the largest weight of each block of examples.
+
+    It is given as postings (feature, example, weight). Postings of features that a share COMMON of
+    the examples has are stored as rows, block after block, and a block is scored for all texts of a
+    batch that need it at once; the rest is stored as lists.
+    """
+
+    def __init__(self, n: int, features: int, feature: np.ndarray, example: np.ndarray, weight: np.ndarray):
+        self.n, self.blocks = n, max(1, -(-n // BLOCK))
+        many = np.bincount(feature, minlength=features) if len(feature) else np.zeros(features, np.int64)
+        common = np.flatnonzero(many >= max(4, COMMON * n))
+        self.col = np.full(features, -1, np.int32)
+        self.col[common] = np.arange(len(common))
+        some = self.col[feature] >= 0
+        rows = np.zeros((len(common), self.blocks * BLOCK), np.float32)
+        rows[self.col[feature[some]], example[some]] = weight[some]
+        self.rows = np.ascontiguousarray(rows.reshape(len(common), self.blocks, BLOCK).transpose(1, 0, 2))
+        self.largest = self.rows.max(2).T if len(common) else np.zeros((0, self.blocks), np.float32)
+        f, e, w = feature[~some], example[~some], weight[~some]
+        by = np.lexsort((e, f))
+        self.border, self.example, self.weight = np.searchsorted(f[by], np.arange(features + 1)).astype(np.int32), e[by].astype(np.int32), w[by].astype(np.float32)
+        by = np.lexsort((feature, example))
+        self.cut, self.features, self.weights = np.searchsorted(example[by], np.arange(n + 1)), feature[by].astype(np.int32), weight[by].astype(np.float32)
+        self.wide = np.zeros(features)
+
+    def search(self, cut: np.ndarray, feature: np.ndarray, weight: np.ndarray, k: int, skip: list) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text, feature[cut[i]:cut[i+1]], the k examples of the largest positive cosine, exactly.
+
+        Ties go to the lower number; skip has the examples that are none for a text. Bounds and first
+        scores are in single precision with a margin, the cosines of what they leave in double.
+        """
+        n = len(cut) - 1
+        text = np.repeat(np.arange(n), np.diff(cut))
+        col = self.col[feature]
+        asked = np.zeros((n, len(self.largest)), np.float32)
+        asked[text[col >= 0], col[col >= 0]] = weight[col >= 0]
+        rare = np.flatnonzero(col < 0)
+        lo, many = self.border[feature[rare]].astype(np.int64), np.diff(self.border)[feature[rare]].astype(np.int64)
+        at = segments(lo, many)
+        width = self.blocks * BLOCK
+        score = np.bincount(np.repeat(text[rare] * width, many) + self.example[at], np.repeat(weight[rare], many) * self.weight[at], minlength=n * width).astype(np.float32).reshape(n, self.blocks, BLOCK)
+        bound = asked @ self.largest + score.max(2)
+        bound = np.where(bound > 0, bound + MARGIN, 0)
+        done = np.zeros((n, self.blocks), bool)
+
+        def visit(need):
+            for b in np.flatnonzero(need.any(0)):
+                t = np.flatnonzero(need[:, b])
+                score[t, b] += asked[t] @ self.rows[b]
+            done[need] = True
+            seen = np.where(done[:, :, None], score, -1).reshape(n, width)
+            for i, own in enumerate(skip):
+                seen[i, list(own)] = -1
+            return seen, np.partition(seen, width - k, axis=1)[:, width - k] if width >= k else np.full(n, -1)
+
+        first = np.zeros_like(done)
+        np.put_along_axis(first, np.argsort(-bound, axis=1)[:, :FIRST], True, 1)
+        seen, least = visit(first & (bound > 0))
+        seen, least = visit(~done & (bound > 0) & (bound >= least[:, None]))
+        out = []
+        for i in range(n):
+            ids = np.flatnonzero((seen[i] > 0) & (seen[i] >= least[i] - 2 * MARGIN))
+            own = slice(cut[i], cut[i + 1])
+            self.wide[feature[own]] = weight[own]
+            cosine = np.array([self.wide[self.features[self.cut[e] : self.cut[e + 1]]] @ self.weights[self.cut[e] : self.cut[e + 1]] for e in ids])
+            self.wide[feature[own]] = 0
+            top = np.lexsort((ids, -np.round(cosine, 12)))[:k] if len(ids) else np.zeros(0, np.int64)
+            out.append((ids[top], cosine[top] if len(ids) else np.zeros(0)))
+        return out
+
+
+def unit_weights(rows, features, counts, factor, n) -> np.ndarray:
+    """Weights of unit vectors of rows 0 to n - 1."""
+    weight = (1 + np.log(np.maximum(counts, 1))) * factor[features] if len(features) else np.zeros(0)
     norm = np.sqrt(np.bincount(rows, weight**2, minlength=n)) if len(rows) else np.ones(n)
-    cut = np.searchsorted(rows, np.arange(n + 1))
-    return [(features[a:b], weight[a:b] / norm[i]) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:]))]
+    return weight / norm[rows] if len(rows) else weight
 
 
 def vote(labels: np.ndarray, cosines: np.ndarray) -> float:
@@ -140,15 +208,12 @@ def vote(labels: np.ndarray, cosines: np.ndarray) -> float:
     return float((labels * cosines).sum() / (cosines.sum() + PRIOR)) if len(cosines) else 0.0
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rising step function nearest to y over x: borders and values."""
-    order = np.argsort(x, kind="stable")
-    x, y = x[order], y[order].astype(float)
-    ux, at = np.unique(x, return_inverse=True)
-    groups = [[a, b, c] for a, b, c in zip(ux, np.bincount(at, y), np.bincount(at))]
+def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rising step function nearest to y over x with weights w: borders and values."""
+    ux, at = np.unique(np.round(x, DIGITS), return_inverse=True)
     out: list[list[float]] = []
-    for g in groups:
-        out.append(g)
+    for g in zip(ux, np.bincount(at, y * w), np.bincount(at, w)):
+        out.append(list(g))
         while len(out) > 1 and out[-2][1] / out[-2][2] >= out[-1][1] / out[-1][2]:
             b = out.pop()
             out[-1][1] += b[1]
@@ -156,32 +221,15 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([g[0] for g in out]), np.array([g[1] / g[2] for g in out])
 
 
-def _marks(batches):
-    """(feature, toxic, clean): in how many examples of each class a feature occurs."""
-    for batch in batches:
-        for part in slices(batch):
-            toxic = np.asarray(part.column("toxic")) == 1
-            h, rows = features_of(part.column("text"))
-            pair = np.unique(np.stack([h, rows.astype(np.uint64)], 1), axis=0)
-            marks = toxic[pair[:, 1].astype(np.int64)]
-            u, at = np.unique(pair[:, 0], return_inverse=True)
-            bad, good = np.bincount(at, marks, len(u)).astype(np.int64), np.bincount(at, ~marks, len(u)).astype(np.int64)
-            yield pa.RecordBatch.from_pydict({"feature": u.view(np.int64), "toxic": bad, "clean": good})
-
-
-def pick_features(examples: DataFrame, n_clean: int, n_toxic: int) -> np.ndarray:
-    """Hashes of the features that mark toxic examples."""
-    each = examples.mapInArrow(_marks, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("bad"), F.sum("clean").alias("good"))
-    ratio = (F.col("bad") / n_toxic) / ((F.col("good") + 0.5) / n_clean)
-    ok = each.where((F.col("bad") >= max(3, LEAST_SHARE * n_toxic)) & (ratio >= LEAST_RATIO))
-    got = ok.orderBy(F.desc("bad"), "feature").limit(MAX_FEATURES).select("feature").toArrow()
-    return np.asarray(got.column("feature")).astype(np.int64).view(np.uint64)
+def known_labels(labels: DataFrame) -> DataFrame:
+    whole = labels.select(F.col("doc_id").try_cast("long").alias("doc_id"), "toxic")
+    return whole.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
 
 def sample_examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, text, toxic) of at most MAX_EXAMPLES labelled documents of each class, checkpointed."""
     ensure_checkpoint_dir(docs.sparkSession)
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known_labels(labels)
     dice = F.xxhash64("doc_id", F.lit("examples"))
 
     def first(df, most):
@@ -190,37 +238,33 @@ def sample_examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     # twice as many labels as examples: labels of absent documents leave enough
     likely = first(known, [2 * m for m in MAX_EXAMPLES]).withColumnRenamed("doc_id", "__example")
-    own = docs.select("doc_id", "text").where("text is not null")
+    own = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text").where("text is not null")
     here = own.select("doc_id").join(F.broadcast(likely), F.col("doc_id") == F.col("__example")).select("doc_id", "toxic").distinct()
     # only numbers go through the limits, which have one task
     chosen = first(here, MAX_EXAMPLES).withColumnRenamed("doc_id", "__example")
     texts = own.join(F.broadcast(chosen), F.col("doc_id") == F.col("__example")).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     with shuffles_freed(docs.sparkSession):
-        return texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("toxic").cast("int").alias("toxic")).checkpoint()
+        return texts.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).checkpoint()
 
 
-def _example_counts(hashes):
-    def run(batches):
-        known = FeatureTable(hashes)
-        for batch in batches:
-            for part in slices(batch):
-                rows, feature, n = known.counts(part.column("text"))
-                cut = np.searchsorted(rows, np.arange(part.num_rows + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(v.astype(np.int64))) for v in (feature, n)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), *lists], ["doc_id", "toxic", "feature", "n"])
-
-    return run
+def _example_features(batches):
+    for batch in batches:
+        for part in slices(batch, limit=SLICE):
+            rows, h, n = features_of(part.column("text"))
+            cut = np.searchsorted(rows, np.arange(part.num_rows + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(v)) for v in (h.view(np.int64), n.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), *lists], ["doc_id", "toxic", "feature", "n"])
 
 
 def _frequencies(hashes):
     def run(batches):
-        known = FeatureTable(hashes)
-        df, n = np.zeros(len(hashes), np.int64), 0
+        known = process_cache("toxicity-features", lambda: FeatureTable(hashes.value[1]), hashes.value[0])
+        df, n = np.zeros(len(known.hashes), np.int64), 0
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 text = part.column("text").drop_null()
                 n += len(text)
-                df += np.bincount(known.counts(text)[1], minlength=len(hashes)).astype(np.int64)
+                df += np.bincount(known.counts(text)[1], minlength=len(df))
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"feature": np.concatenate(([-1], some)).astype(np.int64), "n": np.concatenate(([n], df[some])).astype(np.int64)})
 
@@ -230,92 +274,134 @@ def _frequencies(hashes):
 class Model:
     """What scoring needs: features, their weights, indexed examples and the calibration."""
 
-    def __init__(self, hashes, idf, vectors, ids, toxic, borders, values):
+    def __init__(self, hashes, factor, feature, example, weight, ids, toxic):
         self.table = FeatureTable(hashes)
-        self.idf, self.ids, self.toxic = idf, ids, toxic
-        self.index = BlockMaxIndex(vectors, len(hashes))
-        self.borders, self.values = borders, values
+        self.factor, self.ids, self.toxic = factor, ids, toxic
+        self.index = BlockMaxIndex(len(ids), len(hashes), feature, example, weight)
+        self.borders = self.values = np.zeros(0)
         self.place = {}
         for i, d in enumerate(ids.tolist()):
             self.place.setdefault(d, []).append(i)
 
     def probability(self, v: float) -> float:
-        return float(self.values[max(0, np.searchsorted(self.borders, v + 1e-12) - 1)]) if len(self.values) else 0.0
+        return float(self.values[max(0, np.searchsorted(self.borders, round(v, DIGITS) + 1e-9) - 1)]) if len(self.values) else 0.0
+
+    def nearest(self, ids: list, text: pa.Array):
+        """(examples, cosines) of each row."""
+        rows, feature, n = self.table.counts(text)
+        weight = unit_weights(rows, feature, n, self.factor, len(text))
+        cut = np.searchsorted(rows, np.arange(len(text) + 1))
+        for a in range(0, len(ids), BATCH):
+            part = cut[a : min(a + BATCH, len(ids)) + 1]
+            f = slice(part[0], part[-1])
+            yield from self.index.search(part - part[0], feature[f], weight[f], K, [self.place.get(d, ()) for d in ids[a : a + BATCH]])
 
     def score(self, ids: list, text: pa.Array) -> list[tuple[float, list]]:
         """(score, neighbours) of each row."""
-        rows, feature, n = self.table.counts(text)
         out = []
-        for d, (f, w) in zip(ids, unit_vectors(rows, feature, n, self.idf, len(text))):
-            near, cosine = self.index.search(f, w, K, self.place.get(d, ())) if len(f) else ((), np.zeros(0))
-            labels = self.toxic[near] if len(near) else np.zeros(0)
-            p = self.probability(vote(labels, cosine))
+        for near, cosine in self.nearest(ids, text):
+            p = self.probability(vote(self.toxic[near], cosine))
             out.append((p, [{"doc_id": int(self.ids[i]), "cosine": float(c), "toxic": int(self.toxic[i])} for i, c in zip(near, cosine)]))
         return out
 
 
+def significance(with_feature, toxic_with, n, n_toxic) -> np.ndarray:
+    """Factor of each feature, of how many examples have it and how many toxic ones do."""
+    p = n_toxic / n
+    expected = with_feature * p
+    chi = (toxic_with - expected) ** 2 / np.maximum(with_feature * p * (1 - p), 1e-9)
+    return FLOOR + np.where(toxic_with > expected, chi / (chi + HALF), 0.0)
+
+
+def _model(parts, calibration=None) -> Model:
+    """The model of a Python worker; the same one votes on examples and scores."""
+    version, *arrays = parts.value
+    m = process_cache("toxicity-model", lambda: Model(*arrays), version)
+    if calibration is not None:
+        m.borders, m.values = calibration
+    return m
+
+
+def _votes(parts):
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, limit=SLICE):
+                m = _model(parts)
+                out = [vote(m.toxic[near], cosine) for near, cosine in m.nearest(part.column("doc_id").to_pylist(), part.column("text"))]
+                yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(out, pa.float64())], ["toxic", "vote"])
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> tuple:
-    """The parts of a Model: examples are bounded, corpus frequencies cover every document."""
+    """(broadcast parts of a Model, calibration): examples are bounded, corpus frequencies cover every document.
+
+    The driver only numbers the features of the examples; their votes are found by executors.
+    """
+    spark = docs.sparkSession
     examples = sample_examples(docs, labels)
-    size = {r["toxic"]: r["count"] for r in examples.groupBy("toxic").count().collect()}
-    none = (np.zeros(0, np.uint64), np.zeros(0), [], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
-    if not size.get(0) or not size.get(1):
-        return str(uuid.uuid4()), *none
-    hashes = pick_features(examples, size[0], size[1])
-    found = docs.select("text").mapInArrow(_frequencies(hashes), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
-    df, total = np.zeros(len(hashes)), 0
-    for f, n in zip(*(c.to_pylist() for c in found.columns)):
-        if f < 0:
-            total = n
-        else:
-            df[f] = n
-    idf = np.log((1 + total) / (1 + df)) + 1
-    got = examples.mapInArrow(_example_counts(hashes), "doc_id long, toxic int, feature array<long>, n array<long>").toArrow().sort_by("doc_id").combine_chunks()
+    with shuffles_freed(spark):
+        got = examples.mapInArrow(_example_features, "doc_id long, toxic int, feature array<long>, n array<int>").toArrow().sort_by("doc_id").combine_chunks()
+        labelled = {r["toxic"]: r["count"] for r in known_labels(labels).groupBy("toxic").count().collect()}
     ids, toxic = (np.asarray(got.column(c)).astype(np.int64) for c in ("doc_id", "toxic"))
+    version = str(uuid.uuid4())
+    if not (toxic == 0).any() or not (toxic == 1).any():
+        return spark.sparkContext.broadcast((version, *(np.zeros(0, kind) for kind in (np.uint64, float, int, int, float, int, int)))), (np.zeros(0), np.zeros(0))
     lists = [got.column(c).combine_chunks() for c in ("feature", "n")]
-    rows = np.repeat(np.arange(len(ids)), np.asarray(pc.list_value_length(lists[0])))
-    vectors = unit_vectors(rows, *(np.asarray(x.flatten()).astype(np.int64) for x in lists), idf, len(ids))
-    some = [i for i, v in enumerate(vectors) if len(v[0])]
-    vectors = [vectors[i] for i in some]
-    index = BlockMaxIndex(vectors, len(hashes))
-    kept = toxic[some]
-    votes = np.zeros(len(ids))
-    for j, i in enumerate(some):
-        near, cosine = index.search(*vectors[j], K, (j,))
-        votes[i] = vote(kept[near], cosine)
-    borders, values = isotonic(votes, toxic)
-    return str(uuid.uuid4()), hashes, idf, vectors, ids[some], kept, borders, values
-
-
-def _scored(model, threshold, keep):
+    example = np.repeat(np.arange(len(ids), dtype=np.int32), np.asarray(pc.list_value_length(lists[0])))
+    n = np.asarray(lists[1].flatten()).astype(np.int32)
+    h = np.asarray(lists[0].flatten()).view(np.uint64)
+    hashes = np.unique(h)
+    feature = np.searchsorted(hashes, h).astype(np.int32)
+    del got, lists, h
+    known = spark.sparkContext.broadcast((version, hashes))
+    with shuffles_freed(spark):
+        found = docs.select("text").mapInArrow(_frequencies(known), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    f, c = (np.asarray(found.column(k)).astype(np.int64) for k in ("feature", "n"))
+    df, total = np.zeros(len(hashes)), int(c[f < 0].sum())
+    df[f[f >= 0]] = c[f >= 0]
+    del found, f, c
+    known.destroy()
+    idf = np.log((1 + total) / (1 + df)) + 1
+    with_feature = np.bincount(feature, minlength=len(hashes))
+    factor = idf * significance(with_feature, np.bincount(feature, toxic[example], minlength=len(hashes)), len(ids), int(toxic.sum()))
+    weight = unit_weights(example, feature, n, factor, len(ids)).astype(np.float32)
+    parts = spark.sparkContext.broadcast((version, hashes, factor, feature, example, weight, ids, toxic))
+    with shuffles_freed(spark):
+        votes = examples.mapInArrow(_votes(parts), "toxic int, vote double").toPandas()
+    y = votes["toxic"].to_numpy().astype(np.int64)
+    stands = np.array([labelled.get(k, 0) / max(1, int((y == k).sum())) for k in (0, 1)])
+    return parts, isotonic(votes["vote"].to_numpy(), y.astype(float), stands[y])
+
+
+def _scored(parts, calibration, threshold, keep):
     def run(batches):
-        version, *parts = model.value
-        m = process_cache("toxicity-model", lambda: Model(*parts), version)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
+                m = _model(parts, calibration)
                 text = part.column("text").fill_null("")
-                got = m.score(part.column("doc_id").to_pylist(), text)
+                got = m.score(part.column("__id" if keep else "doc_id").to_pylist(), text)
                 if keep:
-                    yield part.filter(pa.array([p < threshold for p, _ in got], pa.bool_()))
+                    yield part.filter(pa.array([p < threshold for p, _ in got], pa.bool_())).select([i for i, c in enumerate(part.schema.names) if c != "__id"])
                     continue
                 near = pa.array([n for _, n in got], pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())])))
                 score = [p for p, _ in got]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(score, pa.float64()), pa.array([p >= threshold for p in score], pa.bool_()), near], ["doc_id", "score", "toxic", "neighbours"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score, pa.float64()), pa.array([p >= threshold for p in score], pa.bool_()), near], ["doc_id", "score", "toxic", "neighbours"])
 
     return run
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, score, toxic, neighbours) of every row."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    model = fit(docs, labels)
     schema = "doc_id long, score double, toxic boolean, neighbours array<struct<doc_id: long, cosine: double, toxic: int>>"
-    return docs.select("doc_id", "text").mapInArrow(_scored(model, threshold, False), schema)
+    return docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text").mapInArrow(_scored(*model, threshold, False), schema)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs` whose score is below the threshold, with all their columns."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    return docs.mapInArrow(_scored(model, threshold, True), docs.schema)
+    model = fit(docs, labels)
+    return docs.withColumn("__id", F.col("doc_id").try_cast("long")).mapInArrow(_scored(*model, threshold, True), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
