@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,11 +26,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; one is made only where none is set (tests)."""
+    """The shared folder of spark.checkpoint.dir; one is made only where none is set in local mode (tests)."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         if configured is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             import tempfile
 
             configured = tempfile.mkdtemp(prefix="chronoloom-checkpoint-")
@@ -38,15 +40,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Values kept between the tasks of a Python worker process.
+_STORE: dict = {}
+
+
 def process_cache(name: str, build, version=None):
-    """One value for each name in a Python worker process, kept between tasks until its version changes."""
-    import builtins
-
-    store = builtins.__dict__.setdefault("_chronoloom_store", {})
-    if store.get(name) is None or store[name][0] != version:
-        store[name] = None
-        store[name] = (version, build())
-    return store[name][1]
+    """One value for each name in a Python worker process, kept between tasks until its version changes.
+
+    Workers live on from one operator to the next: what another operator kept (names begin with the
+    operator) goes when a new value is made, so that a pipeline needs no more memory than its stages.
+    """
+    if _STORE.get(name) is None or _STORE[name][0] != version:
+        own = name.split("-")[0]
+        for other in [k for k in _STORE if k == name or k.split("-")[0] not in (own, "word") and own != "word"]:
+            del _STORE[other]
+        _give_back()
+        _STORE[name] = (version, build())
+    return _STORE[name][1]
+
+
+def _give_back() -> None:
+    """Freed memory to the system, where the C library can do that."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES):
