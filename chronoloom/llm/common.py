@@ -51,19 +51,20 @@ def process_cache(name: str, build, version=None):
     operator) goes when a new value is made, so that a pipeline needs no more memory than its stages.
     """
     if _STORE.get(name) is None or _STORE[name][0] != version:
-        own = name.split("-")[0]
-        for other in [k for k in _STORE if k == name or k.split("-")[0] not in (own, "word") and own != "word"]:
-            del _STORE[other]
-        _give_back()
+        _STORE.pop(name, None)
+        if not name.startswith("word-"):
+            forget_others(name.split("-")[0])
         _STORE[name] = (version, build())
     return _STORE[name][1]
 
 
-def _give_back() -> None:
-    """Freed memory to the system, where the C library can do that."""
+def forget_others(operator: str) -> None:
+    """Drops what other operators kept in this worker; freed memory goes to the system, where the C library can do that."""
     import ctypes
     import gc
 
+    for name in [k for k in _STORE if k.split("-")[0] not in (operator, "word")]:
+        del _STORE[name]
     gc.collect()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, ensure_checkpoint_dir, process_cache, segments, shuffles_freed, slices, table, word_hashes
+from .common import ensure_checkpoint_dir, forget_others, process_cache, segments, shuffles_freed, slices, table, word_hashes
 
 #: Bounds of the labelled sample, by class (clean, toxic).
 MAX_EXAMPLES = (2000, 1000)
@@ -51,7 +51,7 @@ FIRST = 4
 #: Above bounds in single precision.
 MARGIN = 1e-5
 #: Bytes of text whose features are counted at a time, and texts that are scored at a time.
-SLICE, BATCH = 1_000_000, 64
+SLICE, BATCH = 500_000, 32
 #: Cosine mass added to the clean side of every vote.
 PRIOR = 0.5
 #: Votes are compared to so many digits.
@@ -139,9 +139,8 @@ class BlockMaxIndex:
         self.col = np.full(features, -1, np.int32)
         self.col[common] = np.arange(len(common))
         some = self.col[feature] >= 0
-        rows = np.zeros((len(common), self.blocks * BLOCK), np.float32)
-        rows[self.col[feature[some]], example[some]] = weight[some]
-        self.rows = np.ascontiguousarray(rows.reshape(len(common), self.blocks, BLOCK).transpose(1, 0, 2))
+        self.rows = np.zeros((self.blocks, len(common), BLOCK), np.float32)
+        self.rows[example[some] // BLOCK, self.col[feature[some]], example[some] % BLOCK] = weight[some]
         self.largest = self.rows.max(2).T if len(common) else np.zeros((0, self.blocks), np.float32)
         f, e, w = feature[~some], example[~some], weight[~some]
         by = np.lexsort((e, f))
@@ -248,6 +247,7 @@ def sample_examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _example_features(batches):
+    forget_others("toxicity")
     for batch in batches:
         for part in slices(batch, limit=SLICE):
             rows, h, n = features_of(part.column("text"))
@@ -258,7 +258,7 @@ def _example_features(batches):
 
 def _frequencies(hashes):
     def run(batches):
-        known = process_cache("toxicity-features", lambda: FeatureTable(hashes.value[1]), hashes.value[0])
+        known = process_cache("toxicity-model", lambda: FeatureTable(hashes.value[1]), hashes.value[0] + " features")
         df, n = np.zeros(len(known.hashes), np.int64), 0
         for batch in batches:
             for part in slices(batch, limit=SLICE):
