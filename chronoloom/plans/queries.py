@@ -439,13 +439,13 @@ def lexical_pages(r, spark, d):
 
 
 _EDGES = """SELECT concat('n', CAST(c_custkey AS STRING)) AS src, concat('n', CAST(CASE WHEN c_custkey % 12 = 0 THEN c_custkey - 11 ELSE c_custkey + 1 END AS STRING)) AS dst FROM {t} WHERE c_custkey % 5 <> 3
-UNION ALL SELECT concat('n', CAST(c_custkey AS STRING)), concat('n', CAST(c_custkey - c_nationkey AS STRING)) FROM {t} WHERE c_custkey % 4 = 0"""
+UNION ALL SELECT concat('n', CAST(c_custkey AS STRING)), concat('n', CAST(c_custkey - c_nationkey % (1 + (c_custkey + 11) % 12) AS STRING)) FROM {t} WHERE c_custkey % 4 = 0"""
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM ({_EDGES.format(t='customer')}) WHERE src <> dst), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src)
 SELECT a.src AS node, least(a.src, min(a.dst)) AS cycle FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY a.src""")
 def import_cycles(r, spark, d):
-    """Over a graph of all customers."""
+    """Over a graph of all customers, whose groups are small."""
     return text.import_cycles(spark.sql(_EDGES.format(t=f"parquet.`{d}/customer.parquet`")))
 
 
