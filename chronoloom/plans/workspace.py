@@ -10,11 +10,11 @@ from ..operators import coupling, findings, history, security, szz, text, veloci
 from .queries import _FIX, _NOTFIX, _OWN, _OWNERSHIP, _PAIRS, _W, CF, _m, query
 
 
-@query("""WITH p AS (SELECT rev, parent FROM parents), ra AS (WITH RECURSIVE r(rev) AS (SELECT '999' UNION SELECT parent FROM p JOIN r USING (rev)) SELECT rev FROM r),
-rb AS (WITH RECURSIVE r(rev) AS (SELECT '700' UNION SELECT parent FROM p JOIN r USING (rev)) SELECT rev FROM r)
+@query("""WITH p AS (SELECT rev, parent FROM parents), ra AS (WITH RECURSIVE r(rev) AS (SELECT '1008' UNION SELECT parent FROM p JOIN r USING (rev)) SELECT rev FROM r),
+rb AS (WITH RECURSIVE r(rev) AS (SELECT '704' UNION SELECT parent FROM p JOIN r USING (rev)) SELECT rev FROM r)
 SELECT rev, author, subject FROM commits WHERE (rev IN (SELECT rev FROM ra)) <> (rev IN (SELECT rev FROM rb))""", "commits", "parents")
 def commits_between_refs(r, spark, d):
-    return history.between_refs(r("commits"), r("parents"), "999", "700").select("rev", "author", "subject")
+    return history.between_refs(r("commits"), r("parents"), "1008", "704").select("rev", "author", "subject")
 
 
 @query("WITH n AS (WITH RECURSIVE n(file) AS (SELECT 'n190' UNION SELECT old_file FROM renamed JOIN n USING (file) WHERE old_file IS NOT NULL) SELECT file FROM n) SELECT rev, file, old_file FROM renamed WHERE file IN (SELECT file FROM n)", "renamed")

@@ -79,7 +79,7 @@ _FILE = "concat(p_brand, '/', p_type, '/f', CAST(l_partkey AS STRING), CASE WHEN
 ADAPTERS |= {
     "parents": """
 SELECT CAST(o_orderkey AS STRING) AS rev, CAST(o_orderkey - 1 AS STRING) AS parent FROM orders WHERE o_orderkey % 8 <> 1 AND o_orderkey > 1
-UNION ALL SELECT CAST(o_orderkey AS STRING), CAST(CAST(floor(o_orderkey / 2) AS BIGINT) AS STRING) FROM orders WHERE o_orderkey > 3""",
+UNION ALL SELECT CAST(o_orderkey AS STRING), CAST(CAST(floor(o_orderkey / 2) AS BIGINT) AS STRING) FROM orders WHERE o_orderkey % 16 = 0""",
     "renamed": """
 SELECT CAST(p_partkey AS STRING) AS rev, concat('n', CAST(p_partkey AS STRING)) AS file,
   CASE WHEN p_partkey > 2 THEN concat('n', CAST(CAST(floor(p_partkey / 3) AS BIGINT) AS STRING)) END AS old_file FROM part""",
