@@ -260,6 +260,30 @@ def test_mixing_to_target_weights(spark, targets):
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
+@pytest.mark.parametrize("percent", [3, 40, 100, 250])
+def test_mixed_documents_are_the_mixture(spark, percent):
+    """Also where the end of a budget lies among repeated rows, of which as many are taken as fit."""
+    rows = [(i % 90, " ".join(["w"] * (1 + i % 90 % 7)), "en", "abc"[i % 3] if i % 10 else None, i % 90) for i in range(600)] + [(None, "a b c", "en", "d", 0)] * 40 + [(None, None, "en", "d", 0), (7, " ", "en", "e", 0)]
+    docs, labels = messy.docs(spark, rows), messy.labels(spark, [(i, i % 2, 0) for i in range(0, 90, 4)])
+    got = mixing.mixed_documents(docs, labels, percent=percent).select("doc_id", "source", "text", "n_chars")
+    expected = mixing.mix_sources(docs, labels, percent=percent, keep=["text", "n_chars"]).select("doc_id", "source", "text", "n_chars")
+    assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect())) and (expected.count() > 0)
+
+
+def test_mixed_documents_stay_where_they_lie(spark, monkeypatch):
+    """Whole documents are neither sorted nor shuffled for the mixture, and once where labels are many."""
+    docs, labels = messy.docs(spark), messy.labels(spark)
+    few = mixing.mixed_documents(docs, labels)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Window" not in plan
+    monkeypatch.setattr(mixing, "MAX_BROADCAST_ROWS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(str, mixing.mixed_documents(docs, labels).collect())) == sorted(map(str, few.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_lines_of_a_long_document(spark):
     """Work is linear where most of very many lines go."""
     lines = [f"line {i % 50}" for i in range(60_000)]
