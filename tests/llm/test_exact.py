@@ -119,6 +119,18 @@ def test_classes_of_near_copies(spark, seed):
     assert got == brute.jaccard_classes([(r[0], r[1]) for r in rows]) and max(r[2] for r in got) > 3
 
 
+def test_classes_without_counts(spark, monkeypatch):
+    """The classes of counted links, for regions cut into blocks too."""
+    docs = messy.docs(spark, with_copies(4))
+    expected = {(r[0], r[1], min(r[2], 1), r[3]) for r in classes(jaccard_join.jaccard_classes(docs))}
+    for most in (None, 3):
+        if most:
+            for name in ("BLOCK",):
+                monkeypatch.setattr(jaccard_join, name, most)
+        got = classes(jaccard_join.jaccard_classes(docs, counted=False))
+        assert {(r[0], r[1], min(r[2], 1), r[3]) for r in got} == expected
+
+
 def test_hot_regions_and_blocks(spark, monkeypatch):
     """Every n-gram hot, regions cut into blocks, sides too large to be broadcast: the same classes."""
     for name, value in (("HOT", 4), ("BLOCK", 3), ("MAX_BROADCAST_BYTES", -1), ("MAX_BROADCAST_ROWS", -1), ("TASK_ENTRIES", 500)):
@@ -186,6 +198,40 @@ def test_recursion_over_pivots(seed):
     assert got == expected
 
 
+def near_sets(groups, seed=3):
+    """Sorted arrays: groups of (size, n-grams changed), and some that hold n-grams of two groups."""
+    rng = np.random.default_rng(seed)
+    out, bases = [], []
+    for size, changed in groups:
+        bases.append(rng.choice(1 << 40, 60, replace=False).astype(np.uint64))
+        for _ in range(size):
+            x = bases[-1].copy()
+            x[rng.choice(60, changed, replace=False)] = rng.choice(1 << 40, changed).astype(np.uint64)
+            out.append(np.unique(x))
+    out += [np.unique(np.concatenate((a[:k], b[: 60 - k]))) for a, b in zip(bases, bases[1:]) for k in (15, 25, 35, 45)]
+    return [out[i] for i in rng.permutation(len(out))]
+
+
+@pytest.mark.parametrize("groups", [[(400, 5)], [(300, 16), (100, 25), (60, 2)], [(1, 0)] * 150, [(30, 20)] * 12])
+def test_what_is_connected(groups, monkeypatch):
+    """The same classes as all pairs make, in tiles too; near copies aren't compared in full."""
+    sets = near_sets(groups)
+    label = np.arange(len(sets))
+    for i, a in enumerate(sets):
+        j = np.array([k for k in range(i) if (c := len(np.intersect1d(a, sets[k]))) >= 0.6 * (len(a) + len(sets[k]) - c) - 1e-9], np.int64)
+        label = jaccard_join.merge(label, np.full(len(j), i), j)
+    done, compared = [], jaccard_join._compared
+    monkeypatch.setattr(jaccard_join, "_compared", lambda s, a, b, t: done.append(len(a) * len(b)) or compared(s, a, b, t))
+    assert (jaccard_join.connected(sets, 0.6) == label).all()
+    if groups == [(400, 5)]:
+        assert sum(done) < 400 * 400 / 8
+    m = np.arange(len(sets))
+    pairs = sorted((min(p), max(p)) for i, j, _ in compared(sets, m, m, 0.6) for p in zip(i.tolist(), j.tolist()))
+    monkeypatch.setattr(jaccard_join, "TILE", 7)
+    assert (jaccard_join.connected(sets, 0.6) == label).all()
+    assert sorted((min(p), max(p)) for i, j, _ in jaccard_join._compared_tiles(sets, m, m, 0.6) for p in zip(i.tolist(), j.tolist())) == pairs
+
+
 def test_chains_are_one_group(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "doc_a long, doc_b long")
     assert {(r.doc_id, r.group_id) for r in jaccard_join.components(pairs).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
