@@ -120,12 +120,12 @@ def test_classes_of_near_copies(spark, seed):
 
 
 def test_classes_without_counts(spark, monkeypatch):
-    """The classes of counted links, for regions cut into blocks too."""
+    """The classes of counted links, for bitmaps and sets cut into blocks too."""
     docs = messy.docs(spark, with_copies(4))
     expected = {(r[0], r[1], min(r[2], 1), r[3]) for r in classes(jaccard_join.jaccard_classes(docs))}
     for most in (None, 3):
         if most:
-            for name in ("BLOCK",):
+            for name in ("BLOCK", "MAP_BLOCK"):
                 monkeypatch.setattr(jaccard_join, name, most)
         got = classes(jaccard_join.jaccard_classes(docs, counted=False))
         assert {(r[0], r[1], min(r[2], 1), r[3]) for r in got} == expected
