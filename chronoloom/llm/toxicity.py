@@ -8,9 +8,8 @@ significance (chi-square) of the feature's being more frequent in toxic examples
 that no feature is without weight, but those that don't tell the classes apart have little. As with
 any TF-IDF that is fitted on examples, features that no example has are passed over.
 
-Of every document the K nearest examples are found exactly with a block-max inverted index: postings
-of a feature lie in blocks of examples with the largest weight of each block. The blocks with the
-largest bounds are scored first, then all those whose bound reaches the K-th best cosine. Their
+Of every document the K nearest examples are found exactly with an inverted index that scores all of
+them: features that many examples have are rows of a matrix, others lists. Their
 labels, weighted by cosine, give a vote that an isotonic fit to votes on the examples, each without
 itself, turns into a probability; examples count as many labelled documents as they stand for. The
 neighbours are the evidence.
@@ -43,15 +42,12 @@ MAX_EXAMPLES = (2000, 1000)
 FLOOR, HALF = 0.03, 60.0
 PREFIXES = (4, 5, 6)
 K = 15
-BLOCK = 64
 #: Share of the examples from which a feature's weights are stored as a row.
-COMMON = 0.05
-#: Blocks that are scored first.
-FIRST = 4
-#: Above bounds in single precision.
-MARGIN = 1e-5
+COMMON = 0.08
+#: Above what cosines in single precision are wrong by.
+MARGIN = 2e-5
 #: Bytes of text whose features are counted at a time, and texts that are scored at a time.
-SLICE, BATCH = 500_000, 32
+SLICE, BATCH = 500_000, 128
 #: Cosine mass added to the clean side of every vote.
 PRIOR = 0.5
 #: Votes are compared to so many digits.
@@ -124,77 +120,69 @@ class FeatureTable:
         return r[ok], f[ok], n[ok]
 
 
-class BlockMaxIndex:
-    """Inverted index over unit vectors with the largest weight of each block of examples.
+class ExampleIndex:
+    """Inverted index over unit vectors, from postings (feature, example, weight).
 
-    It is given as postings (feature, example, weight). Postings of features that a share COMMON of
-    the examples has are stored as rows, block after block, and a block is scored for all texts of a
-    batch that need it at once; the rest is stored as lists.
+    Features that a share COMMON of the examples has become rows of a matrix, which is multiplied with
+    a batch of texts at once; the others are lists. It is made and sorted on the driver. Workers make
+    the matrix of its entries, and use the lists as they came.
     """
 
     def __init__(self, n: int, features: int, feature: np.ndarray, example: np.ndarray, weight: np.ndarray):
-        self.n, self.blocks = n, max(1, -(-n // BLOCK))
+        self.n = n
+        number = np.uint16 if n <= 1 << 16 else np.int32
         many = np.bincount(feature, minlength=features) if len(feature) else np.zeros(features, np.int64)
-        common = np.flatnonzero(many >= max(4, COMMON * n))
+        common = many >= max(4, COMMON * n)
         self.col = np.full(features, -1, np.int32)
-        self.col[common] = np.arange(len(common))
-        some = self.col[feature] >= 0
-        self.rows = np.zeros((self.blocks, len(common), BLOCK), np.float32)
-        self.rows[example[some] // BLOCK, self.col[feature[some]], example[some] % BLOCK] = weight[some]
-        self.largest = self.rows.max(2).T if len(common) else np.zeros((0, self.blocks), np.float32)
-        f, e, w = feature[~some], example[~some], weight[~some]
-        by = np.lexsort((e, f))
-        self.border, self.example, self.weight = np.searchsorted(f[by], np.arange(features + 1)).astype(np.int32), e[by].astype(np.int32), w[by].astype(np.float32)
-        by = np.lexsort((feature, example))
-        self.cut, self.features, self.weights = np.searchsorted(example[by], np.arange(n + 1)), feature[by].astype(np.int32), weight[by].astype(np.float32)
-        self.wide = np.zeros(features)
+        self.col[common] = np.arange(common.sum())
+        some = common[feature]
+        self.entries = (self.col[feature[some]], example[some].astype(number), weight[some].astype(np.float32))
+        by = np.flatnonzero(~some)
+        by = by[np.argsort(feature[by])]
+        self.border = np.concatenate(([0], np.cumsum(np.where(common, 0, many))))
+        self.example, self.weight = example[by].astype(number), weight[by].astype(np.float32)
+        self.rows = None
 
     def search(self, cut: np.ndarray, feature: np.ndarray, weight: np.ndarray, k: int, skip: list) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text, feature[cut[i]:cut[i+1]], the k examples of the largest positive cosine, exactly.
 
-        Ties go to the lower number; skip has the examples that are none for a text. Bounds and first
-        scores are in single precision with a margin, the cosines of what they leave in double.
+        Ties go to the lower number; skip has the examples that are none for a text. All examples are
+        scored, rows in single precision; those within a margin of the k-th again in double.
         """
+        if self.rows is None:
+            col, example, value = self.entries
+            self.rows = np.zeros((col.max(initial=-1) + 1, self.n), np.float32)
+            self.rows[col, example] = value
+            self.entries = None
         n = len(cut) - 1
         text = np.repeat(np.arange(n), np.diff(cut))
         col = self.col[feature]
-        asked = np.zeros((n, len(self.largest)), np.float32)
-        asked[text[col >= 0], col[col >= 0]] = weight[col >= 0]
-        rare = np.flatnonzero(col < 0)
-        lo, many = self.border[feature[rare]].astype(np.int64), np.diff(self.border)[feature[rare]].astype(np.int64)
-        at = segments(lo, many)
-        width = self.blocks * BLOCK
-        score = np.bincount(np.repeat(text[rare] * width, many) + self.example[at], np.repeat(weight[rare], many) * self.weight[at], minlength=n * width).astype(np.float32).reshape(n, self.blocks, BLOCK)
-        bound = asked @ self.largest + score.max(2)
-        bound = np.where(bound > 0, bound + MARGIN, 0)
-        done = np.zeros((n, self.blocks), bool)
-
-        def visit(need):
-            for b in np.flatnonzero(need.any(0)):
-                t = np.flatnonzero(need[:, b])
-                score[t, b] += asked[t] @ self.rows[b]
-            done[need] = True
-            seen = np.where(done[:, :, None], score, -1).reshape(n, width)
-            for i, own in enumerate(skip):
-                seen[i, list(own)] = -1
-            return seen, np.partition(seen, width - k, axis=1)[:, width - k] if width >= k else np.full(n, -1)
-
-        first = np.zeros_like(done)
-        np.put_along_axis(first, np.argsort(-bound, axis=1)[:, :FIRST], True, 1)
-        seen, least = visit(first & (bound > 0))
-        seen, least = visit(~done & (bound > 0) & (bound >= least[:, None]))
+        common, rare = np.flatnonzero(col >= 0), np.flatnonzero(col < 0)
+        asked = np.zeros((n, len(self.rows)), np.float32)
+        asked[text[common], col[common]] = weight[common]
+        seen = asked @ self.rows
+        lo = self.border[feature[rare]]
+        many = self.border[feature[rare] + 1] - lo
+        cuts = [np.searchsorted(text[x], np.arange(n + 1)) for x in (common, rare)]
         out = []
-        for i in range(n):
-            ids = np.flatnonzero((seen[i] > 0) & (seen[i] >= least[i] - 2 * MARGIN))
-            own = slice(cut[i], cut[i + 1])
-            self.wide[feature[own]] = weight[own]
-            cosine = np.array([self.wide[self.features[self.cut[e] : self.cut[e + 1]]] @ self.weights[self.cut[e] : self.cut[e + 1]] for e in ids])
-            self.wide[feature[own]] = 0
-            top = np.lexsort((ids, -np.round(cosine, 12)))[:k] if len(ids) else np.zeros(0, np.int64)
-            out.append((ids[top], cosine[top] if len(ids) else np.zeros(0)))
+        for i, own in enumerate(skip):
+            c, r = (slice(x[i], x[i + 1]) for x in cuts)
+            at = segments(lo[r], many[r])
+            score = np.bincount(self.example[at], np.repeat(weight[rare[r]], many[r]) * self.weight[at], minlength=self.n)
+            both = seen[i] + score
+            both[list(own)] = -1
+            least = np.partition(both, self.n - k)[self.n - k] if self.n >= k else -1
+            ids = np.flatnonzero((both > 0) & (both >= least - MARGIN))
+            cosine = weight[common[c]] @ self.rows[col[common[c]][:, None], ids] + score[ids]
+            top = np.lexsort((ids, -np.round(cosine, 12)))[:k]
+            out.append((ids[top], cosine[top]))
         return out
 
 
+#: The same by an earlier name.
+BlockMaxIndex = ExampleIndex
+
+
 def unit_weights(rows, features, counts, factor, n) -> np.ndarray:
     """Weights of unit vectors of rows 0 to n - 1."""
     weight = (1 + np.log(np.maximum(counts, 1))) * factor[features] if len(features) else np.zeros(0)
@@ -274,10 +262,9 @@ def _frequencies(hashes):
 class Model:
     """What scoring needs: features, their weights, indexed examples and the calibration."""
 
-    def __init__(self, hashes, factor, feature, example, weight, ids, toxic):
+    def __init__(self, hashes, factor, index, ids, toxic):
         self.table = FeatureTable(hashes)
-        self.factor, self.ids, self.toxic = factor, ids, toxic
-        self.index = BlockMaxIndex(len(ids), len(hashes), feature, example, weight)
+        self.factor, self.index, self.ids, self.toxic = factor, index, ids, toxic
         self.borders = self.values = np.zeros(0)
         self.place = {}
         for i, d in enumerate(ids.tolist()):
@@ -346,7 +333,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple:
     ids, toxic = (np.asarray(got.column(c)).astype(np.int64) for c in ("doc_id", "toxic"))
     version = str(uuid.uuid4())
     if not (toxic == 0).any() or not (toxic == 1).any():
-        return spark.sparkContext.broadcast((version, *(np.zeros(0, kind) for kind in (np.uint64, float, int, int, float, int, int)))), (np.zeros(0), np.zeros(0))
+        none = np.zeros(0, int)
+        return spark.sparkContext.broadcast((version, np.zeros(0, np.uint64), np.zeros(0), ExampleIndex(0, 0, none, none, np.zeros(0)), none, none)), (np.zeros(0), np.zeros(0))
     lists = [got.column(c).combine_chunks() for c in ("feature", "n")]
     example = np.repeat(np.arange(len(ids), dtype=np.int32), np.asarray(pc.list_value_length(lists[0])))
     n = np.asarray(lists[1].flatten()).astype(np.int32)
@@ -366,7 +354,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple:
     with_feature = np.bincount(feature, minlength=len(hashes))
     factor = idf * significance(with_feature, np.bincount(feature, toxic[example], minlength=len(hashes)), len(ids), int(toxic.sum()))
     weight = unit_weights(example, feature, n, factor, len(ids)).astype(np.float32)
-    parts = spark.sparkContext.broadcast((version, hashes, factor, feature, example, weight, ids, toxic))
+    index = ExampleIndex(len(ids), len(hashes), feature, example, weight)
+    del feature, example, n, weight
+    parts = spark.sparkContext.broadcast((version, hashes, factor, index, ids, toxic))
     with shuffles_freed(spark):
         votes = examples.mapInArrow(_votes(parts), "toxic int, vote double").toPandas()
     y = votes["toxic"].to_numpy().astype(np.int64)

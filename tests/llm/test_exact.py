@@ -357,3 +357,26 @@ def test_neighbours_of_the_stated_queries(spark):
     got = queries.op8_nearest_neighbours(spark, folder).collect()
     assert {r.vec_id for r in got} == set(top) and len(got) == ann.K * len(top)
     assert np.mean([r.neighbour_id in top[r.vec_id] for r in got]) >= 0.95
+
+
+def test_a_workers_model_is_small(spark):
+    """Beyond what was broadcast and the look-up of features, a worker holds little more than the matrix."""
+    import tracemalloc
+
+    folder = SF_DIR.replace("0.001", "0.01")
+    docs = table(spark, folder, "documents")
+    parts, _ = toxicity.fit(docs, table(spark, folder, "labels"))
+    _, hashes, *others = parts.value
+    texts = docs.where("text is not null").limit(20).select("text").toArrow().column("text").combine_chunks()
+    rows = toxicity.features_of(texts)
+    tracemalloc.start()
+    lookup = toxicity.FeatureTable(hashes)
+    base = tracemalloc.get_traced_memory()[0]
+    del lookup
+    tracemalloc.reset_peak()
+    model = toxicity.Model(hashes, *others)
+    peak = tracemalloc.get_traced_memory()[1] - base
+    list(model.nearest([-1] * len(texts), texts))
+    held = tracemalloc.get_traced_memory()[0] - base
+    tracemalloc.stop()
+    assert peak < 5_000_000 and held < model.index.rows.nbytes + 2_000_000
