@@ -182,18 +182,20 @@ def between_refs(commits: DataFrame, parents: DataFrame, a: str, b: str) -> Data
     """Commits reachable from one of two revisions but not from both.
 
     What lies 2^k parents back is joined with itself, so the rounds grow with the logarithm of the
-    history's depth; each is checkpointed. A revision that isn't known reaches nothing.
+    history's depth; each is checkpointed. They end when a round reaches nothing new: a commit that is its
+    own ancestor has parents at any distance. A revision that isn't known reaches nothing.
     """
     jump = written(parents.where("parent is not null").select("rev", F.col("parent").alias("up")).distinct())
     seed = commits.sparkSession.createDataFrame([(a, True, False), (b, False, True)], "rev string, a boolean, b boolean")
     both = lambda df: df.groupBy("rev").agg(F.bool_or("a").alias("a"), F.bool_or("b").alias("b"))
-    seen = written(both(seed))
+    seen, known = written(both(seed)), 2
     while True:
         seen = written(both(seen.unionByName(seen.join(jump, "rev").select(F.col("up").alias("rev"), "a", "b"))))
-        further = jump.select("rev", F.col("up").alias("mid")).join(jump.select(F.col("rev").alias("mid"), "up"), "mid").select("rev", "up").distinct()
-        jump = written(further)
-        if not jump.take(1):
+        now = seen.agg(F.count_if("a") + F.count_if("b")).first()[0]
+        if now == known:
             return commits.join(seen.where("a <> b"), "rev", "left_semi")
+        known = now
+        jump = written(jump.select("rev", F.col("up").alias("mid")).join(jump.select(F.col("rev").alias("mid"), "up"), "mid").select("rev", "up").distinct())
 
 
 def tags_between(refs: DataFrame, old: str, new: str) -> DataFrame:

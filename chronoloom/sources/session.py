@@ -21,6 +21,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """`df` in the checkpoint folder: for what several parts of a plan read."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """`df` in the checkpoint folder: for what several parts of a plan read.
+
+    A checkpoint keeps the sizes that were estimated for the plan behind it, and a join multiplies those of
+    its sides: in a loop their digits double with every join. So the rows are taken without the estimates.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    done = df.checkpoint()._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)

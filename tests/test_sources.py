@@ -5,9 +5,10 @@ from __future__ import annotations
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from chronoloom.operators import coupling, history, szz
-from chronoloom.sources import logs, sinks
+from chronoloom.sources import logs, session, sinks
 
 LOG = (
     "\x1ea1\x1fp0\x1fAnn\x1fann@x.org\x1fG\x1f2024-01-02T10:00:00+02:00\x1ffix: a bug\x1f\n\n3\t1\tlib/a.py\n-\t-\timg.png\n2\t0\tlib/{old => new}/b.py\n"
@@ -105,3 +106,20 @@ def test_slices_and_cursors():
     for bad in ("?", "e30=", sinks.cursor(-1)):
         with pytest.raises(ValueError):
             sinks.offset_of(bad)
+
+
+def test_sizes_of_what_is_written_do_not_grow(spark):
+    """The estimated size of a loop's rows stays as it is; it had the digits of all joins before."""
+    df = spark.range(3).toDF("k")
+    for _ in range(12):
+        df = session.written(df.join(df.withColumnRenamed("k", "j"), F.col("k") == F.col("j")).select("k"))
+    assert sorted(r.k for r in df.collect()) == [0, 1, 2]
+    assert len(df._jdf.queryExecution().optimizedPlan().stats().simpleString()) < 100
+
+
+def test_commits_between_refs_of_a_circle(spark):
+    """Rounds end though a commit is its own parent, and others are their own ancestors."""
+    parents = spark.createDataFrame([("0", "0"), ("1", "0"), ("2", "1"), ("3", "4"), ("4", "5"), ("5", "3"), ("6", "5"), ("6", "1")], "rev string, parent string")
+    commits = spark.createDataFrame([(str(i),) for i in range(8)], "rev string")
+    got = lambda a, b: {r.rev for r in history.between_refs(commits, parents, a, b).collect()}
+    assert got("6", "2") == {"6", "3", "4", "5", "2"} and got("3", "none") == {"3", "4", "5"} and got("2", "2") == set()
