@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from chronoloom.functions import lexical as L
+from chronoloom.operators import findings
 
 
 def paths(text, name="a.js"):
@@ -114,3 +115,28 @@ def test_own_languages_and_metrics(spark):
     files = spark.createDataFrame([("a.zig", "if x { y } // if"), ("b.py", "if a:\n    pass\n")], "path string, content string")
     got = {r.path: r for r in L.lexical_suite(files, (own,), {"words": lambda toks, lang: sum(t[0] == L.WORD for t in toks)}).collect()}
     assert got["a.zig"].language == "zig" and got["a.zig"].cyclomatic == 2 and got["a.zig"].words == 3 and got["b.py"].words == 3
+
+
+def test_files_are_measured_once(spark):
+    """However often the findings use the metrics; they measured each file again for every use before."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(toks, lang):
+        seen.add(1)
+        return 0.0
+
+    files = spark.createDataFrame([(f"a{i}.py", "if a:\n    b()\n" * 30) for i in range(20)], "path string, content string")
+    got = findings.classify_lexical(L.lexical_suite(files, (), {"count": count}))
+    assert len(got.collect()) == 20 and seen.value == 20
+
+
+def test_runs_of_plain_tokens_change_no_metric():
+    """What is left out for languages of braces, next to what isn't: jumps, directives, lambdas, ternaries."""
+    for text in ("#if a\nif (b) { return x; } y.z(1) é { }", "f(a => { if (a ? b.c, 2 : 3) go 1.5 é; break x }) x ", "if (a) { return; x } else if b c", "switch (a) { case 1: x y. z; default: if (a) b }"):
+        for name in ("a.c", "a.js", "a.txt"):
+            lang = L.language_of(name)
+            toks = L.tokens(text, lang)
+            told = L.telling(toks, lang)
+            whole, some = L.Nesting(toks, lang), L.Nesting(told, lang)
+            assert len(told) < len(toks) and (whole.deepest, whole.frames, whole.total) == (some.deepest, some.frames, some.total)
+            assert (L.cognitive(toks, lang, whole), L.npath(toks, lang, whole)) == (L.cognitive(told, lang, some), L.npath(told, lang, some))
