@@ -169,3 +169,15 @@ def test_pairs_of_a_large_commit(spark):
     rows = [("big", f"f{i:03}") for i in range(150)] + [("small", "f001"), ("small", "f149"), ("one", "f000")]
     got = {(r.a, r.b): r.n for r in coupling.cochange_pairs(spark.createDataFrame(rows, "rev string, file string")).collect()}
     assert len(got) == 150 * 149 // 2 and got["f001", "f149"] == 2 and got["f000", "f149"] == 1
+
+
+def test_runs_are_sorted_once(spark):
+    """Equal, null and extreme numbers; no hash table of all rows, where there were two."""
+    low, high = -(1 << 63), (1 << 63) - 1
+    rows = [("a", n) for n in (3, 1, 2, 2, 2, 7, 9, 8, 9, None, None)] + [("b", None), ("c", 5), ("c", 5), ("d", low), ("d", low), ("d", low + 1), ("d", high), ("d", high), (None, 4), (None, 5)]
+    out = windows.islands(spark.createDataFrame(rows, "k string, n long").repartition(3), ["k"], "n")
+    expected = {("a", 1, 3), ("a", 7, 9), ("a", None, None), ("b", None, None), ("c", 5, 5), ("d", low, low + 1), ("d", high, high), (None, 4, 5)}
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(expected) and set(got) == expected and out.columns == ["k", "first", "last"]
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "Aggregate" not in plan
