@@ -574,17 +574,16 @@ def security_report(r, spark, d):
     deps, registry = _deps(spark, d)
     found = security.secrets(text.text_lines(r("files")), "line")
     parts = [findings.classify_secrets(found, "path"), findings.classify_compliance(security.compliance(r("commits"), _ALLOWED)), findings.classify_dependencies(security.dependency_freshness(deps, registry))]
-    return findings.report(findings.union(parts), "security")
+    return findings.report(written(findings.union(parts)), "security")
 
 
 @query(None)
 def pm_report(r, spark, d):
-    r = _once(r, "commits", "file_changes")
     c, fc = r("commits"), r("file_changes")
     buckets = velocity.velocity(r("activity"))
     parts = [findings.classify_bus_factor(c.groupBy("author").agg(F.count("*").alias("commits"))), findings.classify_ownership(history.ownership(c, fc)), findings.classify_hotspots(szz.lifetimes(r("szz_matches"), "file")),
              findings.classify_velocity(velocity.trend(buckets), velocity.slope(buckets), velocity.gini(r("activity")), velocity.burnout_share(r("activity")))]
-    return findings.report(findings.union(parts), "pm")
+    return findings.report(written(findings.union(parts)), "pm")
 
 
 @query(None)

@@ -133,3 +133,13 @@ def test_scans_and_resources(spark):
 def test_layers_by_directory(spark):
     df = spark.createDataFrame([("lib/ui/x",), ("lib/uix/y",), ("lib/ui",)], "p string")
     assert [r.ok for r in df.select(workspace.under(df.p, "lib/ui/").alias("ok")).collect()] == [True, False, False]
+
+
+@pytest.mark.parametrize("name", ["pm_report", "security_report"])
+def test_only_findings_are_written(spark, monkeypatch, name):
+    """Reports that read a relation once or twice don't write it, and rules read written findings."""
+    seen = []
+    real = plans.written
+    monkeypatch.setattr(plans, "written", lambda df: seen.append(df.columns) or real(df))
+    plans.QUERIES[name](spark, SF_DIR)
+    assert seen == [findings.COLUMNS]
