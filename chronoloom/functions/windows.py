@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.session import written
+
 
 def threshold_prefix(df: DataFrame, by: list[str], weight: str, order: list[Column], share: float) -> DataFrame:
     """The smallest prefix of each group, largest weights first, whose sum reaches `share` of the group's.
@@ -42,7 +44,8 @@ def top_one(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
 
 
 def rank_share(df: DataFrame, value: str, name: str) -> DataFrame:
-    """`df` with the share of values that are not larger; only distinct values are ordered."""
+    """`df`, written once as it is read twice, with the share of values that are not larger; only distinct values are ordered."""
+    df = written(df)
     levels = df.groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__k"))
     whole = W.partitionBy(F.lit(1))
     share = F.sum("__k").over(whole.orderBy("__v").rowsBetween(W.unboundedPreceding, 0)) / F.sum("__k").over(whole)

@@ -35,7 +35,8 @@ def union(frames: list[DataFrame]) -> DataFrame:
 
 
 def against(df: DataFrame, value: str) -> DataFrame:
-    """Rows with the statistics of all rows beside them; the statistics are one row."""
+    """Rows, written once as they are read twice, with the statistics of all rows beside them; the statistics are one row."""
+    df = written(df)
     return df.crossJoin(F.broadcast(order_statistics(df, value)))
 
 
@@ -56,6 +57,7 @@ def classify_ownership(owned: DataFrame) -> DataFrame:
 
 def classify_hotspots(by_file: DataFrame) -> DataFrame:
     """Of lifetimes by file: long-lived against the mean of all, frequent against the ninth decile."""
+    by_file = written(by_file)
     whole = by_file.agg((F.sum("minutes") / 1440.0 / F.sum("matches")).alias("__mean"), F.coalesce(F.percentile("matches", F.lit(0.9)), F.lit(0.0)).alias("__p90"))
     d = by_file.crossJoin(F.broadcast(whole))
     life = F.when(F.col("mean_days") > 2 * F.col("__mean"), RANK["critical"]).when(F.col("mean_days") > F.col("__mean"), RANK["elevated"]).otherwise(0)

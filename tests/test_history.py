@@ -181,3 +181,10 @@ def test_runs_are_sorted_once(spark):
     assert len(got) == len(expected) and set(got) == expected and out.columns == ["k", "first", "last"]
     plan = out._jdf.queryExecution().sparkPlan().toString()
     assert "Aggregate" not in plan
+
+
+def test_rows_with_their_ranks_are_made_once(spark):
+    """Both sides of the join read written rows, not what makes them; the plan had it twice before."""
+    out = windows.rank_share(spark.range(4).select(F.col("id").alias("n")), "n", "r")
+    assert sorted(r.r for r in out.collect()) == [0.25, 0.5, 0.75, 1.0]
+    assert "Range" not in out._jdf.queryExecution().optimizedPlan().toString()
